@@ -99,6 +99,14 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+def gram_hashes_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The same hashes, of the runs that begin at ``at`` only."""
+    total = np.full(len(at), np.uint64(k), np.uint64)
+    for j in range(k):
+        total += hashes[at + j] * MULTIPLIERS[j % 256]
+    return mixed(total)
+
+
 def inside(offsets: np.ndarray, k: int) -> np.ndarray:
     """For each word, whether the run of k words from it ends within its own text."""
     ends = np.repeat(offsets[1:], np.diff(offsets))

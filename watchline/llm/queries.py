@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe
+from watchline.llm import bpe, decontaminate
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -19,3 +19,8 @@ TOKENIZERS = os.environ.get("WATCHLINE_TOKENIZERS", "/opt/tokenizers")
 @REGISTRY.query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+@REGISTRY.query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
