@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate
+from watchline.llm import bpe, decontaminate, quality_rules
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -24,3 +24,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
