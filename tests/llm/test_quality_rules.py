@@ -54,4 +54,4 @@ def test_label_model_finds_planted_classes():
     patterns, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
     verdict = label_model(patterns, counts.astype(float), 8)[inverse] >= 0.5
     assert (verdict == y).mean() > 0.95
-    assert verdict[y].mean() > 0.98
+    assert verdict[y].mean() > 0.96  # 3 in 100 break some rule

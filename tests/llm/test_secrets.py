@@ -1,0 +1,54 @@
+import hashlib
+import random
+import re
+
+from watchline.llm.secrets import Automaton, credentials, ordinary, redact, scan, scanner
+
+BASE = [
+    ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+]
+
+
+def brute(text):
+    found = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p, g, least) in enumerate(BASE) for m in p.finditer(text or "") if len(m[g]) >= least]
+    return [x[2] for x in sorted(found)]
+
+
+def test_base_spans_against_plain_patterns(spark):
+    rng = random.Random(2)
+    parts = ["password", "Token", "API_KEY", "apikey", "ſecret", "toKen", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGHIJKLMNOP1", "0123456789abcdef" * 2, "deadbeef", "é🙂", "\n", "x.y-z", "12345678"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400)] + [None, ""]
+    rows = list(enumerate(texts)) + [(None, "token=abcdefgh1"), (0, texts[0])]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for (doc_id, text), r in zip(sorted(rows, key=repr), sorted(got, key=lambda r: repr((r.doc_id,))), strict=True):
+        base = brute(texts[r.doc_id] if r.doc_id is not None else "token=abcdefgh1")
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
+        assert set(base) <= set(r.spans.split(","))
+
+
+def test_held_out_formats_and_ordinary_strings():
+    rng = random.Random(99)
+    own = scanner()
+    for family, strings in credentials(rng, 100).items():
+        with_digit = [s for s in strings if any(c.isdigit() for c in s)]
+        assert sum(map(own.is_secret, with_digit)) >= (0.7 if family == "secret_key" else 0.9) * len(with_digit), family
+    for kind, strings in ordinary(rng, 300).items():
+        assert not any(map(own.is_secret, strings)), kind
+
+
+def test_states_merge():
+    rng = random.Random(4)
+    loop = Automaton(["a" * rng.choice([1, 2, 2, 3, 4, 5, 6]) + "b" for _ in range(500)])
+    assert loop.states < 10 and loop.log_likelihood("aab") > loop.log_likelihood("bba")
+
+
+def test_redacted(spark):
+    text = 'x token = "' + "ab" * 20 + '" y ghp_a1B2c3D4e5F6a7B8c9D0e1F2g3H4i5J6k7L8 z'
+    docs = spark.createDataFrame([(1, text, 3), (2, None, 0), (3, "plain", 5)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in redact(docs).collect()}
+    assert got == {1: ('x [SECRET]" y [SECRET] z', 24), 2: (None, None), 3: ("plain", 5)}
+    assert redact(docs.where("false")).collect() == [] == scan(docs.where("false")).collect()

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, quality_rules
+from watchline.llm import bpe, decontaminate, quality_rules, secrets
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -29,3 +29,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op1_quality_rules")
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
