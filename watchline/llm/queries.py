@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, quality_rules, secrets
+from watchline.llm import bpe, decontaminate, quality_rules, secrets, substrings
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -34,3 +34,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op6_secrets")
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op9_substrings")
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
