@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, near_dups, quality_rules, secrets, substrings
+from watchline.llm import bpe, decontaminate, near_dups, quality_rules, secrets, substrings, toxicity
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -44,3 +44,8 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op5_near_dups")
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.groups_of(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
