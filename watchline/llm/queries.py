@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, near_dups, quality_rules, secrets, substrings, toxicity
+from watchline.llm import bpe, decontaminate, language_model, near_dups, quality_rules, secrets, substrings, toxicity
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -49,3 +49,8 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query("op2_lm_scores")
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
