@@ -32,8 +32,8 @@ def repeated(hashes: np.ndarray, offsets: np.ndarray, width: int = 8) -> np.ndar
     return covered(at[counts[inverse] > 1], width, len(hashes))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and COUNTS of each row, over its whole text; a null text counts as empty."""
+def counted(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """``doc_id`` (of any type) and COUNTS of each row, over its whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -60,7 +60,7 @@ def counted(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)], names=["doc_id", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def vote(good: Column, bad: Column) -> Column:

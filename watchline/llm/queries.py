@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, language_model, near_dups, quality_rules, secrets, substrings, toxicity
+from watchline.llm import bpe, decontaminate, language_model, licenses, near_dups, quality_rules, secrets, site_quality, substrings, toxicity
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -54,3 +54,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op2_lm_scores")
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op3_licenses")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op7_site_quality")
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
