@@ -1,28 +1,6 @@
-"""The registry of all queries over the event tables."""
+"""All queries over the event tables; importing the modules registers them."""
 
-from __future__ import annotations
+from watchline.plans import queries_events, queries_functions, queries_state  # noqa: F401
+from watchline.plans.base import REGISTRY
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from watchline.plans.registry import Registry
-from watchline.sources.tables import table
-
-REGISTRY = Registry()
-
-
-@REGISTRY.query(
-    "agg02_incident_rollup",
-    """
-    SELECT user_id, event_type, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
-    FROM events GROUP BY user_id, event_type ORDER BY last_ts DESC, user_id, event_type LIMIT 100
-    """,
-)
-def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events")
-        .groupBy("user_id", "event_type")
-        .agg(F.count("*").alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        .orderBy(F.desc("last_ts"), "user_id", "event_type")
-        .limit(100)
-    )
+__all__ = ["REGISTRY"]
