@@ -55,8 +55,9 @@ def got(spark, docs):
     return sorted((tuple(r) for r in groups_of(d).collect()), key=repr)
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_against_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "small"), [(0, 2), (0, 64), (2, 3)])
+def test_against_brute_force(spark, monkeypatch, rounds, small):
+    monkeypatch.setattr(near_dups, "SMALL", small)
     monkeypatch.setattr(near_dups, "ROUNDS", rounds)
     monkeypatch.setattr(near_dups, "BLOCK", 7)
     docs = corpus(rounds)

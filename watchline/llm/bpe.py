@@ -191,7 +191,8 @@ def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
                 decoded_sha.append(hashlib.sha256(text.encode()).hexdigest())
             columns = [batch.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
             if with_ids:
-                columns.append(pa.array([x.tolist() for x in rows], pa.list_(pa.int32())))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows))))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

@@ -67,31 +67,36 @@ class Windows:
             yield length, around[found], grams[found]
 
 
+def located(own: Windows, column: pa.Array) -> tuple[np.ndarray, dict[int, set[tuple[int, int]]], dict[int, set[str]]]:
+    """Words of each text, and by text with hits the spans in words and the items that occur."""
+    offsets, flat = words(mapped_bytes(texts(column), FOLD))
+    codes, distinct = coded(flat)
+    hashes = word_hashes(distinct)[codes] if len(codes) else np.empty(0, np.uint64)
+    spans: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    items: dict[int, set[str]] = defaultdict(set)
+    for length, starts, grams in own.candidates(hashes, offsets):
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        for at, doc, gram in zip(starts.tolist(), owner.tolist(), grams.tolist(), strict=True):
+            key = tuple(distinct[c] for c in codes[at : at + length])
+            for text, ids in own.lengths[length][1].get(gram, []):
+                if text == key:
+                    spans[doc].add((at - int(offsets[doc]), at - int(offsets[doc]) + length))
+                    items[doc].update(ids)
+    return np.diff(offsets), spans, items
+
+
 def hits(docs: DataFrame, windows: Windows) -> DataFrame:
     """Rows of ``docs`` with n_words, the hit spans ``[start, end)`` in words, and the items that occur."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in steps(batches):
-            offsets, flat = words(mapped_bytes(texts(batch.column("text")), FOLD))
-            codes, distinct = coded(flat)
-            hashes = word_hashes(distinct)[codes] if len(codes) else np.empty(0, np.uint64)
-            spans: dict[int, set[tuple[int, int]]] = defaultdict(set)
-            items: dict[int, set[str]] = defaultdict(set)
-            for length, starts, grams in own.candidates(hashes, offsets):
-                owner = np.searchsorted(offsets, starts, side="right") - 1
-                for at, doc, gram in zip(starts.tolist(), owner.tolist(), grams.tolist(), strict=True):
-                    key = tuple(distinct[c] for c in codes[at : at + length])
-                    for text, ids in own.lengths[length][1].get(gram, []):
-                        if text == key:
-                            spans[doc].add((at - int(offsets[doc]), at - int(offsets[doc]) + length))
-                            items[doc].update(ids)
+            n_words, spans, items = located(shared.value, batch.column("text"))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in keep),
-                    pa.array(np.diff(offsets), pa.int64()),
+                    pa.array(n_words, pa.int64()),
                     pa.array([[{"start": s, "end": e} for s, e in joined(spans.get(i, ()))] for i in range(n)], span_type),
                     pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
                 ],
@@ -104,6 +109,24 @@ def hits(docs: DataFrame, windows: Windows) -> DataFrame:
     return docs.mapInArrow(run, f"{kept}n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
+
+    def clean(windows: Windows):
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches):
+                _, spans, _ = located(shared.value, batch.column("text"))
+                yield batch.filter(pa.array([i not in spans for i in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for windows in blocks(benchmark, width, k):
+        docs = docs.mapInArrow(clean(windows), docs.schema)
+    return docs
+
+
 def joined(spans) -> list[tuple[int, int]]:
     """Spans in order, with those that meet or overlap as one."""
     out: list[tuple[int, int]] = []

@@ -15,7 +15,6 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,14 +270,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, th int, word string, times int, n_tokens long, n_known long, base double, score double"
     # th tells rows of one id apart.
     rows = base.withColumn("th", F.hash("text")).mapInArrow(run, schema)
-    other = rows.where("word IS NOT NULL").select("doc_id", "th", "word", "times").join(counts, "word")
-    zero = F.lit(0).cast("long")
-    of_other = other.select(
-        "doc_id", "th", zero.alias("copies"), zero.alias("n_tokens"), F.col("times").cast("long").alias("n_known"),
-        (F.col("times") * F.log10(F.col("c") + 1)).alias("base"), (F.col("times") * F.log10(F.col("c") + 1)).alias("score"),
-    )
-    heads = rows.where("word IS NULL").select("doc_id", "th", F.lit(1).cast("long").alias("copies"), "n_tokens", "n_known", "base", "score")
-    sums = heads.unionByName(of_other).groupBy("doc_id", "th").agg(*(F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")))
+    # A text's own row goes through the join as well, under a key with a space, which no word has; the texts are
+    # read once, and such keys are spread.
+    found = rows.withColumn("key", F.coalesce("word", F.format_string(" %d", F.xxhash64("doc_id", "th")))).join(counts.withColumnRenamed("word", "key"), "key", "left")
+    more = F.when(F.col("c").isNotNull(), F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)
+    sums = found.groupBy("doc_id", "th").agg(
+        F.count_if(F.col("word").isNull()).alias("copies"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + more).alias("base"),
+        F.sum(F.col("score") + more).alias("score"),
+    )
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     each = lambda c: F.expr(f"{c} div copies")
     return sums.select(

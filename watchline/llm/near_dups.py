@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchline.llm.common import coded, gram_hashes, gram_hashes_at, mapped_bytes, staged, steps, texts, word_hashes, words
-from watchline.llm.graphs import components
+from watchline.llm.graphs import gathered, regrouped
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // BAND
@@ -30,9 +30,11 @@ BANDS = REGISTERS // BAND
 COLLISION = 2.0**-MANTISSA / 3
 #: Candidates below this estimate, over five standard errors under the threshold, are not confirmed.
 LEAST_ESTIMATE = 0.5
-ROUNDS = 3
+ROUNDS = 2
 #: Documents of one block when what is left of a bucket is compared.
-BLOCK = 1000
+BLOCK = 500
+#: In buckets of up to so many nodes candidates are confirmed pair by pair.
+SMALL = 64
 #: Ids that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -127,16 +129,18 @@ def estimate(a: str, b: str):
     return (equal / REGISTERS - COLLISION) / (1 - COLLISION)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough, after the estimate."""
+def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Those of ``pairs`` (a, b; ``rows`` at most) whose full sets are similar enough, after the estimate."""
     of = lambda end: sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"sketch_{end}"))
-    likely = staged(pairs.join(of("a"), "a").join(of("b"), "b").where(estimate("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"))
+    both = gathered(pairs.join(of("a"), "a"), 4 * rows).join(of("b"), "b")
+    likely = staged(gathered(both.where(estimate("sketch_a", "sketch_b") >= LEAST_ESTIMATE).select("a", "b"), rows))
     ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    near = only(sets, staged(ends), "node")
+    near = only(sets, staged(gathered(ends, rows)), "node")
     full = lambda end: near.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return staged(likely.join(full("a"), "a").join(full("b"), "b").where(100 * shared >= percent * union).select("a", "b").distinct())
+    found = likely.join(full("a"), "a").join(full("b"), "b").where(100 * shared >= percent * union).select("a", "b")
+    return staged(gathered(found.distinct(), rows))
 
 
 def labelled(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -158,40 +162,79 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def rest_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of nodes of different groups in a bucket that the sketches find similar, each pair once.
+def open_buckets(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold several groups, as blocks to compare.
 
-    The nodes outside a bucket's largest group are compared with all its nodes, block by block.
+    The nodes outside a bucket's largest group (``asks``) meet all its nodes: each block of them (``left``) with
+    each block of all (``right``). ``large`` tells buckets of more than SMALL nodes.
     """
     size = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     most = size.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("groups")).where("groups > 1")
-    open_rows = rows.join(most.select("band", "key", F.col("most.component").alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), ["band", "key"])
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sketches, "node")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    base = ["band", "key", "node", "component", "sketch"]
-    # Each block of outer nodes meets each block of all nodes.
-    outer = open_rows.where("component <> main").select(*base, F.col("block").alias("left"), F.explode(every).alias("right"), F.lit(True).alias("asks"))
-    outers = open_rows.where("component <> main").select("band", "key", F.col("block").alias("left")).distinct()
-    inner = open_rows.withColumnRenamed("block", "right").join(outers, ["band", "key"]).select(*base, "left", "right", F.lit(False).alias("asks"))
+    most = most.select("band", "key", F.col("most.component").alias("main"), (F.col("total") > SMALL).alias("large"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(most, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = staged(placed.join(sketches, "node").select("band", "key", "large", "node", "component", "sketch", "main", "blocks", "block"))
+    base = ["band", "key", "large", "node", "component", "sketch"]
+    outside = placed.where("component <> main")
+    outer = outside.select(*base, F.col("block").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), F.lit(True).alias("asks"))
+    outers = outside.select("band", "key", F.col("block").alias("left")).distinct()
+    inner = placed.withColumnRenamed("block", "right").join(outers, ["band", "key"]).select(*base, "left", "right", F.lit(False).alias("asks"))
+    return outer.union(inner)
+
+
+def candidates(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking row of a block with the rows that its sketch finds similar, in another group.
+
+    A pair counts in the first band that it shares, and in no other bucket.
+    """
+    band = group.column("band")[0].as_py()
+    asks = group.column("asks").to_numpy()
+    component = group.column("component").to_numpy()
+    sketch = pc.list_flatten(group.column("sketch").combine_chunks()).to_numpy().reshape(-1, BANDS)
+    lanes = sketch.view("<u2")
+    there = np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks):
+        share = (lanes[there] == lanes[i]).mean(1)
+        first = (sketch[there] == sketch[i]).argmax(1)
+        found = there[((share - COLLISION) / (1 - COLLISION) >= LEAST_ESTIMATE) & (first == band) & (component[there] != component[i])]
+        if len(found):
+            yield i, found
+
+
+def as_links(node: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    a = [np.minimum(node[at], node[i]) for i, at in found]
+    b = [np.maximum(node[at], node[i]) for i, at in found]
+    none = [np.empty(0, np.int64)]
+    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+
+def small_pairs(blocks: DataFrame) -> DataFrame:
+    """Candidate pairs of small buckets, to be confirmed."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        return as_links(group.column("node").to_numpy(), list(candidates(group)))
+
+    return blocks.where("NOT large").groupBy("band", "key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+
+
+def large_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets: rows bring their full sets along, as a row has many candidates there."""
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        band = group.column("band")[0].as_py()
-        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-        sketch = pc.list_flatten(group.column("sketch").combine_chunks()).to_numpy().reshape(-1, BANDS)
-        lanes = sketch.view("<u2")
-        there = np.flatnonzero(~asks)
-        a, b = [], []
-        for i in np.flatnonzero(asks):
-            share = (lanes[there] == lanes[i]).mean(1)
-            first = (sketch[there] == sketch[i]).argmax(1)  # a pair counts in the first band that it shares
-            found = there[((share - COLLISION) / (1 - COLLISION) >= LEAST_ESTIMATE) & (first == band) & (component[there] != component[i])]
-            a.append(np.minimum(node[found], node[i]))
-            b.append(np.maximum(node[found], node[i]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
-
-    return outer.union(inner).groupBy("band", "key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+        lists = group.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        starts = np.concatenate([[0], np.cumsum(size)])
+        values, known = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)
+        links = []
+        for i, found in candidates(group):
+            mine = np.zeros(len(values), np.int64)
+            mine[known[starts[i] : starts[i + 1]]] = 1
+            shared = np.add.reduceat(mine[known], starts[:-1])[found]
+            links.append((i, found[100 * shared >= percent * (size[found] + size[i] - shared)]))
+        return as_links(group.column("node").to_numpy(), links)
+
+    rows = blocks.where("large")
+    near = only(sets, staged(rows.select("node").distinct()), "node")
+    return rows.join(near, "node").groupBy("band", "key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
 def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -209,27 +252,28 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     banded = sketches.select("node", F.posexplode("sketch").alias("band", "key"))
     several = banded.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band", "key")
     buckets = staged(banded.join(several, ["band", "key"]).select("band", "key", "node").distinct())
-    nodes = staged(buckets.select("node").distinct())
-    members = docs.where("doc_id IS NOT NULL")
-    sets = staged(full_sets(only(members, nodes, "doc_id"), k))
-    known = sketches.select("node", "sketch")
-
-    links = groups = checked = None
-    for turn in range(ROUNDS + 1):
-        at = labelled(buckets, groups)
-        pairs = hub_pairs(at, turn) if turn < ROUNDS else rest_pairs(at, known)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        found = confirmed(pairs, known, sets, percent)
-        checked = pairs if checked is None else checked.union(pairs)
+    n = buckets.count()
+    nodes = staged(gathered(buckets.select("node").distinct(), n))
+    sets = staged(full_sets(only(docs.where("doc_id IS NOT NULL"), nodes, "doc_id"), k))
+    known = staged(gathered(only(sketches.select("node", "sketch"), nodes, "node"), 4 * n))
+
+    groups = checked = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal groups
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            groups = staged(components(links))
+            groups = regrouped(groups, found, n)
+
+    def unchecked(pairs: DataFrame) -> DataFrame:
+        return staged(gathered(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), n))
+
+    for turn in range(ROUNDS):
+        pairs = unchecked(hub_pairs(labelled(buckets, groups), turn))
+        checked = pairs if checked is None else checked.union(pairs)
+        add(confirmed(pairs, known, sets, percent, n))
+    blocks = open_buckets(labelled(buckets, groups), known)
+    few = confirmed(unchecked(small_pairs(blocks)), known, sets, percent, n)
+    add(few.union(staged(gathered(large_links(blocks, sets, percent), n))))
 
     names = sketches.select("digest", "node")
     names = names.withColumn("component", F.col("node")) if groups is None else names.join(groups, "node", "left")
@@ -238,3 +282,10 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     component = F.when(linked, F.coalesce("component", "node"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_dups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, whose document is kept; rows of one id stay or go together."""
+    gone = staged(groups_of(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
