@@ -237,10 +237,10 @@ def j07(spark: S, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(first, "c_custkey", "left")
 
 
-@query("j08_timeline_union", "SELECT o_orderkey AS id, 'incident' AS section, 1 AS n FROM orders WHERE o_orderkey < 500 UNION ALL SELECT l_orderkey, 'alert', count(*) FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey", False)
+@query("j08_timeline_union", "SELECT o_orderkey AS id, 'incident' AS section, 1 AS n FROM orders UNION ALL SELECT l_orderkey, 'alert', count(*) FROM lineitem GROUP BY l_orderkey", False)
 def j08(spark: S, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.lit("incident").alias("section"), F.lit(1).cast("long").alias("n"))
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("incident").alias("section"), F.lit(1).cast("long").alias("n"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
     return o.unionByName(lines.select("id", F.lit("alert").alias("section"), "n"))
 
 
@@ -415,9 +415,9 @@ def agg30(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"))
 
 
-@query("agg33_display_ids", "SELECT user_id, 'GLOBAL-PERSON-' || lpad(CAST(row_number() OVER (ORDER BY first_seen, user_id) AS VARCHAR), 3, '0') AS display_id FROM (SELECT user_id, min(ts) AS first_seen FROM x GROUP BY user_id HAVING user_id < 900)")
+@query("agg33_display_ids", "SELECT user_id, 'GLOBAL-PERSON-' || lpad(CAST(row_number() OVER (ORDER BY first_seen, user_id) AS VARCHAR), 3, '0') AS display_id FROM (SELECT user_id, min(ts) AS first_seen FROM x GROUP BY user_id)")
 def agg33(spark: S, d: str) -> DataFrame:
-    first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen")).where("user_id < 900")
+    first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"))
     return reports.display_ids(first, "first_seen", "user_id", "GLOBAL-PERSON-").select("user_id", "display_id")
 
 

@@ -40,12 +40,12 @@ def src19(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([(name, p["stride"]) for name, p in PROFILES.items()], "profile string, stride int")
 
 
-@query("snk08_linked_detections", "SELECT l_orderkey, l_linenumber, (SELECT min(o.l_linenumber) FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linenumber <> l.l_linenumber AND o.l_quantity > l.l_quantity) AS linked FROM lineitem l WHERE l_orderkey < 2000", False)
+@query("snk08_linked_detections", "SELECT l_orderkey, l_linenumber, (SELECT min(o.l_linenumber) FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linenumber <> l.l_linenumber AND o.l_quantity > l.l_quantity) AS linked FROM lineitem l", False)
 def snk08(spark: S, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     o = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
-    first = lines.join(o, "l_orderkey").where("n <> l_linenumber AND q > l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.min("n").alias("linked"))
-    return lines.select("l_orderkey", "l_linenumber").join(first, ["l_orderkey", "l_linenumber"], "left")
+    first = lines.join(o, "l_orderkey").where("n <> l_linenumber AND q > l_quantity").groupBy(*lines.columns).agg(F.min("n").alias("linked"))
+    return lines.join(first, lines.columns, "left").drop("l_quantity")
 
 
 @query("snk10_metadata_merge", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'keep' AS b FROM x")
@@ -145,9 +145,9 @@ def win09(spark: S, d: str) -> DataFrame:
     return folds.emit_with_cooldown(e, ["user_id"], "frame_time", "event_id", 500.0).select("event_id")
 
 
-@query("srt01_replay_order", "SELECT event_id, ts FROM x WHERE user_id < 3 ORDER BY ts, event_id")
+@query("srt01_replay_order", "SELECT event_id, ts FROM x ORDER BY ts, event_id")
 def srt01(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "events").where("user_id < 3").select("event_id", "ts").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", "ts").orderBy("ts", "event_id")
 
 
 @query("srt04_latest_of_each", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM x) WHERE n = 1")
