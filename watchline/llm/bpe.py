@@ -23,6 +23,8 @@ from watchline.llm.common import steps
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker keeps encoded before it starts anew.
 KEPT_PIECES = 200_000
+#: Bytes of text of one step; a piece takes many times its bytes.
+TEXT_BYTES = 1 << 20
 
 
 def printable_bytes() -> dict[str, int]:
@@ -180,7 +182,7 @@ def encode_table(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in steps(batches):
+        for batch in steps(batches, step_bytes=TEXT_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = own.encode(texts)
             ids_sha, decoded_sha = [], []

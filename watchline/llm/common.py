@@ -32,16 +32,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices of at most STEP_BYTES of text (one row at least)."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most ``step_bytes`` of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        step = np.cumsum(size) // STEP_BYTES
+        step = np.cumsum(size) // step_bytes
         cuts = np.flatnonzero(np.diff(step)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()  # workers are kept for other operators
 
 
 def texts(column: pa.Array) -> pa.Array:

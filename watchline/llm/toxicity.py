@@ -33,6 +33,8 @@ TOXIC_COST, FULL_SHARE, OTHER_COST, RIDGE = 100.0, 0.05, 5.0, 1.0
 #: A word is on the toxic side from this margin.
 SIDE = 0.5
 SIZE, DECAY = 1 << 16, 0.6
+#: Words whose gapped runs are held at once, and bytes of text of one step.
+WORDS_AT_ONCE, TEXT_BYTES = 10_000, 1 << 20
 #: Places of the second and third character, from the first.
 GAPS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 FIRST, LAST = 0x110000, 0x110001
@@ -100,11 +102,13 @@ class Model:
 
     def margins(self, strings: list[str]) -> np.ndarray:
         """The machine's value for each word; words without letters or digits have -1."""
-        if not strings:
-            return np.empty(0)
-        rows, slots, weights = runs(strings)
-        value = np.bincount(rows, self.table[slots] * weights, len(strings)) / norms(len(strings), rows, weights) + self.bias
-        return np.where(np.fromiter(map(len, strings), np.int64, len(strings)) > 0, value, -1.0)
+        out = np.empty(len(strings))
+        for a in range(0, len(strings), WORDS_AT_ONCE):
+            part = strings[a : a + WORDS_AT_ONCE]
+            rows, slots, weights = runs(part)
+            value = np.bincount(rows, self.table[slots] * weights, len(part)) / norms(len(part), rows, weights) + self.bias
+            out[a : a + len(part)] = np.where(np.fromiter(map(len, part), np.int64, len(part)) > 0, value, -1.0)
+        return out
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Of each text: the greatest margin, how many words are on the toxic side, in all and in share."""
@@ -188,7 +192,7 @@ def word_counts(sample: DataFrame) -> list:
     """Words of the sample by how many toxic and other texts have them, TRAINING_WORDS at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, step_bytes=TEXT_BYTES):
             offsets, flat = words(texts(batch.column("text")))
             codes, distinct = coded(flat)
             strings = plain(distinct)
@@ -249,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     model = Model(table, float(bias), np.zeros(3), np.ones(3), np.ones(3), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, step_bytes=TEXT_BYTES):
             f = model.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), batch.column("toxic")], names=["a", "b", "c", "toxic"])
 
@@ -269,7 +273,7 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str], name: str = "s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, step_bytes=TEXT_BYTES):
             score = shared.value.scores(shared.value.features(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, name])
 
