@@ -415,7 +415,7 @@ def agg30(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"))
 
 
-@query("agg33_display_ids", "SELECT user_id, 'GLOBAL-PERSON-' || lpad(CAST(row_number() OVER (ORDER BY first_seen, user_id) AS VARCHAR), 3, '0') AS display_id FROM (SELECT user_id, min(ts) AS first_seen FROM x GROUP BY user_id)")
+@query("agg33_display_ids", "SELECT user_id, 'GLOBAL-PERSON-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS display_id FROM (SELECT user_id, row_number() OVER (ORDER BY min(ts), user_id) AS n FROM x GROUP BY user_id)")
 def agg33(spark: S, d: str) -> DataFrame:
     first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_seen"))
     return reports.display_ids(first, "first_seen", "user_id", "GLOBAL-PERSON-").select("user_id", "display_id")
