@@ -58,3 +58,31 @@ def test_no_python_on_the_path(spark):
     plan = licenses(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def every_line(text):
+    """Like brute(), on each line alone, whether or not it has one of CUES."""
+    weights, bias = classifier()
+    names = [*NOTICES, UNKNOWN]
+    w = split(text)
+    z = np.array(bias) + sum((np.array(weights[g]) for g in grams(w) if g in weights), np.zeros(len(names)))
+    best = int(z.argmax())
+    if best == len(NOTICES) or 1 / np.exp(z - z.max()).sum() < SURE:
+        return ""
+    notices = [set(split(n)) for n in NOTICES[names[best]]]
+    return names[best] if any(len(set(w) & n) >= 2 and len(set(w) & n) / min(len(set(w)), len(n)) >= ALIKE for n in notices) else ""
+
+
+def test_lines_without_a_cue_are_classified(spark):
+    short = {"Distributed under the terms of the GNU GPL version 3": "GPL-3.0", "Released under GPLv3": "GPL-3.0", "Available under CC BY 4.0": "CC-BY-4.0", "the BSD style, 3 clause": None, "under Apache 2.0": None, "MPL 2.0": None}
+    plain = ["under the terms of the treaty", "Released under the bridge", "of the software", "The terms of use", "This work is the best", "Use of this source", "Available under water"]
+    lines = [*short, *plain, *(n for texts in NOTICES.values() for n in texts)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {lines[r.doc_id]: r for r in licenses(docs).collect()}
+    for line in lines:
+        assert got[line].families == every_line(line), line
+        assert got[line].n_known == (got[line].families != "")
+    assert {line: got[line].families for line, family in short.items() if family} == {line: family for line, family in short.items() if family}
+    assert not any(got[line].families or got[line].n_unknown for line in plain)
+    for family, texts in NOTICES.items():
+        assert [got[t].families for t in texts] == [family] * len(texts)

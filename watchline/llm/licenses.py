@@ -10,6 +10,7 @@ notice of that family.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +43,7 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Distributed under the terms of the GNU GPL version 3",
+        "Released under GPLv3",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
@@ -50,6 +52,7 @@ NOTICES = {
     ],
     "CC-BY-4.0": [
         "Licensed under CC BY 4.0.",
+        "Available under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ],
@@ -86,9 +89,12 @@ OTHERS = [
     "You may use the following conditions to obtain a copy of the file.",
     "The license number of the dog is written on its collar.",
     "Distributed systems keep copies of their source and binary logs.",
+    "Distributed under the terms of the treaty of the year.",
+    "Released under the bridge and available under water.",
+    "Available under certain conditions, by version 3 of the plan.",
 ]
-#: A paragraph without any of these is not looked at further: no family is sure without one of them.
-CUES = r"licen|copyright|reserved|warrant|permission|redistribut|confidential|spdx|mozilla"
+#: A paragraph without a family counts as unknown if it speaks of licences by one of these; all are classified.
+CUES = r"licen|copyright|reserved|warrant|permission|redistribut|confidential|spdx|mozilla|gpl|creative commons|\bcc[ -]by\b"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -167,47 +173,55 @@ def literal_map() -> Column:
     return F.map_from_arrays(keys, F.array(*(F.array(*(F.lit(v) for v in row)) for row in weights.values())))
 
 
-def classified(lines: DataFrame, paragraph: str) -> DataFrame:
-    """``lines`` with ``family`` (a confirmed family or unknown) and ``probability`` of a column of paragraphs."""
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def family_of(paragraph: Column) -> Column:
+    """The confirmed family of a paragraph, or unknown."""
     names = [*NOTICES, UNKNOWN]
     weights, bias = classifier()
-    known = lines.withColumn("_words", F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), 0))
-    pairs = F.zip_with(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    known = known.withColumn("_grams", F.array_intersect(F.array_union("_words", pairs), F.array(*(F.lit(g) for g in weights))))
-    scores = F.aggregate(
-        F.transform("_grams", lambda g: F.element_at(literal_map(), g)),
-        F.array(*(F.lit(b) for b in bias)),
-        lambda total, row: F.zip_with(total, row, lambda a, b: a + b),
-    )
-    known = known.withColumn("_scores", scores)
-    top = F.array_max("_scores")
-    known = known.withColumn("_best", F.array_position("_scores", top)).withColumn("probability", 1 / F.aggregate("_scores", F.lit(0.0), lambda t, s: t + F.exp(s - top)))
+    kept = F.array(*(F.lit(g) for g in weights))
     notices = F.array(*(F.array(*(F.array(*(F.lit(w) for w in sorted(set(split(n))))) for n in texts)) for texts in NOTICES.values()))
-    shared = lambda notice: F.size(F.array_intersect("_words", notice)) / F.least(F.size(F.array_distinct("_words")), F.size(notice))
-    alike = F.exists(F.element_at(notices, F.least(F.col("_best"), F.lit(len(NOTICES))).cast("int")), lambda notice: (shared(notice) >= ALIKE) & (F.size(F.array_intersect("_words", notice)) >= 2))
-    sure = (F.col("_best") <= len(NOTICES)) & (F.col("probability") >= SURE) & alike
-    family = F.when(sure, F.element_at(F.array(*(F.lit(n) for n in names)), F.col("_best").cast("int"))).otherwise(UNKNOWN)
-    return known.withColumn("family", family).drop("_words", "_grams", "_scores", "_best")
+
+    def by_words(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        scores = F.aggregate(
+            F.transform(F.array_intersect(F.array_union(words, pairs), kept), lambda g: F.element_at(literal_map(), g)),
+            F.array(*(F.lit(b) for b in bias)),
+            lambda total, row: F.zip_with(total, row, lambda a, b: a + b),
+        )
+        return named(scores, lambda z: by_scores(words, z))
+
+    def by_scores(words: Column, scores: Column) -> Column:
+        top = F.array_max(scores)
+        best = F.array_position(scores, top).cast("int")
+        probability = 1 / F.aggregate(scores, F.lit(0.0), lambda t, s: t + F.exp(s - top))
+        common = lambda notice: F.size(F.array_intersect(words, notice))
+        shared = lambda notice: common(notice) / F.least(F.size(F.array_distinct(words)), F.size(notice))
+        alike = F.exists(F.element_at(notices, F.least(best, F.lit(len(NOTICES)))), lambda notice: (common(notice) >= 2) & (shared(notice) >= ALIKE))
+        sure = F.when(best > len(NOTICES), False).when(probability < SURE, False).otherwise(alike)
+        return F.when(sure, F.element_at(F.array(*(F.lit(n) for n in names)), best)).otherwise(UNKNOWN)
+
+    return named(F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), 0), by_words)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, families, n_known, n_unknown`` of each row.
 
-    Paragraphs are the lines of the text. ``families`` lists the confirmed families, sorted and comma-joined;
-    n_known counts the paragraphs with one; n_unknown those that speak of licences and have none. Null and empty
-    texts have no paragraphs. Each row is looked at on its own; other columns are left out.
+    Paragraphs are the lines of the text, and each is classified. ``families`` lists the confirmed families,
+    sorted and comma-joined; n_known counts the paragraphs with one; n_unknown those that speak of licences and
+    have none. Null and empty texts have no paragraphs. Each row is looked at on its own; other columns are left
+    out.
     """
-    cued = F.filter(F.split("text", "\n"), lambda line: F.lower(line).rlike(CUES))
-    base = docs.select("doc_id", F.when(F.lower("text").rlike(CUES), cued).alias("lines"))
-    none = base.where("lines IS NULL").select("doc_id", F.lit("").alias("families"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("n_unknown"))
-    # The row's own lines are gathered again by a key that is the row's alone: its id and its lines.
-    some = base.where("lines IS NOT NULL").groupBy("doc_id", "lines").agg(F.count("*").alias("copies"))
-    lines = classified(some.select("doc_id", "lines", "copies", F.explode("lines").alias("line")), "line")
-    counted = lines.groupBy("doc_id", "lines").agg(
-        F.first("copies").alias("copies"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("families"),
-        F.count_if(F.col("family") != UNKNOWN).alias("n_known"),
-        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+    spoken = lambda line: F.when(F.lower(line).rlike(CUES), F.lit(UNKNOWN))
+    found = F.transform(F.split("text", "\n"), lambda line: named(family_of(line), lambda f: F.when(f != UNKNOWN, f).otherwise(spoken(line))))
+    each = docs.select("doc_id", F.coalesce(F.filter(found, lambda f: f.isNotNull()), F.expr("cast(array() as array<string>)")).alias("found"))
+    known = F.filter("found", lambda f: f != UNKNOWN)
+    return each.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(known)), ",").alias("families"),
+        F.size(known).cast("long").alias("n_known"),
+        (F.size("found") - F.size(known)).cast("long").alias("n_unknown"),
     )
-    each = counted.select("doc_id", "families", "n_known", "n_unknown", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
-    return none.unionByName(each)
