@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from watchline.llm.secrets import Automaton, credentials, ordinary, redact, scan, scanner
+from watchline.llm.secrets import RATIO, Automaton, credentials, fitted, ordinary, redact, scan, scanner
 
 BASE = [
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),
@@ -52,3 +52,24 @@ def test_redacted(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in redact(docs).collect()}
     assert got == {1: ('x [SECRET]" y [SECRET] z', 24), 2: (None, None), 3: ("plain", 5)}
     assert redact(docs.where("false")).collect() == [] == scan(docs.where("false")).collect()
+
+
+def test_all_held_out_keys_and_the_fitted_ratio(spark):
+    rng = random.Random(77)
+    own = scanner()
+    assert fitted(own) == RATIO
+    for family, strings in credentials(rng, 1000).items():
+        assert sum(map(own.is_secret, strings)) >= 0.99 * len(strings), family
+    for kind, strings in ordinary(rng, 1000).items():
+        assert sum(own.is_secret(s) for s in strings if len(s) >= 16) <= 0.002 * len(strings), kind
+
+
+def test_keys_without_digits(spark):
+    rng = random.Random(78)
+    letters = [s for family in ("payments", "code_host", "secret_key") for s in credentials(rng, 8000)[family] if not any(c.isdigit() for c in s)]
+    assert len(letters) >= 50 and any(s.isalpha() for s in letters)
+    plain = ["Donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean", "getElementsByTagNameNS", "INTERNATIONALIZATION", "z" * 40, "-" * 40, "5731080387325255"]
+    docs = spark.createDataFrame([(i, f"x {s} y", 0) for i, s in enumerate(letters + plain)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert sum(got[i] == "x [SECRET] y" for i in range(len(letters))) >= 0.97 * len(letters)
+    assert all(got[len(letters) + i] == f"x {s} y" for i, s in enumerate(plain))
