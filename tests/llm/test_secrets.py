@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -73,3 +74,9 @@ def test_keys_without_digits(spark):
     got = {r.doc_id: r.text for r in redact(docs).collect()}
     assert sum(got[i] == "x [SECRET] y" for i in range(len(letters))) >= 0.97 * len(letters)
     assert all(got[len(letters) + i] == f"x {s} y" for i, s in enumerate(plain))
+
+
+def test_merged_states_are_let_go():
+    for a in scanner().secret + scanner().plain:
+        assert len(a.seen) == len(a.ends) == len(a.next) == len(a.taken) == a.states
+    assert len(pickle.dumps(scanner())) < 1_000_000

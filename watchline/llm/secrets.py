@@ -162,6 +162,15 @@ class Automaton:
                 self._fold(target, state)
             fringe = [(s, c) for s in settled for c in sorted(self.next[s]) if self.next[s][c] not in settled]
         self.states = len(settled)
+        self._keep(settled)
+
+    def _keep(self, settled: list[int]) -> None:
+        """Leave out the tree's states that were merged into others; workers hold what is left."""
+        place = {s: i for i, s in enumerate(settled)}
+        self.seen = [self.seen[s] for s in settled]
+        self.ends = [self.ends[s] for s in settled]
+        self.taken = [self.taken[s] for s in settled]
+        self.next = [{c: place[t] for c, t in self.next[s].items()} for s in settled]
 
     def log_likelihood(self, text: str) -> float:
         """Natural log of the string's probability; what no state expects costs by the symbols' shares."""
@@ -246,8 +255,9 @@ def scan(docs: DataFrame, with_text: bool = False, mask: str = "[SECRET]") -> Da
     number; other columns are left out.
     """
 
+    own = scanner()  # inferred on the driver, a few hundred states
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner()
         for batch in steps(batches):
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -280,8 +290,9 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> st
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with the secrets in ``text`` masked, and n_chars to match."""
 
+    own = scanner()  # inferred on the driver, a few hundred states
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scanner()
         for batch in steps(batches):
             clean = []
             for text in batch.column("text").to_pylist():
