@@ -53,13 +53,51 @@ def test_base_and_model(spark, monkeypatch, held):
     assert sum(r.score for r in held_rows) > sum(r.base_score for r in held_rows)
 
 
-def test_probabilities_add_up():
-    share = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    model = lm.Vectors.start(share)
-    every = np.arange(lm.CLASSES)
-    for near, far in ((0, 0), (3, 400)):
-        p = 10.0 ** model.log10_probabilities(np.full(lm.CLASSES, near), np.full(lm.CLASSES, far), every)
-        assert p.sum() == pytest.approx(1, abs=1e-3)
+def test_probabilities_of_the_trained_model_add_up(spark):
+    """After any context the units' probabilities, and the shares of a class's other words, make 1."""
+    frame = spark.createDataFrame([(i, t) for i, t in corpus(300) if i is not None], "doc_id long, text string")
+    counts = lm.word_counts(lm.learnt(frame)).cache()
+    known = lm.vocabulary_of(counts)
+    model = lm.train(lm.learnt(frame), known)
+    every = np.arange(known.units)
+    assert not np.allclose(model.values, lm.Vectors.first(known).values)
+    for near, far in ((0, 0), (known.end, known.end), (known.units - 1, 3)):
+        p = 10.0 ** model.log10_probabilities(np.full(known.units, near), np.full(known.units, far), every)
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+    own = {w for w, i in known.place.items() if i < len(known.own_unit)}
+    for g in range(known.classes):  # the class's other words, and one that was never seen
+        rest = [r.c for r in counts.collect() if r.word not in own and known.class_of(r.word) == g]
+        assert sum(c + 1 for c in rest) + 1 == pytest.approx(10 ** known.log_rest[g])
+
+
+def test_score_does_not_depend_on_partitions(spark, monkeypatch):
+    """Shards are of hashes of rows, so the held-out score is the same at any partitioning, and over the base."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 4000)
+    frame = spark.createDataFrame([(i, t) for i, t in corpus(800) if i is not None and t is not None], "doc_id long, text string")
+    sums = lambda rows: [sum(r[c] for r in rows) / sum(r.n_tokens for r in rows) for c in ("score", "base_score")]
+    one, many = (sums([r for r in lm.lm_scores(frame.repartition(n)).collect() if r.held_out]) for n in (1, 64))
+    assert one == pytest.approx(many, abs=1e-6)
+    assert one[0] > one[1] + 0.1
+
+
+def test_texts_of_one_32_bit_hash_stay_apart(spark):
+    """w254943 and w267111 have one 32-bit Murmur value; only one of them is learnt."""
+    docs = [(i, "w254943 w254943") for i in range(40) if not held_out(i)] + [(None, "w254943"), (None, "w267111")]
+    got = lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id IS NULL").collect()
+    assert sorted(r.n_known for r in got) == [1, 2]
+    assert len({r.base_score for r in got}) == len({r.score for r in got}) == 2
+
+
+def test_long_texts_and_other_columns(spark, monkeypatch):
+    """Texts longer than a step, and columns named as the result's, change nothing."""
+    docs = corpus(60)[:60] + [(1000, "xa1 xb2 xc3 " * 500)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, lm.lm_scores(plain).collect()))
+    monkeypatch.setattr(lm, "TEXT_BYTES", 100)
+    clashing = plain.selectExpr("*", "'x' AS word", "1 AS n_tokens", "2 AS shard", "3 AS th")
+    got = sorted(map(tuple, lm.lm_scores(clashing).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:], abs=1e-4) for w in want]
 
 
 def test_empty(spark):
