@@ -1,8 +1,9 @@
+import hashlib
 import random
 import re
 
 from watchline.llm import decontaminate
-from watchline.llm.decontaminate import items_digest, report
+from watchline.llm.decontaminate import report, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -11,6 +12,10 @@ def fold(text):
     return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
 
 
+def items_digest(items):
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
 def brute(docs, items):
     out = []
     for doc_id, text in docs:
@@ -55,12 +60,33 @@ def test_against_brute_force(spark):
     assert rows(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_full_bitmap_and_shuffled_items_give_the_same(spark, monkeypatch):
+    """A benchmark of any size goes the same way: the bitmap lets more through, the join decides."""
     docs, items = case(2)
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 6)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert rows(spark, docs, items) == brute(docs, items)
 
 
+def test_long_texts(spark, monkeypatch):
+    docs, items = case(3)
+    docs.append((500, " ".join(t or "" for _, t in docs)))
+    monkeypatch.setattr("watchline.llm.common.steps.__defaults__", ("text", 200))
+    assert rows(spark, docs, items) == brute(docs, items)
+
+
+def test_stage_keeps_clean_rows_and_all_columns(spark):
+    docs, items = case(4)
+    docs = docs + docs[:2]
+    d = spark.createDataFrame([(*x, "g", 1) for x in docs], "doc_id long, text string, gone string, n_words int")
+    got = without_contaminated(d, spark.createDataFrame(items, "item_id long, text string"))
+    clean = sorted((x for x, row in zip(docs, (brute([x], items)[0] for x in docs), strict=True) if not row[5]), key=repr)
+    assert got.columns == d.columns and sorted((tuple(r)[:2] for r in got.collect()), key=repr) == clean
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert without_contaminated(d, none).count() == len(docs) and without_contaminated(d.limit(0), none).count() == 0
+
+
 def test_empty_tables(spark):
     assert rows(spark, [], [(1, "a b")]) == []
     assert rows(spark, [(1, "a b")], []) == brute([(1, "a b")], [])

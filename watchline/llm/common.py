@@ -20,10 +20,19 @@ MULTIPLIERS = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.u
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names; set one only where there is none."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    """Keep the shared folder that the cluster names; a temporary one only where driver and tasks are one process."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "watchline-checkpoints"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "watchline-checkpoints"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, for tables that queries write between stages."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -32,6 +41,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame) -> str:
+    """A column name that clashes with none of ``df``."""
+    return "_" + "_".join(df.columns)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of at most ``step_bytes`` of text (one row at least)."""
     for batch in batches:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchline.llm.common import coded, gram_hashes, gram_hashes_at, mapped_bytes, staged, steps, texts, word_hashes, words
+from watchline.llm.common import coded, free_name, gram_hashes, gram_hashes_at, mapped_bytes, staged, steps, texts, word_hashes, words
 from watchline.llm.graphs import gathered, regrouped
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -286,6 +286,7 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 def without_near_dups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is kept; rows of one id stay or go together."""
-    gone = staged(groups_of(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+    name = free_name(docs)
+    gone = staged(groups_of(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchline.llm.common import coded, crc_remainder, staged, steps, texts, words
+from watchline.llm.common import coded, crc_remainder, free_name, staged, steps, texts, words
 
 #: Labelled texts of each kind that are learnt from at most, those of the least hashes of their ids.
 TOXIC_TEXTS, OTHER_TEXTS = 2000, 4000
@@ -300,5 +300,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, that score under the threshold."""
-    name = "_" + "_".join(docs.columns)  # clashes with none of them
+    name = free_name(docs)
     return scored(docs, fit(docs, labels, learnable()), docs.columns, name).where(F.col(name) < threshold).drop(name)
