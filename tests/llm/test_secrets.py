@@ -2,6 +2,7 @@ import hashlib
 import pickle
 import random
 import re
+import string
 
 from watchline.llm.secrets import RATIO, Automaton, credentials, fitted, ordinary, redact, scan, scanner
 
@@ -31,14 +32,47 @@ def test_base_spans_against_plain_patterns(spark):
         assert set(base) <= set(r.spans.split(","))
 
 
+def unlisted(rng, n):
+    """Credentials of public formats that the automata are never shown."""
+    some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
+    letters = string.ascii_letters
+    url = letters + string.digits + "-_"
+    made = {
+        "npm": lambda: "npm_" + some(url[:-2], 36),
+        "personal": lambda: "glpat-" + some(url, 20),
+        "mail": lambda: f"SG.{some(url, 22)}.{some(url, 43)}",
+        "hub": lambda: "hf_" + some(letters, 34),
+        "model": lambda: "sk-" + some(url[:-2], 48),
+        "calls": lambda: "SK" + some("0123456789abcdef", 30),
+        "oauth": lambda: "ya29." + some(url, 60),
+        "shop": lambda: "shpat_" + some("0123456789abcdef", 30),
+        "droplet": lambda: "dop_v1_" + some("0123456789abcdef", 31),
+        "account": lambda: some(url[:-2] + "+/", 86) + "==",
+        "plain": lambda: some(url[:-2], 24),
+    }
+    return {k: [make() for _ in range(n)] for k, make in made.items()}
+
+
 def test_held_out_formats_and_ordinary_strings():
     rng = random.Random(99)
     own = scanner()
-    for family, strings in credentials(rng, 100).items():
-        with_digit = [s for s in strings if any(c.isdigit() for c in s)]
-        assert sum(map(own.is_secret, with_digit)) >= (0.7 if family == "secret_key" else 0.9) * len(with_digit), family
+    for family, strings in credentials(rng, 300).items():
+        assert sum(map(own.is_secret, strings)) >= 0.9 * len(strings), family
     for kind, strings in ordinary(rng, 300).items():
-        assert not any(map(own.is_secret, strings)), kind
+        assert sum(map(own.is_secret, strings)) <= 0.01 * len(strings), kind
+
+
+def test_formats_that_were_never_shown(spark):
+    """Planted secrets that no base pattern finds, of formats left out of training, are found whole."""
+    rng = random.Random(98)
+    planted = [(family, s) for family, strings in unlisted(rng, 100).items() for s in strings]
+    docs = [(i, f"some words {s} and more words") for i, (_, s) in enumerate(planted)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hit = {f: [] for f, _ in planted}
+    for i, (family, s) in enumerate(planted):
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == (0, 0, 0)
+        hit[family].append(f"format:11:{11 + len(s)}" in got[i].spans.split(","))
+    assert {f: sum(x) for f, x in hit.items() if sum(x) < 90} == {}
 
 
 def test_states_merge():
@@ -60,7 +94,8 @@ def test_all_held_out_keys_and_the_fitted_ratio(spark):
     own = scanner()
     assert fitted(own) == RATIO
     for family, strings in credentials(rng, 1000).items():
-        assert sum(map(own.is_secret, strings)) >= 0.99 * len(strings), family
+        shape = family in ("opaque", "marked", "marked_digest", "parts", "small", "capital")
+        assert sum(map(own.is_secret, strings)) >= (0.97 if shape else 0.99) * len(strings), family
     for kind, strings in ordinary(rng, 1000).items():
         assert sum(own.is_secret(s) for s in strings if len(s) >= 16) <= 0.002 * len(strings), kind
 
@@ -80,3 +115,14 @@ def test_merged_states_are_let_go():
     for a in scanner().secret + scanner().plain:
         assert len(a.seen) == len(a.ends) == len(a.next) == len(a.taken) == a.states
     assert len(pickle.dumps(scanner())) < 1_000_000
+
+
+def test_clashing_columns_and_long_texts(spark, monkeypatch):
+    """Columns named as the result's are left out, and a text over one step is scanned whole."""
+    monkeypatch.setattr("watchline.llm.common.steps.__defaults__", ("text", 50))
+    secret = "ghp_a1B2c3D4e5F6a7B8c9D0e1F2g3H4i5J6k7L8"
+    text = "word " * 5000 + secret
+    rows = [(1, text, "x", 3), (1, text, "x", 3), (None, "word", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")
+    got = sorted(tuple(r) for r in scan(docs).select("spans", "n_hex").collect())
+    assert got == [("", 0)] + [(f"format:25000:{25000 + len(secret)}", 0)] * 2

@@ -27,7 +27,7 @@ from watchline.llm.common import steps
 #: Labelled examples of each family, and of each kind of ordinary string, that the automata learn from.
 EXAMPLES = 1000
 #: A candidate is a secret if its log likelihood ratio is over this: what fitted() gives, kept here for the workers.
-RATIO = 0.5
+RATIO = 1.0
 
 KINDS = ["assign", "access", "hex", "format"]
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -49,9 +49,15 @@ def symbols(text: str, literal: int = 0) -> str:
 
 
 def credentials(rng: random.Random, n: int) -> dict[str, list[str]]:
-    """Labelled credentials: n of each published format."""
+    """Labelled credentials: n of each published format, and n of each general shape that formats have.
+
+    The shapes (random characters alone, in parts, or after a mark of a few letters) let the automata know
+    credentials of formats that aren't listed.
+    """
     some = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
-    base64 = LOWER + UPPER + DIGITS
+    base64, hexadecimal = LOWER + UPPER + DIGITS, "0123456789abcdef"
+    mark = lambda: some(rng.choice([LOWER, LOWER, UPPER]), rng.randint(2, 6)) + rng.choice("_-.")
+    body = lambda a, b: some(rng.choice([base64, base64, base64 + "-_", base64 + "+/", LOWER + UPPER]), rng.randint(a, b))
     made = {
         "access_key_id": lambda: "AKIA" + some(UPPER + "234567", 16),
         "code_host": lambda: "gh" + rng.choice("pousr") + "_" + some(base64, 36),
@@ -61,6 +67,12 @@ def credentials(rng: random.Random, n: int) -> dict[str, list[str]]:
         "digest": lambda: some("0123456789abcdef", rng.choice([32, 40, 64])),
         "secret_key": lambda: some(base64 + "+/", 40),
         "signed": lambda: f"eyJ{some(base64, rng.randint(17, 30))}.eyJ{some(base64, rng.randint(30, 60))}.{some(base64 + '-_', 43)}",
+        "opaque": lambda: body(20, 64),
+        "marked": lambda: mark() + body(20, 48),
+        "marked_digest": lambda: mark()[: rng.choice([-1, None])] + some(hexadecimal, rng.randint(24, 64)),
+        "parts": lambda: ".".join([*([mark()[:-1]] * rng.randint(0, 1)), *(body(16, 48) for _ in range(rng.randint(2, 3)))]),
+        "small": lambda: some(LOWER + DIGITS, rng.randint(24, 50)),
+        "capital": lambda: some(UPPER + DIGITS, rng.randint(20, 40)),
     }
     return {family: [make() for _ in range(n)] for family, make in made.items()}
 
@@ -78,6 +90,7 @@ def ordinary(rng: random.Random, n: int) -> dict[str, list[str]]:
         "mailbox": lambda: f"{word(1, 3)}.{number(1, 4)}.{word(2, 3)}{number(1, 3)}.{word(2, 4)}.com",
         "path": lambda: "/".join([word(1, 4), *(capital(word(1, 4)) + rng.choice(["", number(1, 4)]) for _ in range(rng.randint(2, 6)))]),
         "compound": lambda: rng.choice("-_").join(capital(word(1, 3)) + rng.choice(["", number(1, 4)]) for _ in range(rng.randint(4, 9))),
+        "clauses": lambda: ".".join([rng.choice([word(4, 9), word(4, 9).capitalize()]), rng.choice([number(1, 4), word(1, 6), word(1, 6).capitalize()])]),
         "numbered": lambda: capital(word(6, 10)) + number(1, 5),
         "camel": lambda: rng.choice([word(1, 3), ""]) + "".join(word(1, 4).capitalize() for _ in range(rng.randint(3, 7))) + rng.choice(["", "", "NS", "ID", "URL"]),
         "run": lambda: rng.choice(LOWER + UPPER + DIGITS + "-_./+") * rng.randint(16, 70),
@@ -230,7 +243,7 @@ def scanner() -> Scanner:
 def fitted(own: Scanner, n: int = 1000) -> float:
     """The ratio that parts labelled strings the automata haven't seen best.
 
-    Its cost is the share of the worst family that it misses, and ten times the share of the worst ordinary kind
+    Its cost is the share of the worst family that it misses, and fifty times the share of the worst ordinary kind
     that it takes, as ordinary strings are the many; of equally good ones, the middle, in halves.
     """
     rng = random.Random(20240608)
@@ -238,7 +251,7 @@ def fitted(own: Scanner, n: int = 1000) -> float:
     secret, plain = held(credentials(rng, n)), held({kind: [s for s in strings if len(s) >= 16] for kind, strings in ordinary(rng, n).items()})
     missed = lambda t: max(bisect_right(r, t) / len(r) for r in secret)
     taken = lambda t: max(1 - bisect_right(r, t) / len(r) for r in plain)
-    cost = {t / 2: missed(t / 2) + 10 * taken(t / 2) for t in range(-20, 61)}
+    cost = {t / 2: missed(t / 2) + 50 * taken(t / 2) for t in range(-20, 61)}
     best = [t for t, c in cost.items() if c == min(cost.values())]
     return best[len(best) // 2]
 
