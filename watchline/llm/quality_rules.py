@@ -73,6 +73,8 @@ def rules() -> dict[str, Column]:
     per_word = lambda name: c(name) / F.nullif(c("n_words"), F.lit(0))
     upper = c("n_upper") / F.nullif(c("n_letters"), F.lit(0))
     letters = c("n_letters") / F.nullif(c("word_chars"), F.lit(0))
+    # Distinct words grow with a power of the words of a text; the power doesn't depend on the length.
+    variety = F.log(c("n_distinct").cast("double")) / F.when(c("n_words") > 1, F.log(c("n_words").cast("double")))
     dup_lines = c("n_dup_lines") / F.when(c("n_lines") > 1, c("n_lines"))
     return {
         "length": vote(c("n_words") >= 50, c("n_words") < 20),
@@ -84,7 +86,7 @@ def rules() -> dict[str, Column]:
         "repeats": vote(per_word("n_repeat_words") <= 0.05, per_word("n_repeat_words") > 0.3),
         "letters": vote(letters >= 0.9, letters < 0.8),
         "lettered": vote(per_word("n_lettered") >= 0.9, per_word("n_lettered") < 0.7),
-        "variety": vote(per_word("n_distinct") >= 0.25, (per_word("n_distinct") < 0.1) & (c("n_words") < 2000)),
+        "variety": vote(variety >= 0.8, variety < 0.7),
     }
 
 
