@@ -175,7 +175,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 def landmarks_of(toxic: list[str], other: list[str]) -> list[str]:
     """Toxic words far from each other, then the other words nearest to them."""
-    toxic = toxic[:4000]
     chosen = [0]
     near = kernel(toxic, toxic[:1])[:, 0]
     while len(chosen) < min(len(toxic), LANDMARKS * 2 // 3):
@@ -220,7 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     marked = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     some = lambda toxic, n: marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = some(True, TOXIC_TEXTS).union(some(False, OTHER_TEXTS))  # bounded, so it may be broadcast
-    sample = staged(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One text of each id, the one of the least hash, so that the bounds hold for the sample too.
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    sample = staged(one.select("row.text", "row.toxic"))
     total = sample.agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("u")).first()
     share = marked.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not total.t or not total.u:
