@@ -19,6 +19,7 @@ from watchline.llm.quality_rules import counted
 LABELLED = 20_000
 #: Groups that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
+SALTS = 32
 #: Evidence is kept this far from 0 and 1, and a shrinkage weight within these bounds, in documents.
 MARGIN, LEAST_WEIGHT, MOST_WEIGHT = 1e-3, 1.0, 1e4
 
@@ -87,7 +88,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     rows = staged(counted(keyed, "struct<doc_id:bigint,host:string,path:string>").select("doc_id.*", F.array(*features).alias("x")))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # bounded, so it may be broadcast
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("x", "quality").limit(4 * LABELLED).collect()
+    # One row of each id, the least one, so that LABELLED bounds what comes to the driver.
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
     x, y = np.array([r.x for r in sample]), np.array([float(r.quality > 0) for r in sample])
     coefficients, intercept = regression(x, y) if len(set(y)) == 2 else (np.zeros(len(features)), 0.0)
     z = F.lit(float(intercept))
@@ -108,7 +110,12 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     groups = staged(placed.select("host", "path", "host_posterior", ((F.col("total") + within * F.col("host_posterior")) / (F.col("n") + within)).alias("path_posterior")))
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     groups = groups.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior")
-    joined = rows.join(F.broadcast(groups) if few else groups, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    found = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    if few:
+        joined = rows.join(F.broadcast(groups), found)
+    else:  # a host may hold a third of all rows: its rows are dealt over SALTS tasks, each with a copy of its groups
+        salted = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "evidence"), F.lit(SALTS)).cast("int")).join(salted, found & (F.col("salt") == F.col("s")))
     odds = log_odds(F.col("evidence")) + log_odds(F.col("path_posterior")) - F.lit(float(np.log(whole / (1 - whole))))
     posterior = 1 / (1 + F.exp(-odds))
     return joined.select("doc_id", "evidence", "host_posterior", "path_posterior", posterior.alias("posterior"), (posterior >= threshold).alias("kept"))
