@@ -234,7 +234,9 @@ def large_links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = blocks.where("large")
     near = only(sets, staged(rows.select("node").distinct()), "node")
-    return rows.join(near, "node").groupBy("band", "key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+    # Rows are few and comparing them is slow, so that tasks go by number and not by bytes.
+    spread = rows.join(near, "node").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "key", "left", "right")
+    return spread.groupBy("band", "key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
 def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
