@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from watchline.llm import bpe, decontaminate, near_dups, secrets, toxicity
-from watchline.llm.common import ensure_checkpoint_dir
-from watchline.llm.queries import TOKENIZERS
+from watchline.llm.common import shared_folder
+from watchline.llm.queries import VOCABULARY
 from watchline.sources.tables import table
 
 
@@ -30,7 +30,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(docs, f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=True)
+    return bpe.encode_table(docs, VOCABULARY, with_ids=True)
 
 
 STAGES = [
@@ -46,11 +46,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents; each stage's rows are written to the shared folder and read again.
+
+    A stage's folder goes as soon as the next one is written; the last one stays, as the result is read from it.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            removed(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

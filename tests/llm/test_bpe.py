@@ -5,9 +5,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from watchline.llm.bpe import Codec, encode_table
-from watchline.llm.queries import TOKENIZERS
+from watchline.llm.queries import VOCABULARY
 
-PATH = f"{TOKENIZERS}/byte_bpe_50k.json"
+PATH = VOCABULARY
 
 
 @pytest.fixture(scope="module")

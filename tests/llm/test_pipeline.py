@@ -8,7 +8,7 @@ from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_dups import brute as near
 from tests.llm.test_toxicity import corpus
 from watchline.llm import toxicity
-from watchline.llm.queries import TOKENIZERS
+from watchline.llm.queries import VOCABULARY
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = [(i, t) for i, t in left if not {r[0]: r[5] for r in contaminated(left, items)}[i]]
     left = [(i, t if i != 2001 else 'x [SECRET]" y') for i, t in left]
     assert 2000 not in dict(left) and set(got) == set(dict(left)) and len(left) < len(rows) - 90
-    theirs = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(VOCABULARY)
     for i, t in left:
         ids = theirs.encode(t or "", add_special_tokens=False).ids
         assert got[i].ids == ids and got[i].n_tokens == len(ids)

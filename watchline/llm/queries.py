@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from watchline.llm import bpe, decontaminate, language_model, licenses, near_dups, quality_rules, secrets, site_quality, substrings, toxicity
@@ -12,13 +11,13 @@ from watchline.sources.tables import table
 
 REGISTRY = Registry()
 
-#: Folder of the public tokenizers' files, on every worker.
-TOKENIZERS = os.environ.get("WATCHLINE_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary's file, at the same place on every worker.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @REGISTRY.query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_table(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 @REGISTRY.query("op8_decontaminate")
