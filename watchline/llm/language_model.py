@@ -154,27 +154,34 @@ class Vectors:
 
     def log10_probabilities(self, near: np.ndarray, far: np.ndarray, then: np.ndarray) -> np.ndarray:
         """Of the unit ``then`` after ``near`` and, before that, ``far``."""
-        query = self.near[near] + self.far[far]
-        cls = self.class_of_unit[then]
-        out = np.empty(len(then))
-        for a in range(0, len(then), TOKENS_AT_ONCE):
-            b = min(a + TOKENS_AT_ONCE, len(then))
-            out[a:b] = chosen(query[a:b] @ self.of_class.T + self.class_bias, cls[a:b])
+        # Sums over all classes are computed once for each context; few of a step's tokens have one of their own.
+        context, which = np.unique(near * len(self.near) + far, return_inverse=True)
+        query = self.near[context // len(self.near)] + self.far[context % len(self.near)]
+        total = np.empty(len(context), np.float32)
+        for a in range(0, len(context), TOKENS_AT_ONCE):
+            b = a + TOKENS_AT_ONCE
+            total[a:b] = log_sums(query[a:b] @ self.of_class.T + self.class_bias)
+        query, cls = query[which], self.class_of_unit[then]
+        out = (np.einsum("ij,ij->i", query, self.of_class[cls]) + self.class_bias[cls] - total[which]).astype(float)
+        out += np.einsum("ij,ij->i", query, self.unit[then]) + self.unit_bias[then]
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.class_bias) + 1))
         for g in np.flatnonzero(np.diff(bounds)):
             low, high = self.start[g], self.start[g + 1]
             for a in range(bounds[g], bounds[g + 1], TOKENS_AT_ONCE):
                 at = order[a : min(a + TOKENS_AT_ONCE, bounds[g + 1])]
-                out[at] += chosen(query[at] @ self.unit[low:high].T + self.unit_bias[low:high], then[at] - low)
+                out[at] -= log_sums(query[at] @ self.unit[low:high].T + self.unit_bias[low:high])
         return out / np.log(10)
 
 
-def chosen(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural logs of the normalised probabilities of one column in each row."""
-    scores -= scores.max(1, keepdims=True)
-    own = scores[np.arange(len(at)), at]
-    return own - np.log(np.exp(scores, out=scores).sum(1))
+def log_sums(scores: np.ndarray) -> np.ndarray:
+    """Natural logs of the sums of each row's exponentials."""
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(scores).sum(1))
+    if not np.isfinite(out).all():  # out of the range of short floats
+        top = scores.max(1, keepdims=True)
+        out = top[:, 0] + np.log(np.exp(scores - top).sum(1))
+    return out
 
 
 def contexts(units: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
