@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Characters that plate readers confuse, plate formats, and names of object classes.
 CONFUSABLE = [("3", "E"), ("5", "S"), ("0", "O"), ("1", "I")]
-PLATE_FORMATS = [r"^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{4}$", r"^[A-Z0-9]{6,10}$"]
+PLATE_FORMATS = [r"^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{4}$", r"^[0-9]{2}[A-Z][0-9]{5,6}[A-Z]?$", r"^[A-Z]{2}\s?\d{1,2}\s?[A-Z]{1,3}\s?\d{1,4}$"]
 CLASS_NAMES = {"person": ["person", "people", "man", "woman", "pedestrian"], "car": ["car", "cars", "sedan"], "truck": ["truck", "trucks", "lorry"], "motorcycle": ["motorcycle", "motorbike", "bike"], "bus": ["bus", "buses"]}
 VEHICLES = ["car", "truck", "motorcycle", "bus", "bicycle"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,68 @@ def src09(spark: S, d: str) -> DataFrame:
     return observations(spark, d).select("event_id", F.concat(F.lit("SENSOR_"), kind).alias("object_class"), (F.col("k") / 100).alias("confidence"))
 
 
-@query("src11_zone_templates", "SELECT * FROM (VALUES ('restricted', 4), ('perimeter', 4), ('gate', 4), ('corridor', 4)) t(template, vertices)", False)
-def src11(spark: S, d: str) -> DataFrame:
-    rows = [(name, len(t["polygon"])) for name, t in ZONE_TEMPLATES.items()]
-    return spark.createDataFrame(rows, "template string, vertices int")
+AREAS = {name: t for name, t in ZONE_TEMPLATES.items() if len(t["points"]) > 2}
 
 
-@query("src19_profiles", "SELECT * FROM (VALUES ('balanced', 2), ('accuracy', 1), ('throughput', 3), ('low_power', 5)) t(profile, stride)", False)
+@query(
+    "src11_zone_templates",
+    "SELECT zone_id, severity, loitering_s, count(*) AS n FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS zone_id, '{severity}' AS severity, {wait} AS loitering_s, event_id FROM x WHERE {inside_sql(points)}"
+        for name, severity, wait, points in [
+            ("BORDER_RESTRICTED_STRIP", "restricted", 1.5, [(50.0, 450.0), (1230.0, 450.0), (1230.0, 700.0), (50.0, 700.0)]),
+            ("GATE_ACCESS_FUNNEL", "warning", 3.0, [(400.0, 100.0), (880.0, 100.0), (750.0, 650.0), (530.0, 650.0)]),
+            ("CRITICAL_INFRASTRUCTURE_BOX", "critical", 0.5, [(200.0, 150.0), (550.0, 150.0), (550.0, 450.0), (200.0, 450.0)]),
+        ]
+    )
+    + ") GROUP BY ALL",
+)
+def src11(spark: S, d: str) -> DataFrame:
+    """The templates of areas put into use: positions inside each."""
+    area = lambda name, t: spark.range(1).select(F.lit(name).alias("zone_id"), geo.polygon(t["points"]).alias("polygon"), F.lit(True).alias("is_active"), F.lit(t["severity"]).alias("severity"), F.lit(t["loitering_s"]).cast("double").alias("loitering_s"))
+    areas = reduce(DataFrame.unionByName, (area(*x) for x in AREAS.items()))
+    inside_them = zones.positions_in_zones(observations(spark, d), areas.drop("severity", "loitering_s")).where("inside")
+    return inside_them.groupBy("zone_id").agg(F.count("*").alias("n")).join(areas.select("zone_id", "severity", "loitering_s"), "zone_id").select("zone_id", "severity", "loitering_s", "n")
+
+
+@query(
+    "src19_profiles",
+    "SELECT profile, count(*) AS kept FROM (SELECT event_id, k, ['STANDARD_DAY', 'HIGH_SENSITIVITY_NIGHT', 'ADVERSE_WEATHER_STORM', 'HIGH_TRAFFIC_CONVOY'][user_id % 4 + 1] AS profile FROM x) "
+    "WHERE k / 100.0 >= CASE profile WHEN 'STANDARD_DAY' THEN 0.25 WHEN 'HIGH_SENSITIVITY_NIGHT' THEN 0.15 WHEN 'ADVERSE_WEATHER_STORM' THEN 0.32 ELSE 0.25 END "
+    "AND event_id % CASE profile WHEN 'HIGH_SENSITIVITY_NIGHT' THEN 1 WHEN 'HIGH_TRAFFIC_CONVOY' THEN 3 ELSE 2 END = 0 GROUP BY profile",
+)
 def src19(spark: S, d: str) -> DataFrame:
-    return spark.createDataFrame([(name, p["stride"]) for name, p in PROFILES.items()], "profile string, stride int")
+    """Detections that each profile lets through: sure enough, on a frame of its stride."""
+    profiles = spark.createDataFrame([(i, name, p["confidence"], p["stride"]) for i, (name, p) in enumerate(PROFILES.items())], "i long, profile string, least double, stride int")
+    rows = observations(spark, d).withColumn("i", F.col("user_id") % len(PROFILES)).join(F.broadcast(profiles), "i")
+    return rows.where("k / 100 >= least AND event_id % stride = 0").groupBy("profile").agg(F.count("*").alias("kept"))
+
+
+FRAME_BOXES_SQL = ", d AS (SELECT event_id AS detection_id, k, camera_id, x AS x1, y AS y1, x + 900 AS x2, y + 500 AS y2 FROM x WHERE event_id % 3 <> 0), t AS (SELECT event_id AS track_id, k, camera_id, x AS x1, y AS y1, x + 900 AS x2, y + 500 AS y2 FROM x WHERE event_id % 3 = 0)"
+LINK_SQL = (
+    FRAME_BOXES_SQL
+    + ", p AS (SELECT d.detection_id, t.track_id, greatest(0, least(d.x2, t.x2) - greatest(d.x1, t.x1)) * greatest(0, least(d.y2, t.y2) - greatest(d.y1, t.y1)) AS common FROM d JOIN t ON d.k = t.k AND d.camera_id = t.camera_id)"
+)
+
+
+def frame_boxes(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+    """Detections and, from every third event, tracks of the same frames."""
+    x = observations(spark, d)
+    side = lambda rows, name, p: rows.select("k", "camera_id", F.col("event_id").alias(name), F.col("x").alias(f"{p}_x1"), F.col("y").alias(f"{p}_y1"), (F.col("x") + 900).alias(f"{p}_x2"), (F.col("y") + 500).alias(f"{p}_y2"))
+    tracks = side(x.where("event_id % 3 = 0"), "track_id", "t").withColumn("track_order", F.col("track_id"))
+    return side(x.where("event_id % 3 <> 0"), "detection_id", "d"), tracks
 
 
-@query("snk08_linked_detections", "SELECT l_orderkey, l_linenumber, (SELECT min(o.l_linenumber) FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linenumber <> l.l_linenumber AND o.l_quantity > l.l_quantity) AS linked FROM lineitem l", False)
+@query("snk08_linked_detections", LINK_SQL + "SELECT d.detection_id, min(p.track_id) AS track_id FROM d LEFT JOIN p ON p.detection_id = d.detection_id AND common / (900000 - common) > 0.5 GROUP BY d.detection_id")
 def snk08(spark: S, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    o = lines.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"))
-    first = lines.join(o, "l_orderkey").where("n <> l_linenumber AND q > l_quantity").groupBy(*lines.columns).agg(F.min("n").alias("linked"))
-    return lines.join(first, lines.columns, "left").drop("l_quantity")
+    detections, tracks = frame_boxes(spark, d)
+    return joins.linked_detections(detections, tracks, ["k", "camera_id"]).select("detection_id", "track_id")
+
+
+@query("j03_overlap_links", LINK_SQL + "SELECT track_id, count(*) AS n FROM (SELECT detection_id, min(track_id) AS track_id FROM p WHERE common / (900000 - common) > 0.5 GROUP BY detection_id) GROUP BY track_id")
+def j03(spark: S, d: str) -> DataFrame:
+    """How many detections each track is linked with."""
+    return snk08(spark, d).where("track_id IS NOT NULL").groupBy("track_id").agg(F.count("*").alias("n"))
 
 
 @query("snk10_metadata_merge", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 'new' ELSE 'old' END AS a, 'keep' AS b FROM x")
@@ -199,15 +246,21 @@ def scr07(spark: S, d: str) -> DataFrame:
     return observations(spark, d).select("event_id", F.round(scoring.correlation_confidence(F.col("k").cast("double"), linked, F.lit(60.0)), 6).alias("confidence"))
 
 
-@query("strg02_confusable", "SELECT p_partkey, length(p_brand) = length(p_type) AND p_brand = p_type AS same FROM part", False)
+PLATES = ["K3E5S0O1I", "KEE5S0O1I", "KE35S0O1I", "KE3SS0O1I", "X3E5S0O1I", "K3E5S0O1", "K3ES5001I"]
+
+
+@query("strg02_confusable", "SELECT event_id, [true, true, true, false, false, false, false][k % 7 + 1] AS same FROM x")
 def strg02(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", text.confusable(F.col("p_brand"), F.col("p_type")).alias("same"))
+    """A plate with itself, with one and two known swaps, with three, another letter, a missing one, and three again."""
+    other = F.element_at(F.array(*(F.lit(p) for p in PLATES)), (F.col("k") % len(PLATES) + 1).cast("int"))
+    return observations(spark, d).select("event_id", text.confusable(F.lit(PLATES[0]), other).alias("same"))
 
 
-@query("strg03_plate_format", "SELECT user_id, regexp_matches('KA' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || 'AB' || CAST(k AS VARCHAR), '^[A-Z]{2}[0-9]{1,2}[A-Z]{1,3}[0-9]{4}$|^[A-Z0-9]{6,10}$') AS valid FROM x")
+@query("strg03_plate_format", "SELECT event_id, [true, true, true, true, false, false, false, true][k % 8 + 1] AS valid FROM x")
 def strg03(spark: S, d: str) -> DataFrame:
-    plate = F.concat(F.lit("KA"), F.lpad((F.col("user_id") % 100).cast("string"), 2, "0"), F.lit("AB"), F.col("k").cast("string"))
-    return observations(spark, d).select("user_id", text.is_plate(plate).alias("valid"))
+    plates = ["KA01AB1234", "21B12345", "21B123456X", "MH 12 AB 1", "KA01AB12345", "1234567", "B12345", "DL4C77"]
+    plate = F.element_at(F.array(*(F.lit(p) for p in plates)), (F.col("k") % len(plates) + 1).cast("int"))
+    return observations(spark, d).select("event_id", text.is_plate(plate).alias("valid"))
 
 
 @query("strg07_class_names", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(person|people|man|woman|pedestrian)\\b') THEN 'person' WHEN regexp_matches(lower(text), '\\b(car|cars|sedan)\\b') THEN 'car' WHEN regexp_matches(lower(text), '\\b(truck|trucks|lorry)\\b') THEN 'truck' WHEN regexp_matches(lower(text), '\\b(motorcycle|motorbike|bike)\\b') THEN 'motorcycle' WHEN regexp_matches(lower(text), '\\b(bus|buses)\\b') THEN 'bus' END AS class_name FROM documents", False)
@@ -231,9 +284,9 @@ def dt05(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(F.col("event_id") / 30.0, 6).alias("media_s"))
 
 
-@query("mth01_half_even", "SELECT event_id, round_even(k / 8.0, 2) AS r FROM x")
+@query("mth01_half_even", "SELECT event_id, round_even(CAST(CAST(k / 8.0 AS DOUBLE) AS DECIMAL(38, 20)), 2)::DOUBLE AS r, round_even(k % 3 + 0.5, 0)::DOUBLE AS whole FROM x")
 def mth01(spark: S, d: str) -> DataFrame:
-    return observations(spark, d).select("event_id", F.bround(F.col("k") / 8, 2).alias("r"))
+    return observations(spark, d).select("event_id", F.bround(F.col("k") / 8, 2).alias("r"), F.bround(F.col("k") % 3 + F.lit(0.5).cast("double"), 0).alias("whole"))
 
 
 @query("mth02_clamp", "SELECT event_id, greatest(10.0, least(80.0, value)) AS v FROM x")

@@ -95,6 +95,11 @@ def str09(spark: S, d: str) -> DataFrame:
     return incidents.incidents(numbered, ["user_id"], "ts", "event_id", "value")
 
 
+@query("agg15_dedup_rate", SESSION_SQL + "SELECT sum(n_events) AS n_events, count(*) AS n_incidents, count(*) FILTER (WHERE qualifying > 0) AS n_alerts, round(100.0 * (sum(n_events) - count(*) FILTER (WHERE qualifying > 0)) / sum(n_events), 1) AS suppression_rate FROM a")
+def agg15(spark: S, d: str) -> DataFrame:
+    return incidents.suppression(str09(spark, d))
+
+
 @query("str11_one_alert", SESSION_SQL + "SELECT sum(n_events) AS n_events, count(*) AS n_incidents, count(*) FILTER (WHERE qualifying > 0) AS n_alerts, round(100.0 * (sum(n_events) - count(*) FILTER (WHERE qualifying > 0)) / sum(n_events), 1) AS suppression_rate FROM a")
 def str11(spark: S, d: str) -> DataFrame:
     return incidents.suppression(str09(spark, d))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchline.functions.text import VEHICLES
 from watchline.operators import events as ev
+from watchline.operators import reports
 from watchline.questions.times import Span, time_span
 
 #: What is refused, by words, with the status of the answer. The order counts.
@@ -46,8 +48,11 @@ INTENTS = [
     ("zone_story", False, ["who entered", "in zone"]),
     ("camera_summary", False, [""]),
 ]
+#: Seconds that an intent looks back when the question names no time.
+LOOK_BACK = {"threat_status": 300, "recent_history": 600}
 GREETING = re.compile(r"^(hi|hello|hey|help|good\s+(morning|afternoon|evening)|howdy|greetings|who are you|what can you do)[\s!.,?]*$")
 TRACK = re.compile(r"\btrack\s*#?\s*(\d+)", re.I)
+ENTITY = re.compile(r"\b(?:global-)?(person|vehicle)-(\d+)", re.I)
 CAMERA = re.compile(r"\b(cam[-_ ]?[\w-]*\d[\w-]*)", re.I)
 
 
@@ -59,6 +64,7 @@ class QuerySpec:
     track: str | None = None
     camera: str | None = None
     span: Span | None = None
+    entity: str | None = None
 
 
 @dataclass
@@ -82,7 +88,46 @@ def parsed(question: str, now: datetime, camera: str | None = None) -> QuerySpec
     track = m[1] if (m := TRACK.search(question)) else None
     camera = camera or (m[1].upper().replace(" ", "-") if (m := CAMERA.search(question)) and not m[1].lower().startswith("camera") else None)
     intent = "greeting" if GREETING.match(low) else next(name for name, needs, words in INTENTS if (track or not needs) and any(w in low for w in words))
-    return QuerySpec(intent, track, camera, time_span(question, now))
+    span = time_span(question, now)
+    if span is None and intent in LOOK_BACK:
+        span = Span(now - timedelta(seconds=LOOK_BACK[intent]), now, "default")
+    entity = f"GLOBAL-{m[1].upper()}-{int(m[2]):03d}" if (m := ENTITY.search(question)) else None
+    return QuerySpec(intent, track, camera, span, entity)
+
+
+def refusal_kind(text: Column) -> Column:
+    """The kind of the first refusal whose words a question holds, or null."""
+    low = F.lower(text)
+    holds = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), low.contains)
+    return F.coalesce(*(F.when(holds(words), F.lit(kind)) for kind, _, words in REFUSALS))
+
+
+def is_greeting(text: Column) -> Column:
+    return F.lower(F.trim(text)).rlike(GREETING.pattern)
+
+
+def live(events: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """``camera_id, n``: tracks last seen as one of ``kinds`` (null: any), by camera."""
+    last = events.groupBy("camera_id", "local_track_id").agg(F.max_by("entity_type", F.struct("timestamp", "seq_id")).alias("entity_type"))
+    last = last.where(F.col("entity_type").isin(kinds)) if kinds else last
+    return last.groupBy("camera_id").agg(F.count("local_track_id").alias("n"))
+
+
+def summary_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
+    """The rows of those intents that are answered by counts and stays in place of single events; None for others."""
+    if spec.intent in ("live_cameras", "live_people", "live_vehicles"):
+        return live(events, {"live_people": ["person"], "live_vehicles": VEHICLES}.get(spec.intent)).orderBy(F.desc("n"), "camera_id")
+    if spec.intent == "busiest_camera":
+        return live(events).orderBy(F.desc("n"), "camera_id").limit(1)
+    if spec.intent == "zones":
+        return events.where(F.col("zone_id").isNotNull()).groupBy("zone_id").agg(F.count("*").alias("n")).orderBy("zone_id")
+    if spec.intent == "system_status":
+        return events.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("camera_id").alias("cameras"), F.max("seq_id").alias("last")).orderBy("event_type")
+    if spec.intent == "follow_entity" and (spec.entity or spec.track):
+        own = F.col("global_entity_id") == spec.entity if spec.entity else F.col("local_track_id") == spec.track
+        rows = events.where(own).withColumn("entity", F.lit(spec.entity or spec.track))
+        return reports.journeys(rows, "entity", "camera_id", "timestamp", "seq_id").orderBy("hop")
+    return None
 
 
 def rows_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
@@ -109,7 +154,7 @@ def rows_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
         "highest_risk": (alert, 1),
         "threat_status": (alert | zone, 200),
         "recent_history": (F.lit(True), 10),
-        "vehicles": (F.col("entity_type").isin("car", "truck", "bus", "motorcycle"), 500),
+        "vehicles": (F.col("entity_type").isin(VEHICLES), 500),
         "night": (alert & F.lower(F.coalesce(payload("message"), F.lit(""))).rlike("night|dark"), 20),
         "crossings": (moves("crossed"), 2000),
         "zone_story": (zone, 2000),
@@ -128,12 +173,12 @@ def answer(question: str, events: DataFrame, now: datetime, camera: str | None =
     spec = parsed(question, now, camera)
     if spec.intent == "greeting":
         return Answer(question, "answered", "grounded", facts=["Ask about tracks, zones, alerts, cameras or times."])
-    if spec.intent in ("live_cameras", "busiest_camera", "live_people", "live_vehicles"):
-        kinds = {"live_people": ["person"], "live_vehicles": ["car", "truck", "bus", "motorcycle"]}.get(spec.intent)
-        last = events.groupBy("camera_id", "local_track_id").agg(F.max_by("entity_type", F.struct("timestamp", "seq_id")).alias("entity_type"))
-        last = last.where(F.col("entity_type").isin(kinds)) if kinds else last
-        found = last.groupBy("camera_id").agg(F.count("local_track_id").alias("n")).orderBy(F.desc("n"), "camera_id").limit(1 if spec.intent == "busiest_camera" else 100).collect()
-        facts = [f"{r.camera_id}: {r.n} tracks" for r in found]
+    counted = summary_for(spec, events)
+    if counted is not None:
+        found = counted.limit(100).collect()
+        name = {"zones": "zone_id", "system_status": "event_type", "follow_entity": "camera_id"}.get(spec.intent, "camera_id")
+        what = {"zones": "events", "system_status": "events", "follow_entity": None}.get(spec.intent, "tracks")
+        facts = [f"{r[name]}: {r.n} {what}" if what else f"{r.hop}: {r.camera} from {r.arrived} to {r.left}" for r in found]
         return Answer(question, "answered" if found else "no_records_found", "grounded" if found else "no_data", facts=facts)
     rows = rows_for(spec, events)
     found = [r.asDict() for r in rows.collect()] if rows is not None else []
