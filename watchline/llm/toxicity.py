@@ -173,12 +173,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return w[:-1], w[-1]
 
 
-def landmarks_of(toxic: list[str], other: list[str]) -> list[str]:
-    """Toxic words far from each other, then the other words nearest to them."""
-    chosen = [0]
-    near = kernel(toxic, toxic[:1])[:, 0]
+def landmarks_of(toxic: list[str], support: np.ndarray, other: list[str]) -> list[str]:
+    """Toxic words that many toxic texts have (``support``) and that are far from each other, then the other words
+    nearest to them."""
+    chosen = [int(support.argmax())]
+    near = kernel(toxic, [toxic[chosen[0]]])[:, 0]
     while len(chosen) < min(len(toxic), LANDMARKS * 2 // 3):
-        chosen.append(int(near.argmin()))
+        chosen.append(int((support * (1 - near)).argmax()))
         near = np.maximum(near, kernel(toxic, [toxic[chosen[-1]]])[:, 0])
     picked = [toxic[i] for i in dict.fromkeys(chosen)]
     if other:
@@ -211,13 +212,23 @@ def word_counts(sample: DataFrame) -> list:
     return counts.orderBy(F.desc(F.col("t") >= LEAST_TEXTS), F.desc(F.col("t") + F.col("u")), "word").limit(TRAINING_WORDS).collect()
 
 
+def alike() -> Column:
+    """A number that copies of a text, and most near copies, have in common: two least hashes of its words."""
+    listed = F.split(F.lower("text"), "\\s+")
+    least = lambda seed: F.array_min(F.transform(listed, lambda w: F.xxhash64(w, F.lit(seed))))
+    return F.xxhash64(least(0), least(1))
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     """A model of the labelled rows for which ``allowed`` holds; None if they are not of both kinds.
 
     Rows without a label or an id teach nothing; of several labels of one id, the highest counts.
     """
     marked = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    some = lambda toxic, n: marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # Copies of one text would make its words seem to go with its label: of texts alike, one is learnt from.
+    told = docs.where(F.col("text").isNotNull()).select("doc_id", alike().alias("alike")).join(marked, "doc_id")
+    firsts = staged(told.groupBy("toxic", "alike").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    some = lambda toxic, n: firsts.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = some(True, TOXIC_TEXTS).union(some(False, OTHER_TEXTS))  # bounded, so it may be broadcast
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # One text of each id, the one of the least hash, so that the bounds hold for the sample too.
@@ -234,14 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
         return None
     known = set(toxic)
     other = [w for w, *_ in lift if w not in known]
-    picked = landmarks_of(toxic, other)
+    support = {w: t / total.t for w, _, t, _ in lift}
+    picked = landmarks_of(toxic, np.array([support[w] for w in toxic]), other)
     values, vectors = np.linalg.eigh(kernel(picked, picked).astype(float))
     keep = values > 1e-4
     root = vectors[:, keep] / np.sqrt(values[keep])
     strings = toxic + other
     x = kernel(strings, picked) @ root
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(other))])
-    support = {w: t / total.t for w, _, t, _ in lift}
     cost = np.array([TOXIC_COST * min(1.0, support[w] / FULL_SHARE) for w in toxic] + [OTHER_COST] * len(other))
     w, bias = machine(x, y, cost)
     # Words that are in toxic texts by chance only have no kin among them: the machine gives them up.
