@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchline.functions import geo, kinematics, scoring, text
 from watchline.operators import joins, reports
+from watchline.operators import folds
 from watchline.plans.base import observations, query
 from watchline.sources.tables import table
 
@@ -67,13 +68,14 @@ def side_sql(ax: object, ay: object, bx: object, by: object, px: object, py: obj
 _d = [side_sql(*WIRE, "x", "y"), side_sql(*WIRE, "x2", "y2"), side_sql("x", "y", "x2", "y2", *WIRE[:2]), side_sql("x", "y", "x2", "y2", *WIRE[2:])]
 
 
-@query(
-    "geo06_crossing",
-    f""", m AS (SELECT event_id, x, y, x + vx * 20 AS x2, y + vy * 20 AS y2 FROM x)
-    SELECT event_id, CASE WHEN {_d[0]} > 0 THEN 'inbound' ELSE 'outbound' END AS crossing FROM m
+def crossing_sql(columns: str) -> str:
+    """SQL of the crossings of WIRE by moves m from (x, y) to (x2, y2)."""
+    return f"""SELECT {columns}, CASE WHEN {_d[0]} > 0 THEN 'inbound' ELSE 'outbound' END AS crossing FROM m
     WHERE sign({_d[0]}) * sign({_d[1]}) < 0 AND sign({_d[2]}) * sign({_d[3]}) < 0 AND sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) >= 2.5
-      AND NOT (abs(x) <= 1 AND abs(x2) <= 1 AND abs(y) <= 1 AND abs(y2) <= 1)""",
-)
+      AND NOT (abs(x) <= 1 AND abs(x2) <= 1 AND abs(y) <= 1 AND abs(y2) <= 1)"""
+
+
+@query("geo06_crossing", ", m AS (SELECT event_id, x, y, x + vx * 20 AS x2, y + vy * 20 AS y2 FROM x) " + crossing_sql("event_id"))
 def geo06(spark: S, d: str) -> DataFrame:
     wire = tuple(F.lit(v) for v in WIRE)
     found = geo.crossing(*c("x", "y"), F.col("x") + F.col("vx") * 20, F.col("y") + F.col("vy") * 20, wire, F.lit("BIDIRECTIONAL"))
@@ -156,16 +158,39 @@ def kin01(spark: S, d: str) -> DataFrame:
 
 def trajectories(spark: S, d: str) -> DataFrame:
     """The last 50 positions of each track, oldest first."""
-    rows = observations(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x", "y"))).alias("p"))
-    return rows.select("user_id", F.transform(F.slice("p", F.greatest(F.size("p") - 49, F.lit(1)), F.lit(50)), lambda p: geo.point(p["x"], p["y"])).alias("p"))
+    last = folds.last_rows(observations(spark, d), ["user_id"], ["ts", "event_id"], 50)
+    rows = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x", "y"))).alias("p"))
+    return rows.select("user_id", F.transform("p", lambda p: geo.point(p["x"], p["y"])).alias("p"))
+
 
+PLACES_SQL = ", o AS (SELECT user_id, x, y, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM x)"
+_at = "max({0}) FILTER (WHERE place = {1})"
+_turn = "abs((({b} - {a} + 180) % 360 + 360) % 360 - 180)"
+_angle = "((degrees(atan2({0}, {1})) % 360) + 360) % 360"
 
-@query("kin05_abrupt_turn")
+
+@query(
+    "kin05_abrupt_turn",
+    PLACES_SQL
+    + f""", w AS (SELECT user_id, {_at.format('x', 5)} - {_at.format('x', 8)} AS ax, {_at.format('y', 5)} - {_at.format('y', 8)} AS ay,
+      {_at.format('x', 1)} - {_at.format('x', 4)} AS bx, {_at.format('y', 1)} - {_at.format('y', 4)} AS "by" FROM o GROUP BY user_id),
+    h AS (SELECT *, round({_angle.format('ay', 'ax')}, 1) AS a, round({_angle.format('"by"', 'bx')}, 1) AS b FROM w)
+    SELECT user_id, coalesce(sqrt(ax * ax + ay * ay) >= 6 AND sqrt(bx * bx + "by" * "by") >= 6 AND {_turn.format(a='a', b='b')} >= 90, false) AS abrupt FROM h""",
+)
 def kin05(spark: S, d: str) -> DataFrame:
     return trajectories(spark, d).select("user_id", kinematics.turns_abruptly(F.col("p")).alias("abrupt"))
 
 
-@query("kin06_oscillation")
+@query(
+    "kin06_oscillation",
+    PLACES_SQL
+    + f""", c AS (SELECT *, least(count(*) OVER (PARTITION BY user_id), 50) AS n FROM o), p AS (SELECT user_id, n, x, y, n - place AS i FROM c WHERE place <= 50),
+    e AS (SELECT user_id, n, i, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WHERE i % 4 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    h AS (SELECT user_id, i, {_angle.format('dy', 'dx')} AS a FROM e WHERE sqrt(dx * dx + dy * dy) > 2),
+    t AS (SELECT user_id, a, lag(a) OVER (PARTITION BY user_id ORDER BY i) AS b FROM h),
+    k AS (SELECT user_id, count(*) AS moves, count(*) FILTER (WHERE {_turn.format(a='b', b='a')} > 110) AS turns FROM t GROUP BY user_id)
+    SELECT p.user_id, coalesce(max(p.n) >= 16 AND max(k.moves) >= 3 AND max(k.turns) >= 2, false) AS oscillates FROM p LEFT JOIN k ON k.user_id = p.user_id GROUP BY p.user_id""",
+)
 def kin06(spark: S, d: str) -> DataFrame:
     return trajectories(spark, d).select("user_id", kinematics.oscillates(F.col("p")).alias("oscillates"))
 

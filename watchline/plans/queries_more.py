@@ -12,8 +12,8 @@ from watchline.operators import events as ev
 from watchline.operators import folds, frames, joins, zones
 from watchline.plans.base import observations, query
 from watchline.plans.queries_events import track_window
-from watchline.plans.queries_functions import SQUARE, inside_sql
-from watchline.plans.queries_state import boxes, greedy_sql, inside, recursive
+from watchline.plans.queries_functions import SQUARE, inside_sql, strict_sql
+from watchline.plans.queries_state import boxes, greedy_sql, inside, loitering_sql, recursive
 from watchline.sources.constants import PROFILES, SENSORS, ZONE_TEMPLATES
 from watchline.sources.tables import table
 
@@ -143,8 +143,8 @@ def j10(spark: S, d: str) -> DataFrame:
 
 @query("j13_ground_truth")
 def j13(spark: S, d: str) -> DataFrame:
-    b = boxes(spark, d).select("k", F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("is_truth"), "x1", "y1", "x2", "y2")
-    return frames.greedy_ground_truth(b, ["k"], 0.4)
+    b = boxes(spark, d).select("camera_id", "k", F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("is_truth"), "x1", "y1", "x2", "y2")
+    return frames.greedy_ground_truth(b, ["camera_id", "k"], 0.4)
 
 
 @query("j18_best_face", "SELECT a.event_id, arg_max(b.event_id, (b.value, -b.event_id)) AS face FROM x a JOIN x b ON a.k = b.k AND b.event_id <> a.event_id AND b.x BETWEEN a.x - 115 AND a.x + 115 AND b.y BETWEEN a.y - 115 AND a.y + 115 GROUP BY a.event_id")
@@ -214,7 +214,11 @@ def set01(spark: S, d: str) -> DataFrame:
     return a.unionByName(x.where("k = 2").select(F.lit(2).alias("section"), F.col("user_id").alias("id"), F.lit("entity").alias("label")))
 
 
-@query("geo04_box_meets_zone")
+_probes = " UNION ALL ".join(f"SELECT event_id, x AS bx, y AS by0, x + {dx} AS x, y + {dy} AS y FROM x" for dx, dy in [(30, 60), (30, 120), (0, 0), (60, 0), (0, 120), (60, 120)])
+_vertices = " OR ".join(f"({vx} BETWEEN bx AND bx + 60 AND {vy} BETWEEN by0 AND by0 + 120)" for vx, vy in SQUARE)
+
+
+@query("geo04_box_meets_zone", f", p AS ({_probes}) SELECT DISTINCT event_id FROM p WHERE bx + 60 >= 200 AND bx <= 900 AND by0 + 120 >= 100 AND by0 <= 650 AND ({strict_sql(SQUARE)} OR {_vertices})")
 def geo04(spark: S, d: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     return observations(spark, d).where(geo.box_meets_polygon(x, y, x + 60, y + 120, geo.polygon(SQUARE))).select("event_id")
@@ -314,7 +318,7 @@ def str02(spark: S, d: str) -> DataFrame:
     return zones.transitions(inside(spark, d), ["user_id"], "ts", "event_id", initial_inside_enters=False).where("transition = 'entered'").select("event_id")
 
 
-@query("str04_persistence")
+@query("str04_persistence", loitering_sql(86400.0, 86400.0, "g.event_id, v.visit"), False)
 def str04(spark: S, d: str) -> DataFrame:
     return zones.loitering(inside(spark, d), ["user_id"], "ts", "event_id", 86400.0, 86400.0).select("event_id", "visit")
 

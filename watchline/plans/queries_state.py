@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchline.functions import geo
 from watchline.operators import folds, frames, incidents, reports, zones
 from watchline.plans.base import observations, query
-from watchline.plans.queries_functions import SQUARE, WIRE, inside_sql
+from watchline.plans.queries_functions import SQUARE, WIRE, crossing_sql, inside_sql
 from watchline.sources.tables import table
 
 S = SparkSession
@@ -30,13 +30,14 @@ def str01(spark: S, d: str) -> DataFrame:
     return zones.transitions(inside(spark, d), ["user_id"], "ts", "event_id").select("event_id", "transition", F.round("dwell_seconds", 3).alias("dwell"))
 
 
-def greedy_sql(rows: str, wait: float) -> str:
-    """SQL of the greedy fold: a row is emitted once ``wait`` seconds have passed since the last emitted one."""
-    return f""", r AS ({rows}), n AS (SELECT key, s, event_id, row_number() OVER (PARTITION BY key ORDER BY s, event_id) AS i FROM r),
+def greedy_sql(rows: str, wait: float, bypass: str = "false", final: str = "SELECT event_id FROM g WHERE emitted") -> str:
+    """SQL of the greedy fold: a row is emitted once ``wait`` seconds have passed since the last emitted one, or by ``bypass``."""
+    due = f"({bypass} OR n.s - g.last >= {wait})"
+    return f""", r AS ({rows}), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, event_id) AS i FROM r),
     g AS (SELECT key, i, event_id, s AS last, true AS emitted FROM n WHERE i = 1
-      UNION ALL SELECT n.key, n.i, n.event_id, CASE WHEN n.s - g.last >= {wait} THEN n.s ELSE g.last END, n.s - g.last >= {wait}
+      UNION ALL SELECT n.key, n.i, n.event_id, CASE WHEN {due} THEN n.s ELSE g.last END, {due}
       FROM g JOIN n ON n.key = g.key AND n.i = g.i + 1)
-    SELECT event_id FROM g WHERE emitted"""
+    {final}"""
 
 
 def recursive(sql: str) -> str:
@@ -45,19 +46,43 @@ def recursive(sql: str) -> str:
     return (X + sql).replace("WITH x AS", "WITH RECURSIVE x AS", 1)
 
 
-@query("str03_loitering", None)
+VISIT_SQL = (
+    INSIDE_SQL
+    + """, f AS (SELECT *, CASE WHEN inside AND NOT coalesce(lag(inside) OVER w, false) THEN 1 ELSE 0 END AS new FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    c AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visit FROM f),
+    v AS (SELECT user_id, visit, s, event_id, s - min(s) OVER (PARTITION BY user_id, visit) AS dwell FROM c WHERE inside)"""
+)
+
+
+def loitering_sql(threshold: float, wait: float, columns: str) -> str:
+    rows = f"SELECT user_id * 1000000 + visit AS key, s, event_id FROM v WHERE dwell >= {threshold}"
+    return recursive(VISIT_SQL + greedy_sql(rows, wait, final=f"SELECT {columns} FROM g JOIN v ON v.event_id = g.event_id WHERE emitted"))
+
+
+@query("str03_loitering", loitering_sql(3600.0, 7200.0, "g.event_id, v.visit, round(v.dwell, 3) AS dwell"), False)
 def str03(spark: S, d: str) -> DataFrame:
     return zones.loitering(inside(spark, d), ["user_id"], "ts", "event_id", 3600.0, 7200.0).select("event_id", "visit", F.round("dwell_seconds", 3).alias("dwell"))
 
 
-@query("str05_tripwire")
+MOVE_SQL = """, l AS (SELECT event_id, user_id, s, lag(x) OVER w AS px, lag(y) OVER w AS py, x AS qx, y AS qy FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    m AS (SELECT event_id, user_id, s, px AS x, py AS y, qx AS x2, qy AS y2 FROM l WHERE px IS NOT NULL),
+    """
+CROSSED_SQL = MOVE_SQL + "e AS (" + crossing_sql("event_id, user_id, s") + ")"
+
+
+@query("str05_tripwire", recursive(CROSSED_SQL + greedy_sql("SELECT user_id AS key, s, event_id FROM e", 3.0, final="SELECT g.event_id, e.crossing FROM g JOIN e ON e.event_id = g.event_id WHERE emitted")), False)
 def str05(spark: S, d: str) -> DataFrame:
     wires = spark.createDataFrame([("w", *WIRE, "BIDIRECTIONAL", True)], "boundary_id string, ax double, ay double, bx double, by double, direction string, is_active boolean")
     found = zones.tripwire_crossings(observations(spark, d), wires, ["user_id"], "ts", "event_id")
     return folds.emit_with_cooldown(found, ["user_id", "boundary_id"], "ts", "event_id", 3.0).select("event_id", "crossing")
 
 
-@query("str06_operator_alerts")
+RANK_SQL = """, a AS (SELECT *, CASE WHEN value >= 85 THEN 3 WHEN value >= 50 THEN 2 ELSE 1 END AS rank FROM x),
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY rank DESC, event_id) AS top FROM a) WHERE top = 1),
+    u AS (SELECT user_id AS key, s, event_id, rank, coalesce(rank > lag(rank) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS rises FROM t)"""
+
+
+@query("str06_operator_alerts", recursive(RANK_SQL + greedy_sql("SELECT * FROM u", 43200, "n.rises", "SELECT g.event_id, u.rank FROM g JOIN u ON u.event_id = g.event_id WHERE emitted")), False)
 def str06(spark: S, d: str) -> DataFrame:
     rank = F.when(F.col("value") >= 85, 3).when(F.col("value") >= 50, 2).otherwise(1)
     return zones.operator_alerts(observations(spark, d).withColumn("rank", rank), ["user_id"], "ts", "event_id", "rank", 43200.0).select("event_id", "rank")
@@ -155,21 +180,44 @@ def str29(spark: S, d: str) -> DataFrame:
     return zones.occupancy(inside(spark, d), ["user_id"], "ts", "event_id")
 
 
-@query("agg20_majority", None)
+@query(
+    "agg20_majority",
+    "SELECT user_id, arg_max(event_type, (n, oldest)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n, max(place) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM x) WHERE place <= 20 GROUP BY user_id, event_type) GROUP BY user_id",
+)
 def agg20(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
-    votes = F.transform(F.slice("l", F.greatest(F.size("l") - 19, F.lit(1)), F.lit(20)), lambda r: r["event_type"])
-    return rows.select("user_id", folds.majority_vote(votes).alias("event_type"))
+    last = folds.last_rows(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 20)
+    votes = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("l"))
+    return votes.select("user_id", folds.majority_vote(F.transform("l", lambda r: r["event_type"])).alias("event_type"))
+
+
+NUMBERED_SQL = ", n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM x)"
 
 
-@query("mth03_smoothed")
+@query(
+    "mth03_smoothed",
+    recursive(
+        NUMBERED_SQL.format(key="user_id")
+        + """, g AS (SELECT user_id, i, value AS v FROM n WHERE i = 1
+      UNION ALL SELECT n.user_id, n.i, 0.4 * n.value + 0.6 * g.v FROM g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1)
+    SELECT user_id, round(arg_max(v, i), 6) AS smoothed FROM g GROUP BY user_id"""
+    ),
+    False,
+)
 def mth03(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("l"))
-    return rows.select("user_id", F.round(F.element_at(folds.smoothed(F.transform("l", lambda r: r["value"]), 0.4), -1), 6).alias("smoothed"))
+    smoothed = folds.last_smoothed(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 0.4)
+    return smoothed.select("user_id", F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("scr11_tamper_alarm")
+@query(
+    "scr11_tamper_alarm",
+    recursive(
+        NUMBERED_SQL.format(key="camera_id")
+        + """, g AS (SELECT camera_id, i, CASE WHEN k > 40 THEN 1 ELSE 0 END AS level FROM n WHERE i = 1
+      UNION ALL SELECT n.camera_id, n.i, CASE WHEN n.k > 40 THEN g.level + 1 ELSE greatest(g.level - 1, 0) END FROM g JOIN n ON n.camera_id = g.camera_id AND n.i = g.i + 1)
+    SELECT camera_id, count(*) FILTER (WHERE level >= 3) AS alarms FROM g GROUP BY camera_id"""
+    ),
+    False,
+)
 def scr11(spark: S, d: str) -> DataFrame:
-    rows = observations(spark, d).groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("k") > 40).alias("bad")))).alias("l"))
-    alarm = folds.leaky_alarm(F.transform("l", lambda r: r["bad"]))
-    return rows.select("camera_id", F.size(F.filter(alarm, lambda a: a)).alias("alarms"))
+    rows = observations(spark, d).withColumn("bad", F.col("k") > 40)
+    return folds.leaky_alarms(rows, ["camera_id"], ["ts", "event_id"], "bad").groupBy("camera_id").agg(F.count_if("alarm").alias("alarms"))
