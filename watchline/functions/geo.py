@@ -133,7 +133,15 @@ def crossing(px: Column, py: Column, x: Column, y: Column, wire: tuple[Column, C
     down = _scale(x, y, F.greatest(px, x), F.greatest(py, y))
     up = _scale(x, y, F.greatest(ax, bx), F.greatest(ay, by))
     fit = lambda v, i: F.when(unit & ~near, v / down[i]).when(~unit & near, v * up[i]).otherwise(v)
-    px, x, py, y = fit(px, 0), fit(x, 0), fit(py, 1), fit(y, 1)
+    fitted = F.struct(fit(px, 0).alias("px"), fit(py, 1).alias("py"), fit(x, 0).alias("x"), fit(y, 1).alias("y"))
+    # An array of one, so that the fitted ends are worked out once and the generated code stays small.
+    return F.transform(F.array(fitted), lambda m: _crossed(m, wire, unit, direction))[0]
+
+
+def _crossed(move: Column, wire: tuple[Column, Column, Column, Column], unit: Column, direction: Column) -> Column:
+    """``crossing`` of a move whose ends are in the wire's units."""
+    ax, ay, bx, by = wire
+    px, py, x, y = (move[c] for c in ("px", "py", "x", "y"))
     d1, d2 = side(ax, ay, bx, by, px, py), side(ax, ay, bx, by, x, y)
     d3, d4 = side(px, py, x, y, ax, ay), side(px, py, x, y, bx, by)
     proper = (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0)

@@ -29,7 +29,11 @@ INCIDENT_SEVERITIES = [(85, "CRITICAL"), (70, "HIGH"), (50, "MEDIUM"), (30, "LOW
 ALERT_SEVERITIES = [(85, "CRITICAL"), (70, "HIGH")]
 SECTOR_LEVELS = [(60, "CRITICAL"), (25, "RESTRICTED")]
 PROFILE_LEVELS = [(85, "CRITICAL"), (70, "HIGH"), (50, "MEDIUM"), (30, "LOW")]
-COVERAGE_GRADES = [(90, "OPTIMAL"), (70, "DEGRADED")]
+COVERAGE_GRADES = [(90, "GRADE_A_COMBAT_READY"), (70, "GRADE_B_DEGRADED")]
+LEAST_COVERAGE = "GRADE_C_VULNERABLE"
+#: What a zone's severity may be called, and the kinds of zones.
+ZONE_SEVERITIES = {"critical": ["critical", "high"], "restricted": ["restricted", "warning", "medium"]}
+ZONE_TYPES = ["normal", "restricted", "sensitive", "critical", "entry", "exit"]
 
 
 def band(score: Column, ladder: list[tuple[float, str]], otherwise: Column | str) -> Column:
@@ -97,3 +101,21 @@ def is_night(ts: Column, brightness: Column | None = None) -> Column:
     """From 22 to 5 o'clock by the event's own time, or in the dark."""
     late = (F.hour(ts) >= 22) | (F.hour(ts) < 5)
     return late if brightness is None else late | F.coalesce(brightness < 35, F.lit(False))
+
+
+def zone_severity(name: Column) -> Column:
+    """critical, restricted or normal, of a severity by any of its names; an unknown or null one is normal."""
+    low = F.lower(F.trim(name))
+    return reduce(lambda c, s: c.when(low.isin(s[1]), s[0]), ZONE_SEVERITIES.items(), F.when(F.lit(False), "")).otherwise("normal")
+
+
+def zone_type(name: Column) -> Column:
+    """A known kind of zone; an unknown or null one is normal."""
+    low = F.lower(F.trim(name))
+    return F.when(low.isin(ZONE_TYPES), low).otherwise("normal")
+
+
+def coverage_grade(active: Column, total: Column) -> Column:
+    """Percent of cameras that are active, to a tenth, and the grade of it; without cameras 0."""
+    percent = F.round(active / F.greatest(total, F.lit(1)) * 100.0, 1)
+    return F.struct(percent.alias("percent"), band(percent, COVERAGE_GRADES, LEAST_COVERAGE).alias("grade"))

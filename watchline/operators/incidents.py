@@ -64,3 +64,14 @@ def suppression(rows: DataFrame) -> DataFrame:
 def evidence_accepted(incident_entity: Column, evidence_entity: Column) -> Column:
     """Evidence of another entity than the incident's is rejected; a missing one on either side passes."""
     return F.coalesce(incident_entity == evidence_entity, F.lit(True))
+
+
+def life_cycle(events: DataFrame, keys: list[str], ts: str, seq: str, score: str, gap: float, action: str) -> DataFrame:
+    """Incidents whose events may carry an operator's ``action`` (ACKNOWLEDGED, RESOLVED; null else), which ends them.
+
+    The next event of the key begins a new incident; an incident so ended has the action as its status.
+    """
+    numbered = numbered_incidents(events, keys, ts, seq, gap, F.col(action).isNotNull())
+    ended = numbered.where(F.col(action).isNotNull()).select(*keys, "incident", F.col(action).alias("_action"))
+    rows = incidents(numbered, keys, ts, seq, score).join(ended, [*keys, "incident"], "left")
+    return rows.withColumn("status", F.coalesce("_action", "status")).drop("_action")

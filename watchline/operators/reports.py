@@ -68,14 +68,20 @@ def lifespans(rows: DataFrame, track: str, frame: str, confidence: str) -> DataF
     )
 
 
-def churn(rows: DataFrame, frame: str, track: str) -> DataFrame:
-    """Ids of each frame that are new against the frame before, and those that stayed."""
+def churn(rows: DataFrame, frame: str, track: str, span: Column | None = None) -> DataFrame:
+    """Ids of each frame that are new against the frame before, and those that stayed.
+
+    The frame before is sought within each ``span`` (rising with the frames; by default a thousand numbers); only
+    the spans' last frames are put in one order.
+    """
     seen = rows.select(frame, track).distinct()
-    frames = seen.select(frame).distinct()
-    # Frames are few beside their rows; their order is one window over them alone.
-    previous = frames.withColumn("_prev", F.lag(frame).over(Window.orderBy(frame)))
+    frames = seen.select(frame).distinct().withColumn("_span", F.floor(F.col(frame) / 1000) if span is None else span)
+    ends = frames.groupBy("_span").agg(F.max(frame).alias("_end"))
+    carried = ends.select("_span", F.lag("_end").over(Window.orderBy("_span")).alias("_carried"))
+    within = frames.withColumn("_own", F.lag(frame).over(Window.partitionBy("_span").orderBy(frame)))
+    previous = within.join(carried, "_span").select(frame, F.coalesce("_own", "_carried").alias("_prev"))
     before = seen.select(F.col(frame).alias("_prev"), track, F.lit(True).alias("_was"))
-    rows = seen.join(F.broadcast(previous), frame).join(before, ["_prev", track], "left")
+    rows = seen.join(previous, frame).join(before, ["_prev", track], "left")
     return rows.groupBy(frame).agg(F.count_if(F.col("_was").isNull()).alias("n_new"), F.count_if(F.col("_was").isNotNull()).alias("n_kept"))
 
 

@@ -92,11 +92,6 @@ def snk17(spark: S, d: str) -> DataFrame:
     return e.join(e.where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti").select("event_id", F.upper("event_type").alias("kind"))
 
 
-@query("snk18_decommission", "SELECT s_suppkey, CASE WHEN s_nationkey = 5 THEN 'RESOLVED' ELSE 'ACTIVE' END AS status FROM supplier", False)
-def snk18(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") == 5, "RESOLVED").otherwise("ACTIVE").alias("status"))
-
-
 @query("snk20_audit_log", "SELECT event_id FROM (SELECT * FROM (SELECT * FROM x ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE k > 30 ORDER BY ts DESC, event_id DESC LIMIT 50)")
 def snk20(spark: S, d: str) -> DataFrame:
     newest = ev.get_events(observations(spark, d), "ts", "event_id", newest_first=True, limit=100)
@@ -350,10 +345,10 @@ def agg13(spark: S, d: str) -> DataFrame:
     return observations(spark, d).groupBy("camera_id").agg(F.sum("k").alias("frames"), F.round(F.avg("value"), 6).alias("mean_fps"), F.count("*").alias("n"))
 
 
-@query("agg14_coverage", "SELECT round(100.0 * avg(CASE WHEN value > 20 THEN 1 ELSE 0 END), 1) AS online, CASE WHEN 100.0 * avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) >= 90 THEN 'OPTIMAL' WHEN 100.0 * avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) >= 70 THEN 'DEGRADED' ELSE 'CRITICAL' END AS grade FROM x")
+@query("agg14_coverage", "SELECT online, CASE WHEN online >= 90 THEN 'GRADE_A_COMBAT_READY' WHEN online >= 70 THEN 'GRADE_B_DEGRADED' ELSE 'GRADE_C_VULNERABLE' END AS grade FROM (SELECT round(100.0 * avg(CASE WHEN value > 20 THEN 1 ELSE 0 END), 1) AS online FROM x)")
 def agg14(spark: S, d: str) -> DataFrame:
-    share = 100.0 * F.avg(F.when(F.col("value") > 20, 1).otherwise(0))
-    return table(spark, d, "events").agg(share.alias("share")).select(F.round("share", 1).alias("online"), scoring.band(F.col("share"), scoring.COVERAGE_GRADES, "CRITICAL").alias("grade"))
+    totals = table(spark, d, "events").agg(F.count_if(F.col("value") > 20).alias("active"), F.count("*").alias("total"))
+    return totals.select(scoring.coverage_grade(F.col("active"), F.col("total")).alias("c")).select(F.col("c.percent").alias("online"), "c.grade")
 
 
 @query("agg17_entity_profile", "SELECT user_id, count(DISTINCT camera_id) AS cameras, max(value) AS peak, CASE WHEN max(value) >= 85 THEN 'CRITICAL' WHEN max(value) >= 70 THEN 'HIGH' WHEN max(value) >= 50 THEN 'MEDIUM' WHEN max(value) >= 30 THEN 'LOW' ELSE 'NORMAL' END AS level, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM x GROUP BY user_id")
@@ -434,7 +429,7 @@ def agg34(spark: S, d: str) -> DataFrame:
     FROM d JOIN f ON f.day = d.day LEFT JOIN f p ON p.day = d.prev AND p.user_id = f.user_id GROUP BY d.day""",
 )
 def agg35(spark: S, d: str) -> DataFrame:
-    return reports.churn(table(spark, d, "events").withColumn("day", F.to_date("ts")), "day", "user_id")
+    return reports.churn(table(spark, d, "events").withColumn("day", F.to_date("ts")), "day", "user_id", F.trunc("day", "month"))
 
 
 @query("agg37_stage_latency", "SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM x GROUP BY event_type")

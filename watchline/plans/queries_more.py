@@ -135,10 +135,8 @@ def j04(spark: S, d: str) -> DataFrame:
 @query("j10_coordinated_pairs", "SELECT a.event_id AS a, b.event_id AS b FROM x a JOIN x b ON a.k = b.k AND a.camera_id = b.camera_id AND a.event_id < b.event_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 400 WHERE a.vx * b.vx + a.vy * b.vy >= 0.7 * sqrt(a.vx * a.vx + a.vy * a.vy) * sqrt(b.vx * b.vx + b.vy * b.vy) + 1e-9")
 def j10(spark: S, d: str) -> DataFrame:
     x = observations(spark, d)
-    near = joins.frame_pairs(x, ["k", "camera_id"], "event_id", "x", "y", 400.0).select("a", "b")
-    v = lambda end: x.select(F.col("event_id").alias(end), F.col("vx").alias(f"vx_{end}"), F.col("vy").alias(f"vy_{end}"))
-    both = near.join(v("a"), "a").join(v("b"), "b")
-    return both.where("vx_a * vx_b + vy_a * vy_b >= 0.7 * sqrt(vx_a * vx_a + vy_a * vy_a) * sqrt(vx_b * vx_b + vy_b * vy_b) + 1e-9").select("a", "b")
+    near = joins.frame_pairs(x, ["k", "camera_id"], "event_id", "x", "y", 400.0, carry=["vx", "vy"])
+    return near.where("a_vx * b_vx + a_vy * b_vy >= 0.7 * sqrt(a_vx * a_vx + a_vy * a_vy) * sqrt(b_vx * b_vx + b_vy * b_vy) + 1e-9").select("a", "b")
 
 
 @query("j13_ground_truth")
@@ -156,13 +154,6 @@ def j18(spark: S, d: str) -> DataFrame:
     return near.groupBy("event_id").agg(F.max_by("f", F.struct("value", -F.col("f"))).alias("face"))
 
 
-@query("agg16_plate_consensus", "SELECT user_id, arg_max(event_type, (c + 0.1 * least(n, 12), m, event_type)) AS plate FROM (SELECT user_id, event_type, round(max(value), 6) AS c, count(*) AS n, round(avg(value), 6) AS m FROM x GROUP BY user_id, event_type) GROUP BY user_id")
-def agg16(spark: S, d: str) -> DataFrame:
-    g = table(spark, d, "events").groupBy("user_id", F.translate("event_type", "E501", "3SOI").alias("same"), "event_type").agg(F.round(F.max("value"), 6).alias("c"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("m"))
-    score = F.col("c") + 0.1 * F.least(F.col("n"), F.lit(12))
-    return g.groupBy("user_id").agg(F.max_by("event_type", F.struct(score, F.col("m"), F.col("event_type"))).alias("plate"))
-
-
 @query("agg19_entity_summary", "SELECT user_id, count(DISTINCT nullif(k % 6, 0)) AS cameras_count FROM x GROUP BY user_id")
 def agg19(spark: S, d: str) -> DataFrame:
     return observations(spark, d).groupBy("user_id").agg(F.countDistinct(F.nullif(F.col("k") % 6, F.lit(0))).alias("cameras_count"))
@@ -207,13 +198,6 @@ def srt06(spark: S, d: str) -> DataFrame:
     return ev.page(table(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 50, 25).select("o_orderkey")
 
 
-@query("set01_sections", "SELECT 1 AS section, event_id AS id, event_type AS label FROM x WHERE k = 1 UNION ALL SELECT 2, user_id, 'entity' FROM x WHERE k = 2")
-def set01(spark: S, d: str) -> DataFrame:
-    x = observations(spark, d)
-    a = x.where("k = 1").select(F.lit(1).alias("section"), F.col("event_id").alias("id"), F.col("event_type").alias("label"))
-    return a.unionByName(x.where("k = 2").select(F.lit(2).alias("section"), F.col("user_id").alias("id"), F.lit("entity").alias("label")))
-
-
 _probes = " UNION ALL ".join(f"SELECT event_id, x AS bx, y AS by0, x + {dx} AS x, y + {dy} AS y FROM x" for dx, dy in [(30, 60), (30, 120), (0, 0), (60, 0), (0, 120), (60, 120)])
 _vertices = " OR ".join(f"({vx} BETWEEN bx AND bx + 60 AND {vy} BETWEEN by0 AND by0 + 120)" for vx, vy in SQUARE)
 

@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -104,14 +105,29 @@ def correlated(exits: DataFrame, entries: DataFrame, most: str = "60 seconds") -
     return n.join(e, on)
 
 
+def stored_before(spark: SparkSession, path: str, key: str, number: int) -> DataFrame | None:
+    """Keys that earlier batches than ``number`` have stored; None where nothing is stored yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return stored.where(F.col("batch") < number).select(key)
+
+
 def persisted_then_published(path: str, publish: Callable[[DataFrame, int], Any], key: str = "event_id") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows of new keys are appended to Parquet, by batch, and only then published.
 
-    A batch that is run again overwrites its own folder, so that a retry adds no row twice.
+    Keys that an earlier batch has stored are left out. A batch that is run again overwrites its own folder, so
+    that a retry adds no row twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh, known = batch.dropDuplicates([key]), stored_before(batch.sparkSession, path, key, number)
+        if known is not None:
+            fresh = fresh.join(known, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
         publish(batch.sparkSession.read.parquet(f"{path}/batch={number}"), number)
 
     return run
