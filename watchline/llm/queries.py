@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, language_model, licenses, near_dups, quality_rules, secrets, site_quality, substrings, toxicity
+from watchline.llm import bpe, decontaminate, language_model, licenses, manifest, manifest_sql, near_dups, quality_rules, secrets, site_quality, substrings, toxicity
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -63,3 +63,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op7_site_quality")
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query("op11_manifest", manifest_sql.SQL)
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"))
