@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from watchline.llm import bpe, decontaminate, language_model, licenses, manifest, manifest_sql, near_dups, quality_rules, secrets, site_quality, spelling, spelling_sql, substrings, toxicity
+from watchline.llm import bpe, decontaminate, language_model, licenses, manifest, manifest_sql, near_dups, private, quality_rules, secrets, site_quality, spelling, spelling_sql, substrings, toxicity
 from watchline.plans.registry import Registry
 from watchline.sources.tables import table
 
@@ -73,3 +73,8 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op13_spelling", spelling_sql.SQL)
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op12_private")
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.scan(table(spark, sf_dir, "documents"))
