@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchline.functions import geo
-from watchline.operators import folds, frames, incidents, zones
+from watchline.operators import folds, frames, incidents, tracking, zones
 
 T0 = datetime(2026, 8, 22, 12)
 SQUARE = [(100, 100), (300, 100), (300, 300), (100, 300)]
@@ -102,9 +102,9 @@ def test_coordinated_group(spark):
 
 
 def test_tracker_keeps_an_object(spark):
-    rows = [(0, f, 0.9, 10.0 + 4 * f, 10.0, 60.0 + 4 * f, 110.0) for f in range(10) if f != 5] + [(0, f, 0.8, 400.0, 300.0, 450.0, 380.0) for f in range(10)]
-    df = spark.createDataFrame(rows, "camera int, frame int, confidence double, x1 double, y1 double, x2 double, y2 double")
-    got = frames.tracked(df, "camera", "frame").groupBy("track_id").count().collect()
+    rows = [(0, f, f, 0.9, 10.0 + 4 * f, 10.0, 60.0 + 4 * f, 110.0) for f in range(10) if f != 5] + [(0, f, 20 + f, 0.8, 400.0, 300.0, 450.0, 380.0) for f in range(10)]
+    df = spark.createDataFrame(rows, "camera int, frame int, seq long, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = tracking.tracked(df, "camera", "frame", "seq").groupBy("track_id").count().collect()
     assert sorted(r["count"] for r in got) == [9, 10]
 
 

@@ -1,13 +1,13 @@
-"""Greedy operators within a frame or a camera's sequence of frames, on pandas groups.
-
-A frame's objects are few, and a camera's frames come in order; groups are never larger than those.
-"""
+"""Greedy operators within a frame, on pandas groups: a frame's objects are few, and groups are never larger."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from watchline.operators import ordered
 
 BOX = ["x1", "y1", "x2", "y2"]
 VEHICLES = {"car", "truck", "bus", "van", "motorcycle"}
@@ -108,39 +108,6 @@ def coordinated_groups(df: DataFrame, frame: list[str], near: float = 400.0, ali
     return df.groupBy(*frame).applyInPandas(run, f"{names}, n_tracks int, tracks array<string>")
 
 
-class Motion:
-    """A Kalman filter of a box's centre, aspect, height and their rates."""
-
-    STEP = np.eye(8) + np.diag(np.ones(4), 4)
-
-    def __init__(self, box: np.ndarray) -> None:
-        self.mean = np.concatenate([self.measured(box), np.zeros(4)])
-        h = self.mean[3]
-        self.cov = np.diag(np.square([h / 10, h / 10, 1e-2, h / 10, h / 16, h / 16, 1e-5, h / 16]))
-
-    @staticmethod
-    def measured(box: np.ndarray) -> np.ndarray:
-        w, h = box[2] - box[0], max(box[3] - box[1], 1e-6)
-        return np.array([box[0] + w / 2, box[1] + h / 2, w / h, h])
-
-    def predict(self) -> None:
-        h = self.mean[3]
-        noise = np.diag(np.square([h / 20, h / 20, 1e-2, h / 20, h / 160, h / 160, 1e-5, h / 160]))
-        self.mean = self.STEP @ self.mean
-        self.cov = self.STEP @ self.cov @ self.STEP.T + noise
-
-    def update(self, box: np.ndarray) -> None:
-        h = self.mean[3]
-        noise = np.diag(np.square([h / 20, h / 20, 1e-1, h / 20]))
-        gain = np.linalg.solve(self.cov[:4, :4] + noise, self.cov[:4]).T
-        self.mean = self.mean + gain @ (self.measured(box) - self.mean[:4])
-        self.cov = self.cov - gain @ self.cov[:4]
-
-    def box(self) -> np.ndarray:
-        cx, cy, aspect, h = self.mean[:4]
-        return np.array([cx - aspect * h / 2, cy - h / 2, cx + aspect * h / 2, cy + h / 2])
-
-
 def assigned(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Pairs of rows and columns, the cheapest first, of a cost up to ``most``."""
     pairs, rows, columns = [], set(), set()
@@ -155,90 +122,37 @@ def assigned(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     return pairs
 
 
-def tracked(df: DataFrame, camera: str, frame: str, high: float = 0.5, low: float = 0.1, start: float = 0.6, lost: int = 30) -> DataFrame:
-    """Detections with track numbers: sure ones are matched to predicted boxes first, then unsure ones.
-
-    A track that finds no box for ``lost`` frames ends; unmatched sure detections of ``start`` begin tracks. One
-    camera's detections make one group, as each frame depends on the one before.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        number, out = 0, []
-        for at, rows in pdf.sort_values([frame, "confidence"], ascending=[True, False], kind="stable").groupby(frame, sort=True):
-            rows = rows[rows.confidence >= low]
-            boxes, sure = rows[BOX].to_numpy(float), rows.confidence.to_numpy() >= high
-            named = np.full(len(rows), -1)
-            for t in tracks:
-                t["motion"].predict()
-            for band, most in ((sure, 0.8), (~sure, 0.5)):
-                free = [t for t in tracks if t["seen"] < at]
-                places = np.flatnonzero(band & (named < 0))
-                if free and len(places):
-                    cost = 1 - overlaps(np.stack([t["motion"].box() for t in free]), boxes[places])
-                    for i, j in assigned(cost, most):
-                        free[i]["motion"].update(boxes[places[j]])
-                        free[i]["seen"] = at
-                        named[places[j]] = free[i]["id"]
-            for j in np.flatnonzero(sure & (named < 0) & (rows.confidence.to_numpy() >= start)):
-                number += 1
-                tracks.append({"id": number, "motion": Motion(boxes[j]), "seen": at})
-                named[j] = number
-            tracks = [t for t in tracks if at - t["seen"] <= lost]
-            out.append(rows.assign(track_id=named)[named >= 0])
-        return pd.concat(out) if out else pdf.assign(track_id=-1).iloc[:0]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(camera).applyInPandas(run, f"{schema}, track_id long")
-
-
 def greedy_ground_truth(df: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
     """Each true box of a frame (``is_truth``), in order of id, with the free prediction that overlaps it most."""
-    names = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in frame)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        truth, guess = pdf[pdf.is_truth].sort_values("id"), pdf[~pdf.is_truth].sort_values("id")
-        shared = overlaps(truth[BOX].to_numpy(float), guess[BOX].to_numpy(float))
-        out = []
-        for i, t in enumerate(truth.id):
-            j = int(shared[i].argmax()) if len(guess) else -1
-            found = j >= 0 and shared[i, j] >= least
-            out.append((*(pdf[c].iloc[0] for c in frame), t, guess.id.iloc[j] if found else None, float(shared[i, j]) if found else 0.0))
-            if found:
-                shared[:, j] = -1
-        return pd.DataFrame(out, columns=[*frame, "truth_id", "prediction_id", "iou"]).astype({"prediction_id": "Int64"})
+    def begin(stretch: int):
+        def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
+            truth, guess = ([r for r in rows or [] if r[0] is side] for side in (True, False))
+            shared = overlaps(np.array([r[2:] for r in truth], float).reshape(-1, 4), np.array([r[2:] for r in guess], float).reshape(-1, 4))
+            out = []
+            for i, t in enumerate(truth):
+                j = int(shared[i].argmax()) if guess else -1
+                found = j >= 0 and shared[i, j] >= least
+                out.append((t[1], guess[j][1] if found else None, float(shared[i, j]) if found else 0.0))
+                if found:
+                    shared[:, j] = -1
+            return out
 
-    return df.groupBy(*frame).applyInPandas(run, f"{names}, truth_id long, prediction_id long, iou double")
+        return take
 
+    rows = df.select(*frame, "is_truth", "id", *BOX).withColumn("_one", F.lit(0))
+    return ordered.folded(rows, frame, "_one", ["is_truth", "id", *BOX], ["id"], None, begin, "truth_id long, prediction_id long, iou double").drop(ordered.STRETCH)
 
-def matched_identities(df: DataFrame, site: str, ts: str, seq: str, vector: str, threshold: float = 0.62, margin: float = 0.08, certain: float = 0.80, ttl: float = 900.0) -> DataFrame:
-    """Observations with identity numbers: the best recent identity, if it is near enough and clearly the best.
 
-    The gallery holds the mean of each identity's last 16 vectors and forgets it after ``ttl`` seconds. Each
-    observation depends on all before it, so that a site is one group.
-    """
+def evaluated(truth: DataFrame, guess: DataFrame, camera: list[str], frame: str, least: float = 0.5) -> DataFrame:
+    """One row: true and false positives, misses, ``precision``, ``recall``, and how often a true track's prediction changes.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, seq])
-        gallery: list[dict] = []
-        out, number = [], 0
-        for when, raw in zip(pdf[ts], pdf[vector], strict=True):
-            v = np.asarray(raw, float)
-            v = v / (np.linalg.norm(v) + 1e-9)
-            live = [g for g in gallery if when - g["seen"] <= ttl]
-            similar = np.array([v @ g["mean"] / (np.linalg.norm(g["mean"]) + 1e-9) for g in live])
-            order = np.argsort(-similar, kind="stable")
-            best = similar[order[0]] if len(order) else -1.0
-            second = similar[order[1]] if len(order) > 1 else -1.0
-            if best >= threshold and (best >= certain or best - second >= margin):
-                found = live[order[0]]
-            else:
-                number += 1
-                found = {"id": number, "vectors": []}
-                gallery.append(found)
-            found["vectors"] = [*found["vectors"], v][-16:]
-            found["mean"], found["seen"] = np.mean(found["vectors"], axis=0), when
-            out.append(found["id"])
-        return pdf.assign(identity=out)[[site, seq, "identity"]]
-
-    return df.groupBy(site).applyInPandas(run, f"`{site}` {df.schema[site].dataType.simpleString()}, `{seq}` {df.schema[seq].dataType.simpleString()}, identity long")
+    Both have the columns of ``greedy_ground_truth``; ``id`` numbers tracks. A change counts against the track's last
+    matched frame. Without rows both rates are 0.
+    """
+    found = greedy_ground_truth(truth.unionByName(guess), [*camera, frame], least).where("prediction_id IS NOT NULL")
+    before = F.lag("prediction_id").over(Window.partitionBy(*camera, "truth_id").orderBy(frame))
+    hits = found.withColumn("_changed", before != F.col("prediction_id")).agg(F.count("*").alias("tp"), F.count_if("_changed").alias("id_switches"))
+    counts = truth.agg(F.count("*").alias("t")).crossJoin(guess.agg(F.count("*").alias("g"))).crossJoin(hits)  # one row each
+    rate = lambda of: F.round(F.col("tp") / F.greatest(F.lit(1), of), 4)
+    return counts.select("tp", (F.col("g") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), rate("g").alias("precision"), rate("t").alias("recall"), "id_switches")

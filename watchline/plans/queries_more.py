@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchline.functions import geo, kinematics, scoring, text
 from watchline.operators import events as ev
-from watchline.operators import folds, frames, joins, zones
+from watchline.operators import folds, joins, zones
 from watchline.plans.base import observations, query
 from watchline.plans.queries_events import track_window
 from watchline.plans.queries_functions import SQUARE, inside_sql, strict_sql
@@ -139,12 +139,6 @@ def j10(spark: S, d: str) -> DataFrame:
     return near.where("a_vx * b_vx + a_vy * b_vy >= 0.7 * sqrt(a_vx * a_vx + a_vy * a_vy) * sqrt(b_vx * b_vx + b_vy * b_vy) + 1e-9").select("a", "b")
 
 
-@query("j13_ground_truth")
-def j13(spark: S, d: str) -> DataFrame:
-    b = boxes(spark, d).select("camera_id", "k", F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("is_truth"), "x1", "y1", "x2", "y2")
-    return frames.greedy_ground_truth(b, ["camera_id", "k"], 0.4)
-
-
 @query("j18_best_face", "SELECT a.event_id, arg_max(b.event_id, (b.value, -b.event_id)) AS face FROM x a JOIN x b ON a.k = b.k AND b.event_id <> a.event_id AND b.x BETWEEN a.x - 115 AND a.x + 115 AND b.y BETWEEN a.y - 115 AND a.y + 115 GROUP BY a.event_id")
 def j18(spark: S, d: str) -> DataFrame:
     x = observations(spark, d)
@@ -159,12 +153,6 @@ def agg19(spark: S, d: str) -> DataFrame:
     return observations(spark, d).groupBy("user_id").agg(F.countDistinct(F.nullif(F.col("k") % 6, F.lit(0))).alias("cameras_count"))
 
 
-@query("agg24_evaluation", "SELECT round(count(*) FILTER (WHERE k >= 50) / count(*), 6) AS \"precision\", round(count(*) FILTER (WHERE k >= 50 AND value > 40) / count(*) FILTER (WHERE value > 40), 6) AS recall FROM x")
-def agg24(spark: S, d: str) -> DataFrame:
-    hit, true = F.col("k") >= 50, F.col("value") > 40
-    return observations(spark, d).agg(F.round(F.count_if(hit) / F.count("*"), 6).alias("precision"), F.round(F.count_if(hit & true) / F.count_if(true), 6).alias("recall"))
-
-
 @query("agg31_rates", "SELECT camera_id, round(avg(k), 6) AS mean_confidence FROM x GROUP BY camera_id")
 def agg31(spark: S, d: str) -> DataFrame:
     return observations(spark, d).groupBy("camera_id").agg(F.round(F.avg("k"), 6).alias("mean_confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchline.functions import geo
 from watchline.operators import folds, frames, incidents, reports, zones
-from watchline.plans.base import observations, query
+from watchline.plans.base import X, observations, query
 from watchline.plans.queries_functions import SQUARE, WIRE, crossing_sql, inside_sql
 from watchline.sources.tables import table
 
@@ -41,8 +41,6 @@ def greedy_sql(rows: str, wait: float, bypass: str = "false", final: str = "SELE
 
 
 def recursive(sql: str) -> str:
-    from watchline.plans.base import X
-
     return (X + sql).replace("WITH x AS", "WITH RECURSIVE x AS", 1)
 
 
@@ -136,12 +134,6 @@ def str12(spark: S, d: str) -> DataFrame:
     return frames.coordinated_groups(x.select("camera_id", "k", F.col("event_id").alias("track_id"), "x", "y", "vx", "vy"), ["camera_id", "k"])
 
 
-@query("str15_identities")
-def str15(spark: S, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 16).alias("site"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("double").alias("at"), "embedding")
-    return frames.matched_identities(e, "site", "at", "seq", "embedding")
-
-
 @query("str18_follow_track", "SELECT entity AS user_id, hop, from_camera, camera, arrived FROM (SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hop, f AS from_camera, c AS camera, ts AS arrived FROM (SELECT *, k % 5 AS c, lag(k % 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM x) WHERE f IS NULL OR f <> c)")
 def str18(spark: S, d: str) -> DataFrame:
     rows = observations(spark, d).withColumn("camera", F.col("k") % 5)
@@ -155,11 +147,6 @@ def boxes(spark: S, d: str) -> DataFrame:
     )
 
 
-@query("str19_tracks")
-def str19(spark: S, d: str) -> DataFrame:
-    return frames.tracked(boxes(spark, d), "camera_id", "k", high=0.3, start=0.3).select("event_id", "track_id")
-
-
 @query("str24_cross_class")
 def str24(spark: S, d: str) -> DataFrame:
     return frames.without_cross_class_duplicates(boxes(spark, d), ["camera_id", "k"]).select("event_id")
