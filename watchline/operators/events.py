@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from watchline.sources.staging import staged
+
 #: Payload fields by event type, beyond the base fields.
 BASE_FIELDS = "event_id string, event_type string, timestamp string, camera_id string, track_id string, global_person_id string, incident_id string, confidence double, source string"
 PAYLOADS = {
@@ -104,3 +106,19 @@ def merged_metadata(old: Column, new: Column) -> Column:
     """Two maps as one; the new one's values win."""
     kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
     return F.coalesce(F.map_concat(kept, new), old, new)
+
+
+def sequenced(rows: DataFrame, order: list[str], used: int = 0) -> DataFrame:
+    """Rows with ``seq_id``, from ``used`` + 1 on without a gap, in ``order``, which has to be unique.
+
+    Rows are sorted by range, and numbered within each partition after those before it; only the partitions' counts meet
+    in one task.
+    """
+    # Staged, as the counts and the numbers have to see the same partitions.
+    dealt = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row for each partition
+    return numbered.withColumn("seq_id", F.lit(used + 1) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")

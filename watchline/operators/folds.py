@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def seconds(ts: Column) -> Column:
@@ -17,19 +18,25 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
+def clock(df: DataFrame, at: str) -> Column:
+    """A time in seconds, or a number such as a frame's as it is."""
+    return F.col(at).cast("double") if isinstance(df.schema[at].dataType, NumericType) else seconds(F.col(at))
+
+
 def emit_with_cooldown(df: DataFrame, keys: list[str], ts: str, seq: str, cooldown: float, inclusive: bool = True, bypass: Column | None = None) -> DataFrame:
-    """Rows that come at least ``cooldown`` seconds after the key's last emitted row, or bypass the wait.
+    """Rows that come at least ``cooldown`` seconds (or numbers, such as frames) after the key's last emitted row, or bypass the wait.
 
     Without ``inclusive``, a row at exactly the cooldown is held back. The last *emitted* row counts, not the
     last seen one, so that ``lag`` alone can't tell. ``seq`` need be unique within a key only.
     """
     w = Window.partitionBy(*keys).orderBy(ts, seq)
-    waited = seconds(F.col(ts)) - F.lag(seconds(F.col(ts))).over(w)
+    now = clock(df, ts)
+    waited = now - F.lag(now).over(w)
     apart = (waited >= cooldown) if inclusive else (waited > cooldown)
     # A row after so long a gap is emitted whatever came before, so that each stretch can be folded by itself.
     rows = df.select(
         *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.sum(F.when(apart, 1).otherwise(0)).over(w).alias("_stretch"),
-        F.struct(seconds(F.col(ts)).alias("t"), F.col(seq).alias("s"), F.coalesce(bypass if bypass is not None else F.lit(False), F.lit(False)).alias("b")).alias("_item"),
+        F.struct(now.alias("t"), F.col(seq).alias("s"), F.coalesce(bypass if bypass is not None else F.lit(False), F.lit(False)).alias("b")).alias("_item"),
     )
     named = [f"_k{i}" for i in range(len(keys))]
     grouped = rows.groupBy(*named, "_stretch").agg(F.array_sort(F.collect_list("_item")).alias("rows"))

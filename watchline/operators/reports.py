@@ -105,3 +105,34 @@ def journeys(rows: DataFrame, entity: str, camera: str, ts: str, seq: str) -> Da
         entity, F.row_number().over(w).cast("long").alias("hop"), F.col("_from").alias("from_camera"), F.col(camera).alias("camera"),
         F.col(ts).alias("arrived"), F.coalesce(F.lead(ts).over(w), F.col("_last")).alias("left"),
     )
+
+
+def followed(entities: DataFrame, transitions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The hops of every entity, by what is known of it: ``hop, camera, track, entered, last_seen, duration, confidence, from_camera``.
+
+    With transitions and at most one local track, the chain of transitions after the first one's origin; without tracks,
+    the entity's current camera as one hop; else its local tracks by their first sighting, each after the first with the
+    earliest transition to it. Entities (entity, first_seen, last_seen, camera, track) have a row each; transitions
+    (entity, from_camera, from_track, to_camera, to_track, confidence, at, seq) and tracks (entity, camera, track,
+    first_seen, last_seen) any number. An entity of which nothing is known has no hop.
+    """
+    known = entities.join(transitions.groupBy("entity").agg(F.count("*").alias("n_moves")), "entity", "left").join(tracks.groupBy("entity").agg(F.count("*").alias("n_tracks")), "entity", "left")
+    known = known.fillna(0, ["n_moves", "n_tracks"])
+    chain = (F.col("n_moves") > 0) & (F.col("n_tracks") <= 1)
+    single = ~chain & (F.col("n_tracks") == 0) & F.col("camera").isNotNull()
+    w = Window.partitionBy("entity").orderBy("at", "seq")
+    whole = known.where(chain).select("entity", F.col("first_seen").alias("begun"), F.col("last_seen").alias("ended"))
+    moves = transitions.join(whole, "entity").withColumns({"n": F.row_number().over(w), "next": F.coalesce(F.lead("at").over(w), F.col("ended"))})
+    hops = lambda rows, hop, camera, track, entered, last, confidence, before: rows.select("entity", hop.cast("long").alias("hop"), F.col(camera).alias("camera"), F.col(track).alias("track"), F.col(entered).alias("entered"), F.col(last).alias("last_seen"), confidence.alias("confidence"), before.alias("from_camera"))
+    none, sure, one = F.lit(None).cast(transitions.schema["from_camera"].dataType), F.lit(1.0), F.lit(1)
+    first = hops(moves.where("n = 1"), one, "from_camera", "from_track", "begun", "at", sure, none)
+    rest = hops(moves, F.col("n") + 1, "to_camera", "to_track", "at", "next", F.col("confidence"), F.col("from_camera"))
+    alone = known.where(single).withColumn("track", F.coalesce("track", F.lit("LOCAL-1")))
+    alone = hops(alone, one, "camera", "track", "first_seen", "last_seen", sure, none)
+    own = tracks.join(known.where(~chain & (F.col("n_tracks") > 0)).select("entity"), "entity")
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("first_seen", "camera", "track")))
+    arrival = transitions.groupBy("entity", F.col("to_camera").alias("camera"), F.col("to_track").alias("track")).agg(F.min_by(F.struct("from_camera", "confidence"), F.struct("at", "seq")).alias("a"))
+    met = own.join(arrival, ["entity", "camera", "track"], "left").withColumn("a", F.when(F.col("n") > 1, F.col("a")))
+    by_tracks = hops(met, F.col("n"), "camera", "track", "first_seen", "last_seen", F.coalesce("a.confidence", sure), F.col("a.from_camera"))
+    lasted = F.greatest(F.lit(0.0), seconds(F.col("last_seen")) - seconds(F.col("entered")))
+    return first.unionByName(rest).unionByName(alone).unionByName(by_tracks).withColumn("duration", lasted)

@@ -9,16 +9,37 @@ from watchline.functions import geo
 from watchline.operators.folds import emit_with_cooldown, seconds
 
 
+#: Zones or wires that a site has at most; more need a camera to be joined on.
+MOST_AREAS = 1000
+
+
+def paired(positions: DataFrame, areas: DataFrame) -> DataFrame:
+    """Each position with each active area of its camera, or with each at all where areas have no ``camera_id``.
+
+    Areas of cameras are joined by the camera; those of none are broadcast, and refused beyond ``MOST_AREAS``.
+    """
+    active = areas.where("is_active")
+    if "camera_id" in areas.columns:
+        return positions.join(active, "camera_id")
+    if active.limit(MOST_AREAS + 1).count() > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas without a camera")
+    return positions.join(F.broadcast(active), how="cross")
+
+
 def positions_in_zones(positions: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each position with each active zone (a small, broadcast table), and whether it lies ``inside``."""
-    active = F.broadcast(zones.where("is_active"))
-    return positions.crossJoin(active).withColumn("inside", geo.zone_contains(F.col("x"), F.col("y"), F.col("polygon")))
+    """Each position with each active zone of ``paired``, and whether it lies ``inside``."""
+    return paired(positions, zones).withColumn("inside", geo.zone_contains(F.col("x"), F.col("y"), F.col("polygon")))
 
 
-def transitions(inside: DataFrame, track: list[str], ts: str, seq: str, initial_inside_enters: bool = True) -> DataFrame:
-    """Rows at which a track enters or leaves a zone, and on leaving its dwell in seconds."""
+def transitions(inside: DataFrame, track: list[str], ts: str, seq: str, initial_inside_enters: bool = True, dormant: float | None = None) -> DataFrame:
+    """Rows at which a track enters or leaves a zone, and on leaving its dwell in seconds.
+
+    A track that isn't seen for more than ``dormant`` seconds has left meanwhile; see ``dormant_exits``.
+    """
     w = Window.partitionBy(*track, "zone_id").orderBy(ts, seq)
     before = F.lag("inside").over(w)
+    if dormant is not None:
+        before = F.when(seconds(F.col(ts)) - seconds(F.lag(ts).over(w)) > dormant, False).otherwise(before)
     entered = F.col("inside") & ~F.coalesce(before, F.lit(not initial_inside_enters))
     rows = inside.withColumn("before", before).withColumn("entered", entered)
     rows = rows.withColumn("entry", F.last(F.when(F.col("entered"), seconds(F.col(ts))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -28,6 +49,14 @@ def transitions(inside: DataFrame, track: list[str], ts: str, seq: str, initial_
     return rows.withColumn("transition", kind).where("transition IS NOT NULL").withColumn("dwell_seconds", dwell).drop("before", "entered", "entry", "inside")
 
 
+def dormant_exits(inside: DataFrame, track: list[str], ts: str, seq: str, dormant: float) -> DataFrame:
+    """Exits of tracks that were last seen inside and then not for ``dormant`` seconds: the last row's ``seq``, and ``at`` in seconds."""
+    w = Window.partitionBy(*track, "zone_id").orderBy(ts, seq)
+    at, after = seconds(F.col(ts)), F.lead(seconds(F.col(ts))).over(w)
+    rows = inside.withColumns({"at": at + dormant, "_gone": after.isNull() | (after - at > dormant)})
+    return rows.where("inside AND _gone").select(*track, "zone_id", seq, "at")
+
+
 def visits(inside: DataFrame, track: list[str], ts: str, seq: str) -> DataFrame:
     """Rows inside a zone with the number of their visit and the time since it began (``dwell_seconds``)."""
     w = Window.partitionBy(*track, "zone_id").orderBy(ts, seq)
@@ -44,11 +73,11 @@ def loitering(inside: DataFrame, track: list[str], ts: str, seq: str, threshold:
 
 
 def tripwire_crossings(positions: DataFrame, wires: DataFrame, track: list[str], ts: str, seq: str) -> DataFrame:
-    """Moves of a track that cross a wire (a small, broadcast table), with the ``crossing`` direction."""
+    """Moves of a track that cross a wire of ``paired``, with the ``crossing`` direction."""
     w = Window.partitionBy(*track).orderBy(ts, seq)
     moves = positions.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w)).where("px IS NOT NULL")
     wire = (F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pairs = moves.crossJoin(F.broadcast(wires.where("is_active")))
+    pairs = paired(moves, wires)
     found = geo.crossing(F.col("px"), F.col("py"), F.col("x"), F.col("y"), wire, F.col("direction"))
     return pairs.withColumn("crossing", found).where("crossing IS NOT NULL")
 

@@ -210,16 +210,16 @@ def j02(spark: S, d: str) -> DataFrame:
     return table(spark, d, "customer").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
-@query(
-    "j06_asof_correlation",
-    """, pairs AS (
-      SELECT n.event_id AS entry_id, e.event_id AS exit_id, e.camera_id AS from_camera, n.camera_id AS to_camera, n.s - e.s AS delta_seconds,
-        row_number() OVER (PARTITION BY n.event_id ORDER BY e.s DESC, e.event_id DESC) AS n
-      FROM x n JOIN x e ON n.k % 10 = e.k % 10 AND e.camera_id <> n.camera_id AND n.s - e.s BETWEEN 0.5 AND 3600
-      WHERE n.event_type = 'signup' AND e.event_type = 'error')
-    SELECT entry_id, exit_id, from_camera, to_camera, round(delta_seconds, 3) AS delta_seconds,
-      round(greatest(0.40, least(0.75, 1 - delta_seconds / 3600)), 3) AS confidence FROM pairs WHERE n = 1""",
-)
+ASOF_SQL = """, pairs AS (
+    SELECT n.event_id AS entry_id, e.event_id AS exit_id, e.camera_id AS from_camera, n.camera_id AS to_camera, n.s - e.s AS delta_seconds,
+      row_number() OVER (PARTITION BY n.event_id ORDER BY e.s DESC, e.event_id DESC) AS n
+    FROM x n JOIN x e ON n.k % 10 = e.k % 10 AND e.camera_id <> n.camera_id AND n.s - e.s BETWEEN 0.5 AND 3600
+    WHERE n.event_type = 'signup' AND e.event_type = 'error')
+  SELECT entry_id, exit_id, from_camera, to_camera, round(delta_seconds, 3) AS delta_seconds,
+    round(greatest(0.40, least(0.75, 1 - delta_seconds / 3600)), 3) AS confidence FROM pairs WHERE n = 1"""
+
+
+@query("j06_asof_correlation", ASOF_SQL)
 def j06(spark: S, d: str) -> DataFrame:
     x = observations(spark, d).withColumn("object_class", F.col("k") % 10)
     rows = joins.as_of_correlation(x.where("event_type = 'error'"), x.where("event_type = 'signup'"), most=3600.0)

@@ -164,11 +164,15 @@ def agg36(spark: S, d: str) -> DataFrame:
     return g.select("raw", "kept", F.when(F.col("raw") > 0, F.round(100.0 * (F.col("raw") - F.col("kept")) / F.col("raw"), 2)).otherwise(0.0).alias("percent"))
 
 
-@query("win09_telemetry_samples", recursive(greedy_sql("SELECT user_id AS key, CAST(event_id AS DOUBLE) AS s, event_id FROM x", 500)), False)
+SAMPLED_ROWS = "SELECT user_id AS key, floor(s / 3600) AS s, event_id, CASE event_type WHEN 'signup' THEN 'recovered' ELSE 'updated' END AS lifecycle FROM x"
+
+
+@query("win09_telemetry_samples", recursive(greedy_sql(SAMPLED_ROWS, 10, "n.lifecycle <> 'updated'")), False)
 def win09(spark: S, d: str) -> DataFrame:
-    # Frames stand for seconds: a row is kept if 500 frames have passed since the last one kept.
-    e = table(spark, d, "events").withColumn("frame_time", F.timestamp_seconds("event_id"))
-    return folds.emit_with_cooldown(e, ["user_id"], "frame_time", "event_id", 500.0).select("event_id")
+    """A track's first row, its changes of life cycle, and rows ten frames (here hours) after the last one kept."""
+    lifecycle = F.when(F.col("event_type") == "signup", "recovered").otherwise("updated")
+    rows = observations(spark, d).withColumns({"frame": F.floor(F.col("s") / 3600), "lifecycle": lifecycle})
+    return folds.emit_with_cooldown(rows, ["user_id"], "frame", "event_id", 10, bypass=F.col("lifecycle") != "updated").select("event_id")
 
 
 @query("srt01_replay_order", "SELECT event_id, ts FROM x ORDER BY ts, event_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchline.functions import geo
@@ -134,10 +134,37 @@ def str12(spark: S, d: str) -> DataFrame:
     return frames.coordinated_groups(x.select("camera_id", "k", F.col("event_id").alias("track_id"), "x", "y", "vx", "vy"), ["camera_id", "k"])
 
 
-@query("str18_follow_track", "SELECT entity AS user_id, hop, from_camera, camera, arrived FROM (SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hop, f AS from_camera, c AS camera, ts AS arrived FROM (SELECT *, k % 5 AS c, lag(k % 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM x) WHERE f IS NULL OR f <> c)")
+FOLLOW_SQL = """, y AS (SELECT *, user_id AS entity, 'CAM-' || (k % 5) AS camera, 'T-' || (k % 7) AS track FROM x),
+    e AS (SELECT entity, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN entity % 10 <> 9 THEN arg_max(camera, (ts, event_id)) END AS camera, CASE WHEN entity % 4 = 0 THEN arg_max(track, (ts, event_id)) END AS track FROM y GROUP BY entity),
+    l AS (SELECT entity, camera, track, min(ts) AS first_seen, max(ts) AS last_seen FROM y WHERE entity % 3 = 0 OR entity % 11 = 1 AND k % 35 = 1 GROUP BY ALL),
+    t AS (SELECT * FROM (SELECT entity, lag(camera) OVER w AS f, lag(track) OVER w AS ft, camera AS c, track AS ct, value / 100 AS confidence, ts AS moved, event_id AS seq FROM y WHERE event_type = 'signup' WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)) WHERE f <> c AND entity % 3 <> 2),
+    h AS (SELECT e.*, (SELECT count(*) FROM t WHERE t.entity = e.entity) AS moves, (SELECT count(*) FROM l WHERE l.entity = e.entity) AS tracks FROM e),
+    c AS (SELECT t.*, h.first_seen, row_number() OVER w AS n, coalesce(lead(moved) OVER w, h.last_seen) AS later FROM t JOIN h ON h.entity = t.entity AND moves > 0 AND tracks <= 1 WINDOW w AS (PARTITION BY t.entity ORDER BY moved, seq)),
+    r AS (SELECT l.*, row_number() OVER (PARTITION BY l.entity ORDER BY l.first_seen, l.camera, l.track) AS n FROM l JOIN h ON h.entity = l.entity AND NOT (moves > 0 AND tracks <= 1)),
+    a AS (SELECT entity, c AS camera, ct AS track, arg_min(f, (moved, seq)) AS f, arg_min(confidence, (moved, seq)) AS confidence FROM t GROUP BY ALL),
+    hops AS (SELECT entity, 1 AS hop, f AS camera, ft AS track, first_seen AS entered, moved AS last_seen, 1.0 AS confidence, NULL AS from_camera FROM c WHERE n = 1
+      UNION ALL SELECT entity, n + 1, c, ct, moved, later, confidence, f FROM c
+      UNION ALL SELECT entity, 1, camera, coalesce(track, 'LOCAL-1'), first_seen, last_seen, 1.0, NULL FROM h WHERE tracks = 0 AND moves = 0 AND camera IS NOT NULL
+      UNION ALL SELECT r.entity, r.n, r.camera, r.track, r.first_seen, r.last_seen, CASE WHEN r.n > 1 THEN coalesce(a.confidence, 1.0) ELSE 1.0 END, CASE WHEN r.n > 1 THEN a.f END FROM r LEFT JOIN a ON a.entity = r.entity AND a.camera = r.camera AND a.track = r.track)
+    SELECT entity, hop, camera, track, entered, greatest(0, epoch_us(last_seen) - epoch_us(entered)) AS duration_us, round(confidence, 4) AS confidence, from_camera FROM hops"""
+
+
+@query("str18_follow_track", FOLLOW_SQL)
 def str18(spark: S, d: str) -> DataFrame:
-    rows = observations(spark, d).withColumn("camera", F.col("k") % 5)
-    return reports.journeys(rows, "user_id", "camera", "ts", "event_id").drop("left")
+    k, e = F.col("k"), F.col("entity")
+    y = observations(spark, d).withColumns({"entity": F.col("user_id"), "camera": F.concat(F.lit("CAM-"), k % 5), "track": F.concat(F.lit("T-"), k % 7)})
+    last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
+    entities = y.groupBy("entity").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), last("camera").alias("camera"), last("track").alias("track"))
+    entities = entities.withColumns({"camera": F.when(e % 10 != 9, F.col("camera")), "track": F.when(e % 4 == 0, F.col("track"))})
+    seen = y.where("entity % 3 = 0 OR entity % 11 = 1 AND k % 35 = 1")
+    tracks = seen.groupBy("entity", "camera", "track").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    w = Window.partitionBy("entity").orderBy("ts", "event_id")
+    moved = y.where("event_type = 'signup'").select(
+        "entity", F.lag("camera").over(w).alias("from_camera"), F.lag("track").over(w).alias("from_track"), F.col("camera").alias("to_camera"), F.col("track").alias("to_track"),
+        (F.col("value") / 100).alias("confidence"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    )
+    found = reports.followed(entities, moved.where("from_camera <> to_camera AND entity % 3 <> 2"), tracks)
+    return found.select("entity", "hop", "camera", "track", "entered", F.round(F.col("duration") * 1e6).cast("long").alias("duration_us"), F.round("confidence", 4).alias("confidence"), "from_camera")
 
 
 def boxes(spark: S, d: str) -> DataFrame:
