@@ -199,10 +199,23 @@ def contexts(rows: DataFrame, repeated: Bitmap) -> DataFrame:
     return rows.mapInArrow(run, "entity string, context long, terms array<string>")
 
 
-def terms_of(texts: list[str]) -> Iterator[set[str]]:
-    for text in texts:
-        words = TERM.findall(without(text, base(text)))
-        yield {*words, *pairs(words)}
+def seeds(terms: DataFrame) -> DataFrame:
+    """``seed`` of every term and of the words of two."""
+    return terms.select(F.explode(F.array_distinct(F.array_append(F.split("term", " "), F.col("term")))).alias("part")).select(F.xxhash64("part").alias("seed"))
+
+
+def terms_of(texts: list[str], wanted: Bitmap) -> list[set[str]]:
+    """Each text's terms that the bitmap has; two words are put together only where it has both."""
+    words = [TERM.findall(without(text, base(text))) for text in texts]
+    sets = [set(w) for w in words]
+    there = passed(set().union(*sets), wanted)
+    both = [set(pairs_in(w, there)) if len(s & there) > 1 else set() for w, s in zip(words, sets, strict=True)]
+    together = passed(set().union(*both), wanted)
+    return [(s & there) | (b & together) for s, b in zip(sets, both, strict=True)]
+
+
+def pairs_in(words: list[str], there: set[str]) -> Iterator[str]:
+    return (f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in there and b in there)
 
 
 def occurrences(rows: DataFrame, wanted: Bitmap, copied: Bitmap) -> DataFrame:
@@ -214,14 +227,13 @@ def occurrences(rows: DataFrame, wanted: Bitmap, copied: Bitmap) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in steps(batches):
-            sets = list(terms_of(batch.column("text").to_pylist()))
-            there = passed(set().union(*sets), want.value)
+            sets = terms_of(batch.column("text").to_pylist(), want.value)
             twice = copy.value.has(batch.column("seed").to_numpy().view(np.uint64))
             for own, several, th in zip(sets, twice, batch.column("th").to_pylist(), strict=True):
                 if not several:
-                    found.update(own & there)
-                elif some := own & there:
-                    yield row(th, some, None)
+                    found.update(own)
+                elif own:
+                    yield row(th, own, None)
             if len(found) > COUNTED:
                 yield row(None, found, found.values())
                 found = Counter()
@@ -236,7 +248,8 @@ def occurrences(rows: DataFrame, wanted: Bitmap, copied: Bitmap) -> DataFrame:
 
 def texts_with(rows: DataFrame, terms: DataFrame, copied: Bitmap) -> DataFrame:
     """``term, n``: in how many different texts each of ``terms`` (term) occurs; others may come with it."""
-    wanted = bitmap_of(terms.select(F.xxhash64("term").alias("seed")), terms.count())
+    parts = seeds(terms).distinct()
+    wanted = bitmap_of(parts, parts.count())
     found = staged(occurrences(rows, wanted, copied))
     once = found.where("th IS NULL").select(F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("n"))).alias("x")).select("x.term", "x.n")
     of_copies = found.where("th IS NOT NULL").dropDuplicates(["th"]).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
@@ -287,11 +300,9 @@ def located(rows: DataFrame, wanted: Bitmap) -> DataFrame:
             own = list(range(len(shown)))
             counts = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in range(4)]
             yield out(batch, own, [*counts, pa.array(map(listed, spans), pa.string()), *(pa.nulls(len(own), t) for t in types)])
-            sets = list(terms_of(shown))
-            there = passed(set().union(*sets), shared.value)
-            for i, (text, s, terms) in enumerate(zip(shown, spans, sets, strict=True)):
-                if terms & there:
-                    hits = list(places(without(text, s), there))
+            for i, (text, s, terms) in enumerate(zip(shown, spans, terms_of(shown, shared.value), strict=True)):
+                if terms:
+                    hits = list(places(without(text, s), terms))
                     for at in range(0, len(hits), 10_000):
                         columns = list(zip(*hits[at : at + 10_000], strict=True))
                         yield out(batch, [i] * len(columns[0]), [*(pa.nulls(len(columns[0]), t) for t in [pa.int64()] * 4 + [pa.string()]), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))])
@@ -319,7 +330,8 @@ def places(low: str, wanted: set[str]) -> Iterator[tuple[str, int, int]]:
 def found_in(docs: DataFrame, threshold: float, least: int) -> DataFrame:
     """``doc_id, th, copies``, the base counts and ``base`` spans of each text under an id, and its ``terms`` (start, end, keep)."""
     marked = staged(disclosing(docs, threshold, least))
-    wanted = bitmap_of(marked.select(F.xxhash64("term").alias("seed")), marked.count())
+    parts = seeds(marked).distinct()
+    wanted = bitmap_of(parts, parts.count())
     rows = located(docs.select("doc_id", digest().alias("th"), "text"), wanted).join(marked, "term", "left")
     hit = F.when(F.col("keep").isNotNull(), F.struct("start", "end", "keep"))
     return rows.groupBy("doc_id", "th").agg(
