@@ -53,3 +53,4 @@ def test_answers(spark):
     assert answer("When did track 99 enter?", events, NOW).status == "no_records_found"
     assert answer("how many people are there", events, NOW).facts == ["cam_1: 1 tracks"]
     assert answer("who is this", events, NOW).grounding == "refusal"
+    assert answer("how many cameras are active", events, NOW, cameras=spark.createDataFrame([("cam_1", "ONLINE"), ("cam_2", "OFFLINE")], "camera_id string, status string")).facts == ["cam_1: ONLINE, 1 tracks", "cam_2: OFFLINE, 0 tracks"]

@@ -58,6 +58,20 @@ def sector_index(tripwires: Column, restricted: Column, loitering: Column, track
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total.cast("double")))
 
 
+def sector_score(critical: Column, restricted: Column, loitering: Column, tracks: Column, flags: dict[str, Column], live: Column | None = None, fast: Column | None = None) -> Column:
+    """A sector's score 0 to 100 and level, from its counted alerts, live tracks and signs.
+
+    ``flags``: night (counts with live tracks only), protected, coordinated, influx, and intrusion, which with several
+    tracks counts as unauthorised company. One live track gives 25, more 35, and 15 if any is fast.
+    """
+    live = F.lit(0) if live is None else live
+    base = F.when(live == 1, 25.0).when(live >= 2, 35.0).otherwise(0.0) + F.when(F.coalesce(fast, F.lit(False)) if fast is not None else F.lit(False), 15.0).otherwise(0.0)
+    worth = lambda name, points, also=None: F.when(flags.get(name, F.lit(False)) & (also if also is not None else F.lit(True)), float(points)).otherwise(0.0)
+    total = base + 35.0 * critical + 30.0 * restricted + 20.0 * loitering + worth("night", 15, live > 0) + worth("protected", 15) + worth("coordinated", 15) + worth("influx", 10) + worth("intrusion", 10, tracks > 1)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
+    return F.struct(total.alias("raw"), score.alias("score"), band(score, SECTOR_LEVELS, "NORMAL").alias("level"))
+
+
 def incident_severity(score: Column) -> Column:
     return band(score, INCIDENT_SEVERITIES, "INFO")
 

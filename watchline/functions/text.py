@@ -58,3 +58,43 @@ def class_named(text: Column) -> Column:
 def iso_time(ts: Column) -> Column:
     """ISO 8601 without microseconds where they are zero."""
     return F.when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+#: Words that name no track or camera.
+STOP_WORDS = ["this", "the", "that", "all", "each", "a", "an", "is", "was", "any", "id"]
+#: Units of a look-back in seconds.
+LOOK_BACK_UNITS = {"hour": 3600, "min": 60, "sec": 1}
+
+
+def _first(text: Column, pattern: str) -> Column:
+    """The first group of the first match, null if there is none."""
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found)
+
+
+def _no_stop_word(name: Column) -> Column:
+    return F.when(~F.lower(name).isin(STOP_WORDS), name)
+
+
+def track_named(text: Column) -> Column:
+    """The track that a question names after the word track; a stop word is none."""
+    return _no_stop_word(_first(text, r"(?i)\btrack\s*(?:id)?\s*#?\s*([0-9]+|[a-zA-Z0-9_\-]+)\b"))
+
+
+def camera_named(text: Column) -> Column:
+    """The camera that a question names by its id, or after the word camera, then with cam_ before it."""
+    direct = _first(text, r"(?i)\b(cam(?:era)?[_\-][a-zA-Z0-9_\-]+|cctv[_\-][a-zA-Z0-9_\-]+)\b")
+    named = _no_stop_word(_first(text, r"(?i)\b(?:camera|cam)\s+(?:id\s+)?#?\s*([0-9]+|[a-zA-Z0-9_\-]+)\b"))
+    return F.coalesce(direct, F.when(named.startswith("cam") | named.startswith("cctv"), named).otherwise(F.concat(F.lit("cam_"), named)))
+
+
+def zone_named(text: Column) -> Column:
+    """The zone that a question names after zone, sector or area."""
+    return _first(text, r"(?i)\b(?:zone|sector|area)\s*#?([a-zA-Z0-9_\-]+)")
+
+
+def look_back(text: Column) -> Column:
+    """Seconds of "last n minutes" (hours, seconds), null if a question has none."""
+    number, unit = _first(text, r"(?i)last\s+(\d+)\s+(?:minute|min|hour|second|sec)"), F.lower(F.regexp_extract(text, r"(?i)last\s+\d+\s+(minute|min|hour|second|sec)", 1))
+    seconds = reduce(lambda c, u: c.when(unit.contains(u[0]), u[1]), LOOK_BACK_UNITS.items(), F.when(F.lit(False), 0))
+    return number.cast("long") * seconds

@@ -42,6 +42,16 @@ def matching(**equal: object) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c) == v for c, v in equal.items() if v is not None), F.lit(True))
 
 
+def all_of(conditions: list[Column]) -> Column:
+    """The conjunction of conditions; true if there are none."""
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def any_of(conditions: list[Column]) -> Column:
+    """The disjunction of conditions; false if there are none."""
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
 def get_events(events: DataFrame, ts: str, seq: str, since: str | None = None, after_seq: int | None = None, newest_first: bool = False, limit: int = 100, **equal: object) -> DataFrame:
     """The oldest (or newest) ``limit`` events by time and sequence, after optional filters."""
     rows = events.where(matching(**equal))
@@ -122,3 +132,33 @@ def sequenced(rows: DataFrame, order: list[str], used: int = 0) -> DataFrame:
     starts = counts.select("_part", before.alias("_before"))
     numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row for each partition
     return numbered.withColumn("seq_id", F.lit(used + 1) + F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
+#: The payload fields of an alert, and the defaults of its message, severity and modality.
+ALERT_FIELDS = (
+    "message string, severity string, is_acknowledged boolean, threat_score double, threat_level string, threat_reasons array<string>, causal_chain array<string>, "
+    "evidence_snapshot_uri string, face_snapshot_uri string, anpr_snapshot_uri string, best_frame_number int, modality string, timeline_offset_sec double, heading string, "
+    "speed_description string, target_bbox array<double>, plate_number string, plate_confidence double, plate_uncertain boolean, face_confidence double"
+)
+ALERT_MESSAGE, ALERT_SEVERITY, ALERT_MODALITY = "Security Perimeter Violation", "CRITICAL", "STANDARD"
+
+
+def alert_items(alerts: DataFrame, payload: str = "payload") -> DataFrame:
+    """Alerts with their payload's fields beside their own columns, which come first where they are set.
+
+    ``message``, ``severity`` and ``is_acknowledged`` may be columns already; empty ones count as not set. A severity is in
+    capitals; a missing or broken payload leaves the defaults.
+    """
+    p = F.from_json(payload, ALERT_FIELDS)
+    own = lambda name: truthy(F.col(name), p[name]) if name in alerts.columns else truthy(p[name])
+    acknowledged = F.coalesce(F.col("is_acknowledged"), F.lit(False)) if "is_acknowledged" in alerts.columns else F.lit(False)
+    fields = {f.name: p[f.name] for f in T._parse_datatype_string(ALERT_FIELDS)}
+    fields |= {
+        "message": F.coalesce(own("message"), F.lit(ALERT_MESSAGE)),
+        "severity": F.upper(F.coalesce(own("severity"), F.lit(ALERT_SEVERITY))),
+        "is_acknowledged": acknowledged | F.coalesce(p["is_acknowledged"], F.lit(False)),
+        "modality": F.coalesce(p["modality"], F.lit(ALERT_MODALITY)),
+        "plate_uncertain": F.coalesce(p["plate_uncertain"], F.lit(False)),
+    }
+    kept = [c for c in alerts.columns if c not in fields]
+    return alerts.select(*kept, *(c.alias(name) for name, c in fields.items()))

@@ -122,6 +122,26 @@ def assigned(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     return pairs
 
 
+def assignments(df: DataFrame, frame: list[str], most: float = 0.8) -> DataFrame:
+    """Pairs of a frame's tracks (``is_track``) and its other boxes, the cheapest first, each once: ``track_id, box_id, cost``.
+
+    The cost is one less the overlap, up to ``most``; of equal costs the one of the lower ids comes first.
+    """
+
+    def begin(stretch: int):
+        def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
+            tracks, others = ([r for r in rows or [] if r[0] is side] for side in (True, False))
+            if not tracks or not others:
+                return []
+            cost = 1 - overlaps(np.array([r[2:] for r in tracks], float), np.array([r[2:] for r in others], float))
+            return [(tracks[i][1], others[j][1], float(cost[i, j])) for i, j in assigned(cost, most)]
+
+        return take
+
+    rows = df.select(*frame, "is_track", "id", *BOX).withColumn("_one", F.lit(0))
+    return ordered.folded(rows, frame, "_one", ["is_track", "id", *BOX], ["id"], None, begin, "track_id long, box_id long, cost double").drop(ordered.STRETCH)
+
+
 def greedy_ground_truth(df: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
     """Each true box of a frame (``is_truth``), in order of id, with the free prediction that overlaps it most."""
 

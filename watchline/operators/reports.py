@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchline.functions import scoring
+from watchline.operators.events import truthy
 from watchline.operators.folds import seconds
 
 
@@ -136,3 +139,95 @@ def followed(entities: DataFrame, transitions: DataFrame, tracks: DataFrame) ->
     by_tracks = hops(met, F.col("n"), "camera", "track", "first_seen", "last_seen", F.coalesce("a.confidence", sure), F.col("a.from_camera"))
     lasted = F.greatest(F.lit(0.0), seconds(F.col("last_seen")) - seconds(F.col("entered")))
     return first.unionByName(rest).unionByName(alone).unionByName(by_tracks).withColumn("duration", lasted)
+
+
+def newest(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """Each key's newest ``n`` rows by ``order``, with ``place`` 1 for the newest."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def sector_assessment(events: DataFrame, sector: str, track: str, ts: str, seq: str, now: Column, look_back: float, alerts: int = 50, others: int = 200) -> DataFrame:
+    """Each sector's counts, signs, distinct tracks, score and level over the ``look_back`` seconds before ``now``.
+
+    Of alerts the newest ``alerts`` are taken first, and then those in time; of all events the newest ``others`` in time.
+    Events have ``event_type``, ``message``, ``narrative``, ``transition``, ``zone_name``, ``zone_severity`` and ``severity``. An
+    alert is critical if its words cross, breach or name a tripwire, or its severity is; restricted and loitering go by
+    words as well. Sectors without any event in time are left out.
+    """
+    since = now - F.make_dt_interval(secs=F.lit(look_back).cast("decimal(18,6)"))
+    words = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("message", "narrative", "transition", "zone_name", "zone_severity"))))
+    severity = F.upper(F.coalesce(truthy(F.col("severity")), truthy(F.col("zone_severity")), F.lit("")))
+    has = lambda text, *some: reduce(lambda a, b: a | b, (text.contains(w) for w in some))
+    a = newest(events.where("event_type = 'ALERT'"), [sector], [ts, seq], alerts).where(F.col(ts) >= since)
+    a = a.select(
+        sector, (has(words, "crossed", "breach", "tripwire") | severity.contains("CRITICAL")).alias("critical"), (has(words, "restricted") | severity.contains("RESTRICTED")).alias("restricted"),
+        has(words, "loiter", "dwelling").alias("loitering"), has(words, "night").alias("night"), has(words, "protected", "checkpoint").alias("protected"),
+    )
+    counted = a.groupBy(sector).agg(*(F.count_if(c).alias(c) for c in ("critical", "restricted", "loitering")), *(F.coalesce(F.bool_or(c), F.lit(False)).alias(f"{c}_alert") for c in ("night", "protected")))
+    e = newest(events.where(F.col(ts) >= since), [sector], [ts, seq], others)
+    zone = F.col("event_type") == "ZONE"
+    seen = e.groupBy(sector).agg(
+        F.countDistinct(track).alias("tracks"), F.bool_or(zone & has(words, "crossed")).alias("crossed"), F.bool_or(zone & has(words, "entered") & has(words, "restricted", "critical")).alias("intruded"),
+        F.bool_or(zone & has(words, "protected")).alias("protected_zone"), F.bool_or(has(words, "night")).alias("night_event"),
+    )
+    rows = seen.join(counted, sector, "left").fillna(0, ["critical", "restricted", "loitering"]).fillna(False, ["night_alert", "protected_alert"])
+    intrusion = F.col("crossed") | F.col("intruded") | (F.col("critical") > 0) | (F.col("restricted") > 0)
+    flags = {"night": F.col("night_alert") | F.col("night_event"), "protected": F.col("protected_alert") | F.col("protected_zone"), "intrusion": intrusion}
+    s = scoring.sector_score(F.col("critical"), F.col("restricted"), F.col("loitering"), F.col("tracks"), flags)
+    return rows.withColumn("s", s).select(sector, "critical", "restricted", "loitering", "tracks", F.col("s.raw").alias("raw"), F.col("s.score").alias("score"), F.col("s.level").alias("level"))
+
+
+def listed(rows: DataFrame, key: str, value: str, order: list[str], n: int | None, name: str) -> DataFrame:
+    """Each key's newest ``n`` values (all: None) as an array ``name``, the newest first."""
+    top = rows if n is None else newest(rows, [key], order, n)
+    pairs = F.reverse(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))))
+    return top.groupBy(key).agg(F.transform(pairs, lambda r: r["v"]).alias(name))
+
+
+def person_profiles(entities: DataFrame, tracks: DataFrame, faces: DataFrame, incidents: DataFrame, transitions: DataFrame) -> DataFrame:
+    """Profiles by ``entity``: ``local_tracks`` (camera to tracks), ``cameras``, the newest ten ``faces`` and ``incidents``,
+    ``transitions``, and the ``peak_threat`` of those incidents with its ``threat_level``.
+
+    Entities (entity, camera, track) have a row each, their current place counting as observed; tracks (entity, camera,
+    track), faces (entity, face_id, at), incidents (entity, incident_id, at, peak) and transitions (entity) any number.
+    """
+    places = tracks.select("entity", "camera", "track").union(entities.where("camera IS NOT NULL").select("entity", "camera", "track")).distinct()
+    by_camera = places.groupBy("entity", "camera").agg(F.array_sort(F.collect_list("track")).alias("t"))
+    seen = by_camera.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("camera", "t")))).alias("local_tracks"), F.array_sort(F.collect_list("camera")).alias("cameras"))
+    last = newest(incidents, ["entity"], ["at", "incident_id"], 10)
+    peaks = last.groupBy("entity").agg(F.max("peak").alias("peak_threat"))
+    moved = transitions.groupBy("entity").agg(F.count("*").alias("transitions"))
+    rows = entities.select("entity").join(seen, "entity", "left").join(listed(faces, "entity", "face_id", ["at", "face_id"], 10, "faces"), "entity", "left")
+    rows = rows.join(listed(last.drop("place"), "entity", "incident_id", ["at", "incident_id"], None, "incidents"), "entity", "left").join(peaks, "entity", "left").join(moved, "entity", "left")
+    rows = rows.fillna(0, ["transitions"]).withColumn("peak_threat", F.greatest(F.lit(0.0), F.coalesce("peak_threat", F.lit(0.0))))
+    return rows.withColumn("threat_level", scoring.band(F.col("peak_threat"), scoring.PROFILE_LEVELS, "NORMAL"))
+
+
+def vehicle_plates(plates: DataFrame) -> DataFrame:
+    """Each vehicle's ``plates`` (entity, plate, confidence, observation_id) by confidence, the best first, and its best plate."""
+    by = F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("less"), "observation_id", "plate")))
+    rows = plates.groupBy("entity").agg(by.alias("p"))
+    first = F.col("p")[0]
+    return rows.select("entity", F.transform("p", lambda r: r["plate"]).alias("plates"), first["plate"].alias("best_plate"), (-first["less"]).alias("best_confidence"))
+
+
+def influx(rows: DataFrame, keys: list[str], ts: str, count: str, seconds: float = 10.0, most: int = 15, least_points: int = 3, least_count: int = 3, threshold: float = 0.40) -> DataFrame:
+    """Rows with the ``slope`` of their key's counts a second, and whether the rise is ``rapid``.
+
+    The slope is a regression over the samples of the last ``seconds``, the newest ``most`` of them; fewer than
+    ``least_points``, or samples at one time, give 0. A rapid rise is of ``threshold`` or more and ends at ``least_count``.
+    """
+    w = Window.partitionBy(*keys).orderBy((F.col(ts) * 1e6).cast("long")).rangeBetween(-int(seconds * 1e6), 0)
+    last = Window.partitionBy(*keys).orderBy(ts).rowsBetween(1 - most, 0)
+    y, t = F.col(count).cast("double"), F.col(ts)
+    # Times are taken from the row's own, as squares of large numbers leave no digits for the differences.
+    n = F.count("*").over(w)
+    samples = F.when(n > most, F.collect_list(F.struct(t.alias("t"), y.alias("y"))).over(last)).otherwise(F.collect_list(F.struct(t.alias("t"), y.alias("y"))).over(w))
+    size = F.size("_s")
+    mean = lambda f: F.aggregate(F.col("_s"), F.lit(0.0), lambda a, s: a + f(s)) / size
+    moved = rows.withColumn("_s", samples).withColumn("_s", F.transform("_s", lambda s: F.struct((s["t"] - F.col(ts)).alias("t"), s["y"].alias("y"))))
+    mt, my = mean(lambda s: s["t"]), mean(lambda s: s["y"])
+    cov, var = mean(lambda s: s["t"] * s["y"]) - mt * my, mean(lambda s: s["t"] * s["t"]) - mt * mt
+    slope = F.when((size >= least_points) & (var >= 1e-6), cov / var).otherwise(0.0)
+    return moved.withColumn("_slope", slope).withColumns({"slope": F.round("_slope", 3), "rapid": (F.col("_slope") >= threshold) & (F.col(count) >= least_count)}).drop("_s", "_slope")

@@ -171,11 +171,6 @@ def prj01(spark: S, d: str) -> DataFrame:
     return observations(spark, d).select(F.col("event_id").alias("seq_id"), F.col("user_id").alias("track_id"), F.col("user_id").alias("global_person_id"), F.col("k").alias("frame"))
 
 
-@query("prj02_alert_defaults", "SELECT event_id, coalesce(json_extract_string(props, '$.severity'), 'CRITICAL') AS severity, coalesce(k, 0) AS threat FROM x")
-def prj02(spark: S, d: str) -> DataFrame:
-    return observations(spark, d).select("event_id", F.coalesce(F.get_json_object("props", "$.severity"), F.lit("CRITICAL")).alias("severity"), F.coalesce("k", F.lit(0)).alias("threat"))
-
-
 @query("prj03_timeline_defaults", "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) * 30 + 15 AS frame, (row_number() OVER (ORDER BY ts, event_id) - 1) * 5 AS offset_s FROM (SELECT * FROM x ORDER BY ts, event_id LIMIT 100)")
 def prj03(spark: S, d: str) -> DataFrame:
     rows = ev.get_events(table(spark, d, "events"), "ts", "event_id", limit=100)
@@ -244,12 +239,6 @@ def j12(spark: S, d: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").agg(F.count("*").alias("missing"))
 
 
-@query("j15_zone_lookup", "SELECT s_suppkey, coalesce(n_name, '?') AS zone FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey", False)
-def j15(spark: S, d: str) -> DataFrame:
-    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return table(spark, d, "supplier").join(F.broadcast(nation), "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("?")).alias("zone"))
-
-
 @query("j16_ping_pong", "SELECT a.user_id AS a, b.user_id AS b, min(a.event_id) AS frame FROM x a JOIN x b ON a.user_id < b.user_id AND abs(a.event_id - b.event_id) < 30 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 100 GROUP BY a.user_id, b.user_id")
 def j16(spark: S, d: str) -> DataFrame:
     return joins.ping_pong(observations(spark, d), "user_id", "event_id", "x", "y")
@@ -307,19 +296,6 @@ def agg09(spark: S, d: str) -> DataFrame:
     return observations(spark, d).groupBy("camera_id").agg(F.countDistinct("user_id").alias("tracks")).orderBy(F.desc("tracks"), "camera_id").limit(1)
 
 
-@query(
-    "agg10_sector_threat",
-    """SELECT camera_id, tripwires, restricted, loitering, tracks,
-      greatest(0.0, least(100.0, 35 * tripwires + 30 * restricted + 20 * loitering + CASE WHEN tracks > 1 THEN 15 ELSE 0 END)) AS score
-    FROM (SELECT camera_id, count(*) FILTER (WHERE event_type = 'error') AS tripwires, count(*) FILTER (WHERE event_type = 'purchase') AS restricted,
-      count(*) FILTER (WHERE event_type = 'view') AS loitering, count(DISTINCT user_id) AS tracks
-      FROM x WHERE ts >= TIMESTAMP '2024-01-30 20:00:00' GROUP BY camera_id)""",
-)
-def agg10(spark: S, d: str) -> DataFrame:
-    rows = observations(spark, d).where(F.col("ts") >= F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"))
-    return reports.sector_threat(rows, "camera_id", {"tripwires": F.col("event_type") == "error", "restricted": F.col("event_type") == "purchase", "loitering": F.col("event_type") == "view"}, "user_id")
-
-
 @query(
     "agg11_heatmap",
     """, cells AS (SELECT CAST(floor(x / 80) AS BIGINT) AS cx, CAST(floor(y / 45) AS BIGINT) AS cy, count(*) AS n FROM x GROUP BY 1, 2)
@@ -351,17 +327,6 @@ def agg14(spark: S, d: str) -> DataFrame:
     return totals.select(scoring.coverage_grade(F.col("active"), F.col("total")).alias("c")).select(F.col("c.percent").alias("online"), "c.grade")
 
 
-@query("agg17_entity_profile", "SELECT user_id, count(DISTINCT camera_id) AS cameras, max(value) AS peak, CASE WHEN max(value) >= 85 THEN 'CRITICAL' WHEN max(value) >= 70 THEN 'HIGH' WHEN max(value) >= 50 THEN 'MEDIUM' WHEN max(value) >= 30 THEN 'LOW' ELSE 'NORMAL' END AS level, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM x GROUP BY user_id")
-def agg17(spark: S, d: str) -> DataFrame:
-    rows = observations(spark, d).groupBy("user_id").agg(F.countDistinct("camera_id").alias("cameras"), F.max("value").alias("peak"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
-    return rows.withColumn("level", scoring.band(F.col("peak"), scoring.PROFILE_LEVELS, "NORMAL"))
-
-
-@query("agg18_best_plate", "SELECT user_id, arg_max(event_type, (value, event_id)) AS best, max(value) AS confidence FROM x GROUP BY user_id")
-def agg18(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_id")).alias("best"), F.max("value").alias("confidence"))
-
-
 @query("agg21_mean_embedding", "SELECT label, i, round(avg(embedding[i]), 4) AS v FROM embeddings, range(1, 65) r(i) GROUP BY label, i", False)
 def agg21(spark: S, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))

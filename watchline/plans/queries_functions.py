@@ -151,11 +151,6 @@ def kin04(spark: S, d: str) -> DataFrame:
     return observations(spark, d).select("event_id", kinematics.moves_towards(*c("x", "y"), (F.col("k") * 3).cast("double"), F.lit(640.0), F.lit(360.0)).alias("towards"))
 
 
-@query("kin01_movement", "SELECT user_id, round(sqrt(pow(arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id)), 2) + pow(arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id)), 2)), 2) AS distance_px FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM x) WHERE n <= 5 GROUP BY user_id")
-def kin01(spark: S, d: str) -> DataFrame:
-    return trajectories(spark, d).select("user_id", kinematics.movement(F.col("p"))["distance_px"].alias("distance_px"))
-
-
 def trajectories(spark: S, d: str) -> DataFrame:
     """The last 50 positions of each track, oldest first."""
     last = folds.last_rows(observations(spark, d), ["user_id"], ["ts", "event_id"], 50)

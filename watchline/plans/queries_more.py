@@ -20,9 +20,10 @@ from watchline.sources.tables import table
 S = SparkSession
 
 
-@query("src08_synthetic", "SELECT range AS frame, (5 * range) % 640 AS x FROM range(300)", False)
+@query("src08_synthetic", "SELECT event_id AS frame, (5 * event_id) % 640 AS x FROM x")
 def src08(spark: S, d: str) -> DataFrame:
-    return spark.range(300).select(F.col("id").alias("frame"), (5 * F.col("id") % 640).alias("x"))
+    """The made-up target of each frame, which moves five pixels a frame; events stand for frames."""
+    return table(spark, d, "events").select(F.col("event_id").alias("frame"), (5 * F.col("event_id") % 640).alias("x"))
 
 
 @query("src09_sensor_ingest", "SELECT event_id, 'SENSOR_' || ['RADAR','SEISMIC','THERMAL_IR','RF_DETECTOR'][k % 4 + 1] AS object_class, k / 100.0 AS confidence FROM x")
@@ -264,11 +265,6 @@ def dt05(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(F.col("event_id") / 30.0, 6).alias("media_s"))
 
 
-@query("mth01_half_even", "SELECT event_id, round_even(CAST(CAST(k / 8.0 AS DOUBLE) AS DECIMAL(38, 20)), 2)::DOUBLE AS r, round_even(k % 3 + 0.5, 0)::DOUBLE AS whole FROM x")
-def mth01(spark: S, d: str) -> DataFrame:
-    return observations(spark, d).select("event_id", F.bround(F.col("k") / 8, 2).alias("r"), F.bround(F.col("k") % 3 + F.lit(0.5).cast("double"), 0).alias("whole"))
-
-
 @query("mth02_clamp", "SELECT event_id, greatest(10.0, least(80.0, value)) AS v FROM x")
 def mth02(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.greatest(F.lit(10.0), F.least(F.lit(80.0), "value")).alias("v"))
@@ -306,13 +302,6 @@ def str07(spark: S, d: str) -> DataFrame:
     return rows.where(F.col("next").isNull() | (F.col("next") > out)).select("event_id", out.alias("exit_ts"))
 
 
-@query("str13_influx", "SELECT event_id FROM (SELECT event_id, k, regr_slope(CAST(k AS DOUBLE), s - 1704067200) OVER w AS slope, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND slope >= 0.0001 AND k >= 3")
-def str13(spark: S, d: str) -> DataFrame:
-    w = track_window().rowsBetween(-14, 0)
-    rows = observations(spark, d).select("event_id", "k", F.regr_slope(F.col("k").cast("double"), F.col("s") - 1704067200).over(w).alias("slope"), F.count("*").over(w).alias("n"))
-    return rows.where("n >= 3 AND slope >= 0.0001 AND k >= 3").select("event_id")
-
-
 @query("str30_last_candidates", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM x WHERE event_type = 'signup') WHERE n <= 10")
 def str30(spark: S, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")

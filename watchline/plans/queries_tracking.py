@@ -152,3 +152,18 @@ SIDES_ROWS = """SELECT {'camera_id': camera_id, 'frame': frame} AS f, thing AS i
 def agg24(spark: S, d: str) -> DataFrame:
     truth, guess = sides(spark, d)
     return frames.evaluated(truth, guess, ["camera_id"], "frame", 0.5)
+
+
+ASSIGNED_SQL = f""", b AS ({J13_ROWS}),
+    p AS (SELECT f, t, q, 1 - common / (180000 - common) AS cost FROM (SELECT t.f, t.id AS t, q.id AS q, greatest(0, least(t.x2, q.x2) - greatest(t.x1, q.x1)) * greatest(0, least(t.y2, q.y2) - greatest(t.y1, q.y1)) AS common FROM b t JOIN b q ON t.f = q.f AND t.is_truth AND NOT q.is_truth)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY cost, t, q) AS i FROM p WHERE cost <= 0.8),
+    g AS (SELECT f, i, t, q, cost, true AS taken, [t] AS ts, [q] AS qs FROM n WHERE i = 1
+      UNION ALL SELECT f, i, t, q, cost, taken, CASE WHEN taken THEN list_append(ts, t) ELSE ts END, CASE WHEN taken THEN list_append(qs, q) ELSE qs END
+      FROM (SELECT n.*, g.ts, g.qs, NOT (list_contains(g.ts, n.t) OR list_contains(g.qs, n.q)) AS taken FROM g JOIN n ON n.f = g.f AND n.i = g.i + 1))
+    SELECT t AS track_id, q AS box_id, round(cost, 6) AS cost FROM g WHERE taken"""
+
+
+@query("str21_assignment", recursive(ASSIGNED_SQL), False)
+def str21(spark: S, d: str) -> DataFrame:
+    b = boxes(spark, d).select("camera_id", "k", F.col("event_id").alias("id"), (F.col("event_id") % 2 == 0).alias("is_track"), *frames.BOX)
+    return frames.assignments(b, ["camera_id", "k"]).select("track_id", "box_id", F.round("cost", 6).alias("cost"))

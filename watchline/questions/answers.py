@@ -113,26 +113,75 @@ def live(events: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return last.groupBy("camera_id").agg(F.count("local_track_id").alias("n"))
 
 
-def summary_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
-    """The rows of those intents that are answered by counts and stays in place of single events; None for others."""
+def payload(path: str) -> Column:
+    return F.get_json_object("metadata", f"$.{path}")
+
+
+def assessed(events: DataFrame, now: datetime, seconds: float) -> DataFrame:
+    """The threat to all cameras together over the ``seconds`` before ``now``: one row, or none without any event."""
+    words = {c: payload(c) for c in ("message", "narrative", "transition", "zone_name", "zone_severity", "severity")}
+    rows = events.where(F.col("timestamp") <= F.lit(now)).withColumns({"sector": F.lit("all")} | words)
+    return reports.sector_assessment(rows, "sector", "local_track_id", "timestamp", "seq_id", F.lit(now), seconds)
+
+
+def fleet(workers: DataFrame) -> DataFrame:
+    """Sums and means over the running workers (running, display_fps, ai_fps, active_tracks, frames_processed); zeros without any."""
+    run = workers.where("running")
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 2), F.lit(0.0)).alias(c)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    sums = run.agg(F.count("*").alias("workers_running"), total("active_tracks"), total("frames_processed"), mean("display_fps"), mean("ai_fps"))
+    return workers.agg(F.count("*").alias("workers")).crossJoin(sums)  # one row each
+
+
+def last_movement(rows: DataFrame) -> DataFrame:
+    """Where a track was last, how fast and which way, of its tracking events."""
+    last = ev.typed(rows, "TRACKING").agg(F.max_by(F.struct("seq_id", "p"), F.struct("timestamp", "seq_id")).alias("e")).where("e IS NOT NULL").select("e.*")
+    p = F.col("p")
+    return last.select("seq_id", p["position"][0].alias("x"), p["position"][1].alias("y"), p["velocity"][0].alias("vx"), p["velocity"][1].alias("vy"), p["speed"].alias("speed"), p["direction"].alias("direction"))
+
+
+def summary_for(spec: QuerySpec, events: DataFrame, now: datetime | None = None, cameras: DataFrame | None = None, zones: DataFrame | None = None, workers: DataFrame | None = None) -> DataFrame | None:
+    """What answers those intents that aren't answered by single events; None for others.
+
+    Cameras (camera_id, status), zones and tripwires (kind, zone_id, name, severity, is_active) and workers are tables of
+    what is configured; where they aren't given, the events tell what has been seen of them.
+    """
+    rows = rows_for(spec, events)
+    if spec.intent == "live_cameras" and cameras is not None:
+        seen = live(events)
+        return cameras.join(seen, "camera_id", "left").select("camera_id", "status", F.coalesce("n", F.lit(0)).alias("n")).orderBy("camera_id")
     if spec.intent in ("live_cameras", "live_people", "live_vehicles"):
         return live(events, {"live_people": ["person"], "live_vehicles": VEHICLES}.get(spec.intent)).orderBy(F.desc("n"), "camera_id")
     if spec.intent == "busiest_camera":
         return live(events).orderBy(F.desc("n"), "camera_id").limit(1)
+    if spec.intent == "threat_status" and now is not None:
+        return assessed(events, now, (spec.span.end - spec.span.start).total_seconds())
+    if spec.intent == "zones" and zones is not None:
+        return zones.orderBy("kind", "zone_id")
     if spec.intent == "zones":
         return events.where(F.col("zone_id").isNotNull()).groupBy("zone_id").agg(F.count("*").alias("n")).orderBy("zone_id")
+    if spec.intent == "system_status" and workers is not None:
+        return fleet(workers)
     if spec.intent == "system_status":
         return events.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("camera_id").alias("cameras"), F.max("seq_id").alias("last")).orderBy("event_type")
     if spec.intent == "follow_entity" and (spec.entity or spec.track):
         own = F.col("global_entity_id") == spec.entity if spec.entity else F.col("local_track_id") == spec.track
-        rows = events.where(own).withColumn("entity", F.lit(spec.entity or spec.track))
-        return reports.journeys(rows, "entity", "camera_id", "timestamp", "seq_id").orderBy("hop")
+        hops = events.where(own).withColumn("entity", F.lit(spec.entity or spec.track))
+        return reports.journeys(hops, "entity", "camera_id", "timestamp", "seq_id").orderBy("hop")
+    if spec.intent == "track_movement":
+        return last_movement(rows)
+    if spec.intent == "vehicles":
+        seen = rows.where(payload("object_class").isin(VEHICLES)).withColumn("object_class", payload("object_class"))
+        return ev.last_by(seen, ["local_track_id"], "object_class", "timestamp", "seq_id").orderBy("local_track_id")
+    if spec.intent == "zone_story":
+        return rows.agg(F.count("*").alias("n"), F.countDistinct("local_track_id").alias("tracks")).where("n > 0")
+    if spec.intent == "camera_summary":
+        return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).orderBy("event_type")
     return None
 
 
 def rows_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
     """The events (F1 columns) that answer a question, few and in order; None for questions without any."""
-    payload = lambda path: F.get_json_object("metadata", f"$.{path}")
     newest = lambda df, n: ev.newest_in_order(df, "timestamp", "seq_id", n)
     rows = events
     if spec.camera:
@@ -154,11 +203,11 @@ def rows_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
         "highest_risk": (alert, 1),
         "threat_status": (alert | zone, 200),
         "recent_history": (F.lit(True), 10),
-        "vehicles": (F.col("entity_type").isin(VEHICLES), 500),
+        "vehicles": (F.col("event_type") == "TRACKING", 100),
         "night": (alert & F.lower(F.coalesce(payload("message"), F.lit(""))).rlike("night|dark"), 20),
         "crossings": (moves("crossed"), 2000),
-        "zone_story": (zone, 2000),
-        "camera_summary": (F.lit(True), 500),
+        "zone_story": (zone, 50),
+        "camera_summary": (F.lit(True), 100),
     }
     if spec.intent not in filters:
         return None
@@ -166,20 +215,35 @@ def rows_for(spec: QuerySpec, events: DataFrame) -> DataFrame | None:
     return newest(rows.where(condition), limit)
 
 
-def answer(question: str, events: DataFrame, now: datetime, camera: str | None = None) -> Answer:
-    """A refusal, or the facts that the intent's events give; only their bounded rows come to the driver."""
+def told(spec: QuerySpec, row: dict) -> str:
+    """A row of ``summary_for`` as a fact."""
+    one = {
+        "follow_entity": "{hop}: {camera} from {arrived} to {left}",
+        "threat_status": "threat {level} at {score}: {critical} critical, {restricted} restricted, {loitering} loitering, {tracks} tracks",
+        "track_movement": "last at ({x}, {y}), moving by ({vx}, {vy}) at {speed} pixels a frame, direction {direction}",
+        "vehicles": "track {local_track_id}: {last_object_class}",
+        "zone_story": "{tracks} tracks in {n} zone events",
+        "camera_summary": "{event_type}: {n} events from {first} to {last}",
+    }
+    if spec.intent in one:
+        return one[spec.intent].format(**row)
+    if spec.intent in ("live_cameras", "live_people", "live_vehicles", "busiest_camera"):
+        return f"{row['camera_id']}: " + (f"{row['status']}, " if "status" in row else "") + f"{row['n']} tracks"
+    first = next(iter(row))
+    return f"{row[first]}: " + ", ".join(f"{name} {value}" for name, value in row.items() if name != first)
+
+
+def answer(question: str, events: DataFrame, now: datetime, camera: str | None = None, **tables: DataFrame) -> Answer:
+    """A refusal, or the facts that the intent's tables and events give; only their bounded rows come to the driver."""
     if refused := refusal(question):
         return Answer(question, refused[1], "refusal", unknowns=[refused[0]])
     spec = parsed(question, now, camera)
     if spec.intent == "greeting":
         return Answer(question, "answered", "grounded", facts=["Ask about tracks, zones, alerts, cameras or times."])
-    counted = summary_for(spec, events)
+    counted = summary_for(spec, events, now, **tables)
     if counted is not None:
-        found = counted.limit(100).collect()
-        name = {"zones": "zone_id", "system_status": "event_type", "follow_entity": "camera_id"}.get(spec.intent, "camera_id")
-        what = {"zones": "events", "system_status": "events", "follow_entity": None}.get(spec.intent, "tracks")
-        facts = [f"{r[name]}: {r.n} {what}" if what else f"{r.hop}: {r.camera} from {r.arrived} to {r.left}" for r in found]
-        return Answer(question, "answered" if found else "no_records_found", "grounded" if found else "no_data", facts=facts)
+        facts = [told(spec, r.asDict()) for r in counted.limit(100).collect()]
+        return Answer(question, "answered" if facts else "no_records_found", "grounded" if facts else "no_data", facts=facts)
     rows = rows_for(spec, events)
     found = [r.asDict() for r in rows.collect()] if rows is not None else []
     if not found:
@@ -187,6 +251,6 @@ def answer(question: str, events: DataFrame, now: datetime, camera: str | None =
     kinds = sorted({r["event_type"] for r in found})
     facts = [f"{sum(r['event_type'] == k for r in found)} {k} events" for k in kinds]
     if spec.intent == "track_dwell":
-        dwell = rows.agg(F.max(F.get_json_object("metadata", "$.dwell_duration_seconds").cast("double"))).first()[0]
+        dwell = rows.agg(F.max(payload("dwell_duration_seconds").cast("double"))).first()[0]
         facts.insert(0, f"longest dwell {dwell or 0.0:.1f} s")
     return Answer(question, "answered", "grounded", facts=facts, evidence=[{k: r[k] for k in ("event_id", "event_type", "timestamp", "camera_id")} for r in found[:10]])

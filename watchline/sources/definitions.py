@@ -49,3 +49,23 @@ def documents_from(zones: DataFrame, site: str) -> DataFrame:
     names = [c for c in zones.columns if c not in (site, "polygon")]
     listed = F.array_sort(F.collect_list(F.struct("zone_id", points.alias("polygon"), *(n for n in names if n != "zone_id"))))
     return zones.groupBy(site).agg(F.to_json(F.struct(listed.alias("zones"))).alias("value"))
+
+
+PRESET = "vendor string, model string, protocol string, default_port int, uri_template string, description string, recommended_transport string"
+PRESETS = f"presets array<struct<{PRESET.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def presets_of(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Camera presets of JSON documents ``{"presets": [...]}``, one in a row; without a vendor or a template it is none.
+
+    What a preset leaves out: protocol rtsp, port 554 and transport tcp.
+    """
+    found = documents.select(F.explode(F.from_json(text, PRESETS)["presets"]).alias("p")).select("p.*").where("vendor IS NOT NULL AND uri_template IS NOT NULL")
+    return found.fillna({"protocol": "rtsp", "default_port": 554, "recommended_transport": "tcp"})
+
+
+def stream_uri(template: Column, values: dict[str, Column]) -> Column:
+    """A preset's template with ``{name}`` replaced by each value; a null value leaves its name in place."""
+    for name, value in values.items():
+        template = F.coalesce(F.replace(template, F.lit(f"{{{name}}}"), value.cast("string")), template)
+    return template
