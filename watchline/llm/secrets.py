@@ -13,10 +13,11 @@ import math
 import os
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Classes of characters by the character that stands for each, and how many share it.
 CLASSES = str.maketrans({c: "a" for c in "abcdef"} | {c: "z" for c in LOWER[6:]} | {c: "A" for c in UPPER} | {c: "9" for c in DIGITS})
 SHARED = {"a": math.log(6), "z": math.log(20), "A": math.log(26), "9": math.log(10)}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.\-]{16,}={0,2}")
+#: Code points of a candidate at least; random strings of fewer can't be told from words and numbers (README has figures).
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.\-]{{{LEAST},}}={{0,2}}")
 
 
 def symbols(text: str, literal: int = 0) -> str:
@@ -224,15 +227,37 @@ class Scanner:
         return sorted(out)
 
     def more(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates outside all base matches that the automata take for secrets."""
+        """Candidates, and their parts, that the automata take for secrets, outside all base matches (sorted)."""
+        starts = [s for s, _, _ in base]
+        ends = list(accumulate((e for _, _, e in base), max))
         out = []
         for m in CANDIDATE.finditer(text):
-            shown = m[0].rstrip(".-/")
-            start, end = m.start(), m.start() + len(shown)
-            if len(shown) >= 16 and not any(s < end and start < e for s, _, e in base) and self.is_secret(shown):
-                out.append((start, 3, end))
+            at = m.start()
+            for s, _, e in base[bisect_right(ends, at) : bisect_left(starts, m.end())]:
+                out += self.within(text, at, s)
+                at = max(at, e)
+                while at < m.end() and text[at] in "/.":
+                    at += 1
+            out += self.within(text, at, m.end())
         return out
 
+    def within(self, text: str, start: int, end: int, cuts: str = "/.") -> list[tuple[int, int, int]]:
+        """The stretch as one secret, or else those of its parts between slashes, and then between dots, that are.
+
+        With more slashes than random characters have it is a path, whose parts alone count.
+        """
+        while start < end and text[end - 1] in ".-/":
+            end -= 1
+        if end - start < LEAST:
+            return []
+        if text.count("/", start, end) <= 1 + (end - start) // 32 and self.is_secret(text[start:end]):
+            return [(start, 3, end)]
+        for i, cut in enumerate(cuts):
+            places = [start - 1, *(m.start() for m in re.compile(re.escape(cut)).finditer(text, start, end)), end]
+            if len(places) > 2:
+                return [x for a, b in zip(places, places[1:], strict=False) for x in self.within(text, a + 1, b, cuts[i + 1 :])]
+        return []
+
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
