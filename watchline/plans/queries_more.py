@@ -143,9 +143,10 @@ def j10(spark: S, d: str) -> DataFrame:
 @query("j18_best_face", "SELECT a.event_id, arg_max(b.event_id, (b.value, -b.event_id)) AS face FROM x a JOIN x b ON a.k = b.k AND b.event_id <> a.event_id AND b.x BETWEEN a.x - 115 AND a.x + 115 AND b.y BETWEEN a.y - 115 AND a.y + 115 GROUP BY a.event_id")
 def j18(spark: S, d: str) -> DataFrame:
     x = observations(spark, d)
-    a = x.select("event_id", "k", "x", "y")
-    b = x.select(F.col("event_id").alias("f"), "k", F.col("x").alias("fx"), F.col("y").alias("fy"), "value")
-    near = a.join(b, "k").where("f <> event_id AND fx BETWEEN x - 115 AND x + 115 AND fy BETWEEN y - 115 AND y + 115")
+    # Cells of 115 pixels keep a crowded frame from being compared all with all.
+    a = x.select("event_id", "k", "x", "y", F.explode(joins.around(F.col("x"), F.col("y"), 115.0)).alias("c")).select("*", "c.*").drop("c")
+    b = x.select(F.col("event_id").alias("f"), "k", F.col("x").alias("fx"), F.col("y").alias("fy"), "value").withColumns({"cx": F.floor(F.col("fx") / 115), "cy": F.floor(F.col("fy") / 115)})
+    near = a.join(b, ["k", "cx", "cy"]).where("f <> event_id AND fx BETWEEN x - 115 AND x + 115 AND fy BETWEEN y - 115 AND y + 115")
     return near.groupBy("event_id").agg(F.max_by("f", F.struct("value", -F.col("f"))).alias("face"))
 
 
@@ -204,8 +205,10 @@ def geo04(spark: S, d: str) -> DataFrame:
 @query("geo09_pairwise_iou", "SELECT a.event_id AS a, b.event_id AS b, round(w * h / (180000 - w * h), 6) AS iou FROM (SELECT a.event_id, b.event_id AS other, greatest(0, least(a.x, b.x) + 300 - greatest(a.x, b.x)) AS w, greatest(0, least(a.y, b.y) + 300 - greatest(a.y, b.y)) AS h FROM x a JOIN x b ON a.k = b.k AND a.camera_id = b.camera_id AND a.event_id < b.event_id) a JOIN x b ON b.event_id = a.other WHERE w * h > 0")
 def geo09(spark: S, d: str) -> DataFrame:
     b = boxes(spark, d)
+    # Boxes are 300 pixels wide and high, so that those that meet begin less than 300 apart.
     side = lambda end: b.select("camera_id", "k", F.col("event_id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("x1", "y1", "x2", "y2")))
-    pairs = side("a").join(side("b"), ["camera_id", "k"]).where("a < b")
+    a = side("a").withColumn("c", F.explode(joins.around(F.col("a_x1"), F.col("a_y1"), 300.0))).select("*", "c.*").drop("c")
+    pairs = a.join(side("b").withColumns({"cx": F.floor(F.col("b_x1") / 300), "cy": F.floor(F.col("b_y1") / 300)}), ["camera_id", "k", "cx", "cy"]).where("a < b")
     box = lambda end: tuple(F.col(f"{end}_{c}") for c in ("x1", "y1", "x2", "y2"))
     return pairs.select("a", "b", F.round(geo.iou(box("a"), box("b")), 6).alias("iou")).where("iou > 0")
 

@@ -14,20 +14,20 @@ S = SparkSession
 
 #: SQL of the rows that ``moving`` gives, as the common table m.
 M = """m AS (
-  SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey // 256 AS camera_id, l_orderkey AS thing, (l_orderkey % 256) * 3 + l_linenumber AS frame,
+  SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey // 256 AS camera_id, l_orderkey AS thing, l_orderkey % 256 + l_linenumber AS frame,
     ['car', 'truck', 'person'][l_orderkey % 3 + 1] AS class_name, q / 50.0 AS confidence,
     (l_orderkey * 37 % 1000 + (l_orderkey * 13 % 21 - 10) * l_linenumber)::DOUBLE AS x1, (l_orderkey * 91 % 500 + (l_orderkey * 7 % 21 - 10) * l_linenumber)::DOUBLE AS y1, 80.0 + l_orderkey % 60 AS w, 100.0 + l_orderkey % 70 AS h
   FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL))"""
 
 
 def moving(spark: S, d: str) -> DataFrame:
-    """Boxes of things that move straight on, some frames missing: 256 things a camera, one begins every three frames."""
+    """Boxes of things that move straight on, some frames missing: 256 things a camera, one begins in every frame."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     kinds = F.array(*(F.lit(k) for k in ("car", "truck", "person")))
     number = lambda c: c.cast("double")
     m = rows.select(
-        (o * 8 + n).alias("seq"), F.floor(o / 256).alias("camera_id"), o.alias("thing"), (o % 256 * 3 + n).alias("frame"), F.element_at(kinds, (o % 3 + 1).cast("int")).alias("class_name"), (F.col("q") / 50).alias("confidence"),
+        (o * 8 + n).alias("seq"), F.floor(o / 256).alias("camera_id"), o.alias("thing"), (o % 256 + n).alias("frame"), F.element_at(kinds, (o % 3 + 1).cast("int")).alias("class_name"), (F.col("q") / 50).alias("confidence"),
         number(o * 37 % 1000 + (o * 13 % 21 - 10) * n).alias("x1"), number(o * 91 % 500 + (o * 7 % 21 - 10) * n).alias("y1"), number(o % 60 + 80).alias("w"), number(o % 70 + 100).alias("h"),
     )
     return m.withColumns({"x2": F.col("x1") + F.col("w"), "y2": F.col("y1") + F.col("h")})
