@@ -287,7 +287,10 @@ def groups_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def without_near_dups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is kept; rows of one id stay or go together."""
+    """The rows of ``docs``, all columns, whose document is kept; rows of one id stay or go together.
+
+    Null and empty texts, and rows without an id, are linked with nothing and stay; an empty table gives none.
+    """
     name = free_name(docs)
     gone = staged(groups_of(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -326,7 +326,10 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> st
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) with the secrets in ``text`` masked, and n_chars to match."""
+    """``docs`` (doc_id, text, lang, source, n_chars) with the secrets in ``text`` masked, and n_chars to match.
+
+    Null and empty texts stay as they are, and repeated rows as often as they are there; an empty table gives none.
+    """
 
     own = scanner()  # inferred on the driver, a few hundred states
 

@@ -312,6 +312,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, that score under the threshold."""
+    """The rows of ``docs``, all columns, that score under the threshold.
+
+    Null and empty texts count as texts without words, and repeated rows stay or go together; an empty table gives none.
+    """
     name = free_name(docs)
     return scored(docs, fit(docs, labels, learnable()), docs.columns, name).where(F.col(name) < threshold).drop(name)
