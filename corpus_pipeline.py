@@ -48,6 +48,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's rows are written to the shared folder and read again.
 
+    Rows with a null or empty text come through all stages with no tokens, rows without an id as well; repeated rows stay
+    or go together. An empty table gives no rows.
     A stage's folder goes as soon as the next one is written; the last one stays, as the result is read from it.
     """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
