@@ -1,9 +1,11 @@
 """Literal expectations for spatial, movement, scoring and text functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from watchline.functions import geo, kinematics, scoring, text
+from watchline.functions import geo, kinematics, numbers, scoring, text
 
 
 def value(spark, column):
@@ -120,3 +122,19 @@ def test_plates_and_ids(spark):
     assert value(spark, text.entity_id(F.lit("person-7"))) == "GLOBAL-PERSON-007"
     assert value(spark, text.class_named(F.lit("two People at the gate"))) == "person"
     assert value(spark, text.masked_credentials(F.lit("rtsp://a:b@h/x"))) == "rtsp://***:***@h/x"
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_half_even_is_what_python_rounds_to(spark, digits):
+    rng = random.Random(digits)
+    values = [2.675, -2.675, 0.5, 1.5, 2.5, 0.125, 0.375, 1.005, 0.0, -0.0, 1e-9, 4.35, 1e15 + 0.5, 2.0**53, -7.0, 0.0049999]
+    values += [rng.randrange(-40000, 40000) / rng.choice([8, 16, 200, 400, 1000, 2000]) for _ in range(400)] + [rng.uniform(-1e6, 1e6) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)) + [(-1, None)], "i int, x double")
+    got = {r.i: r.r for r in df.select("i", numbers.half_even(F.col("x"), digits).alias("r")).collect()}
+    assert got.pop(-1) is None
+    assert [(i, v, got[i]) for i, v in enumerate(values) if got[i] != round(v, digits)] == []
+
+
+def test_words_in_questions(spark):
+    df = spark.createDataFrame([("Where is TRACK # 12?", "12", None), ("track id", None, None), ("cam-7b and track all", None, "cam-7b"), ("camera id 9", None, "cam_9")], "q string, track string, camera string")
+    assert df.where(~text.track_named(F.col("q")).eqNullSafe(F.col("track")) | ~text.camera_named(F.col("q")).eqNullSafe(F.col("camera"))).count() == 0
