@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from watchline.functions import scoring
+from watchline.operators import ordered
 from watchline.operators.events import truthy
 from watchline.operators.folds import seconds
 
@@ -94,9 +97,29 @@ def event_hash(*fields: Column) -> Column:
 
 
 def chain_root(rows: DataFrame, keys: list[str], hashed: str, order: list[str]) -> DataFrame:
-    """SHA-256 of each group's hashes one after the other, the newest first."""
-    listed = F.reverse(F.array_sort(F.collect_list(F.struct(*order, F.col(hashed).alias("h")))))
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda r: r["h"]), ""), 256).alias("root"), F.count("*").alias("n"))
+    """SHA-256 of each group's hashes one after the other, the newest first; a group is streamed, not gathered.
+
+    ``order`` are times or numbers; null ones count as the newest.
+    """
+    back = {f"_back{i}": F.coalesce(-(F.unix_micros(F.col(c).cast("timestamp")) if not isinstance(rows.schema[c].dataType, NumericType) else F.col(c).cast("long")), F.lit(-(2**63))) for i, c in enumerate(order)}
+
+    def begin(stretch: int):
+        root, n = hashlib.sha256(), 0
+
+        def take(at: int | None, some: list[tuple] | None) -> list[tuple]:
+            nonlocal n
+            if some is None:
+                return [(root.hexdigest(), n)]
+            for (h,) in some:
+                root.update((h or "").encode())
+                n += 1
+            return []
+
+        return take
+
+    steps = list(back)
+    found = ordered.folded(rows.select(*keys, *order, hashed).withColumns(back), keys, steps[0], [hashed], steps[1:], None, begin, "root string, n long")
+    return found.drop(ordered.STRETCH)
 
 
 def journeys(rows: DataFrame, entity: str, camera: str, ts: str, seq: str) -> DataFrame:

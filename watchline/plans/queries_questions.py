@@ -88,8 +88,8 @@ def cut(condition: str, limit: int) -> str:
 THREAT_SQL = Q + """, e AS (SELECT *, lower(concat_ws(' ', message, '', transition, '', '')) AS words FROM q WHERE timestamp <= TIMESTAMP '2024-01-15 12:00'),
     a AS (SELECT * FROM (SELECT * FROM e WHERE event_type = 'ALERT' ORDER BY timestamp DESC, seq_id DESC LIMIT 50) WHERE timestamp >= TIMESTAMP '2024-01-15 06:00'), o AS (SELECT * FROM e WHERE timestamp >= TIMESTAMP '2024-01-15 06:00' ORDER BY timestamp DESC, seq_id DESC LIMIT 200),
     c AS (SELECT count(*) FILTER (WHERE contains(words, 'crossed')) AS critical, count(*) FILTER (WHERE contains(words, 'loiter')) AS loitering FROM a), t AS (SELECT count(DISTINCT local_track_id) AS tracks, bool_or(event_type = 'ZONE' AND contains(words, 'crossed')) AS crossed FROM o),
-    r AS (SELECT critical, 0 AS restricted, loitering, tracks, 35.0 * critical + 20.0 * loitering + CASE WHEN tracks > 1 AND (crossed OR critical > 0) THEN 10 ELSE 0 END AS raw FROM c, t WHERE tracks > 0)
-    SELECT 'all' AS sector, *, least(100.0, raw) AS score, CASE WHEN raw >= 60 THEN 'CRITICAL' WHEN raw >= 25 THEN 'RESTRICTED' ELSE 'NORMAL' END AS level FROM r"""
+    r AS (SELECT critical, 0 AS restricted, loitering, tracks, 35.0 * critical + 20.0 * loitering + CASE WHEN tracks > 1 AND (crossed OR critical > 0) THEN 10 ELSE 0 END AS total FROM c, t WHERE tracks > 0)
+    SELECT 'all' AS sector, critical, restricted, loitering, tracks, total::DOUBLE AS raw, least(100.0, total)::DOUBLE AS score, CASE WHEN total >= 60 THEN 'CRITICAL' WHEN total >= 25 THEN 'RESTRICTED' ELSE 'NORMAL' END AS level FROM r"""
 
 #: Questions answered by what is configured or by what is worked out of events: name, question, and SQL.
 WORKED_OUT = [
@@ -97,7 +97,7 @@ WORKED_OUT = [
     ("nlq06_threat_status", "threat status in the last 6 hours", THREAT_SQL),
     ("nlq09_zones", "list zones", Q + "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'tripwire' ELSE 'zone' END AS kind, 'zone_' || s_suppkey AS zone_id, s_name AS name, CASE WHEN s_nationkey > 12 THEN 'critical' ELSE 'restricted' END AS severity, s_acctbal > 0 AS is_active FROM supplier"),
     ("nlq10_system_status", "system status", Q + "SELECT count(*) AS workers, count(*) FILTER (WHERE c_acctbal > 0) AS workers_running, coalesce(sum(c_custkey % 7) FILTER (WHERE c_acctbal > 0), 0) AS active_tracks, coalesce(sum(c_custkey) FILTER (WHERE c_acctbal > 0), 0) AS frames_processed, coalesce(round(avg(c_nationkey * 1.5) FILTER (WHERE c_acctbal > 0), 2), 0) AS display_fps, coalesce(round(avg(c_nationkey * 0.5) FILTER (WHERE c_acctbal > 0), 2), 0) AS ai_fps FROM customer"),
-    ("nlq14_track_movement", "which direction was track 7 moving", cut("local_track_id = '7' AND event_type = 'TRACKING'", 1000) + "SELECT seq_id, x, y, vx, vy, speed, direction FROM n ORDER BY timestamp DESC, seq_id DESC LIMIT 1"),
+    ("nlq14_track_movement", "which direction was track 7 moving", cut("local_track_id = '7' AND event_type = 'TRACKING'", 1000) + "SELECT seq_id, x, y, vx, vy, speed::DOUBLE AS speed, direction::DOUBLE AS direction FROM n ORDER BY timestamp DESC, seq_id DESC LIMIT 1"),
     ("nlq17_vehicles", "any truck or plate yesterday", cut("event_type = 'TRACKING' AND timestamp BETWEEN '2024-01-14' AND '2024-01-15'", 100) + "SELECT local_track_id, arg_max(object_class, (timestamp, seq_id)) AS last_object_class FROM n WHERE object_class IN ('car', 'truck') GROUP BY local_track_id"),
     ("nlq21_zone_story", "who entered yesterday", cut("event_type = 'ZONE' AND timestamp BETWEEN '2024-01-14' AND '2024-01-15'", 50) + "SELECT count(*) AS n, count(DISTINCT local_track_id) AS tracks FROM n HAVING count(*) > 0"),
     ("nlq22_camera_summary", "show CAM-3 in the last 3 days", cut("camera_id = 'CAM-3' AND timestamp BETWEEN '2024-01-12 12:00' AND '2024-01-15 12:00'", 100) + "SELECT event_type, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM n GROUP BY event_type"),

@@ -39,8 +39,8 @@ SECTOR_SQL = f""", e AS (SELECT event_id, ts, camera_id, user_id, {sql_list(KIND
       count(*) FILTER (WHERE contains(words, 'loiter') OR contains(words, 'dwelling')) AS loitering, bool_or(contains(words, 'protected') OR contains(words, 'checkpoint')) AS protected FROM a GROUP BY camera_id),
     co AS (SELECT camera_id, count(DISTINCT user_id) AS tracks, bool_or(event_type = 'ZONE' AND contains(words, 'crossed')) AS crossed, bool_or(event_type = 'ZONE' AND contains(words, 'entered') AND (contains(words, 'restricted') OR contains(words, 'critical'))) AS intruded, bool_or(event_type = 'ZONE' AND contains(words, 'protected')) AS zone FROM o GROUP BY camera_id),
     r AS (SELECT co.camera_id, coalesce(critical, 0) AS critical, coalesce(restricted, 0) AS restricted, coalesce(loitering, 0) AS loitering, tracks, 35.0 * coalesce(critical, 0) + 30.0 * coalesce(restricted, 0) + 20.0 * coalesce(loitering, 0)
-      + CASE WHEN coalesce(protected, false) OR zone THEN 15 ELSE 0 END + CASE WHEN tracks > 1 AND (crossed OR intruded OR coalesce(critical, 0) > 0 OR coalesce(restricted, 0) > 0) THEN 10 ELSE 0 END AS raw FROM co LEFT JOIN ca ON ca.camera_id = co.camera_id)
-    SELECT *, greatest(0.0, least(100.0, raw)) AS score, CASE WHEN raw >= 60 THEN 'CRITICAL' WHEN raw >= 25 THEN 'RESTRICTED' ELSE 'NORMAL' END AS level FROM r"""
+      + CASE WHEN coalesce(protected, false) OR zone THEN 15 ELSE 0 END + CASE WHEN tracks > 1 AND (crossed OR intruded OR coalesce(critical, 0) > 0 OR coalesce(restricted, 0) > 0) THEN 10 ELSE 0 END AS total FROM co LEFT JOIN ca ON ca.camera_id = co.camera_id)
+    SELECT camera_id, critical, restricted, loitering, tracks, total::DOUBLE AS raw, greatest(0.0, least(100.0, total))::DOUBLE AS score, CASE WHEN total >= 60 THEN 'CRITICAL' WHEN total >= 25 THEN 'RESTRICTED' ELSE 'NORMAL' END AS level FROM r"""
 
 
 @query("agg10_sector_threat", SECTOR_SQL)
@@ -60,7 +60,7 @@ PROFILE_SQL = """, places AS (SELECT DISTINCT user_id, camera, track FROM (SELEC
     n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type IN ('view', 'error')),
     p AS (SELECT user_id, string_agg(event_id, ',' ORDER BY n) FILTER (WHERE event_type = 'view') AS faces, string_agg(event_id, ',' ORDER BY n) FILTER (WHERE event_type = 'error') AS incidents, max(value) FILTER (WHERE event_type = 'error') AS peak FROM n WHERE n <= 10 GROUP BY user_id),
     t AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS transitions FROM x GROUP BY user_id)
-    SELECT user_id, cameras, local_tracks, coalesce(faces, '') AS faces, coalesce(incidents, '') AS incidents, transitions, coalesce(peak, 0.0) AS peak_threat,
+    SELECT user_id, cameras, local_tracks, coalesce(faces, '') AS faces, coalesce(incidents, '') AS incidents, transitions, coalesce(peak, 0.0)::DOUBLE AS peak_threat,
       CASE WHEN peak >= 85 THEN 'CRITICAL' WHEN peak >= 70 THEN 'HIGH' WHEN peak >= 50 THEN 'MEDIUM' WHEN peak >= 30 THEN 'LOW' ELSE 'NORMAL' END AS threat_level FROM t LEFT JOIN c USING (user_id) LEFT JOIN p USING (user_id)"""
 
 
@@ -155,7 +155,7 @@ def str13(spark: S, d: str) -> DataFrame:
     return reports.influx(rows, ["camera_id"], "t", "n").where("rapid").select("event_id", "slope")
 
 
-@query("mth01_half_even", "SELECT event_id, CAST(printf('%.2f', event_id % 1000 / 200.0) AS DOUBLE) AS r, CAST(printf('%.1f', value * 1.05) AS DOUBLE) AS tenth, CAST(printf('%.0f', k % 3 + 0.5) AS DOUBLE) AS whole, 2.67 AS under_its_tie FROM x")
+@query("mth01_half_even", "SELECT event_id, CAST(printf('%.2f', event_id % 1000 / 200.0) AS DOUBLE) AS r, CAST(printf('%.1f', value * 1.05) AS DOUBLE) AS tenth, CAST(printf('%.0f', k % 3 + 0.5) AS DOUBLE) AS whole, 2.67::DOUBLE AS under_its_tie FROM x")
 def mth01(spark: S, d: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("k")
     return observations(spark, d).select(
