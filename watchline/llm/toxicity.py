@@ -1,14 +1,17 @@
 """Toxicity by a subsequence string kernel.
 
 A word is described by its gapped runs of three characters (word ends count as characters), each weighed
-down by its gaps, so that insults with characters put in or left out stay near. A support vector machine over
-kernel values to landmark words (the Nyström map) learns which words go with toxic texts; as the machine is
-linear in those values, all landmarks fold into one table of weights, and a word costs one look-up for each
-gapped run. A text's score is a logistic function of its words' margins.
+down by its gaps, so that insults with characters put in or left out stay near. Labels are of texts, so a support
+vector machine over kernel values to landmark words (the Nyström map) learns from labelled texts as bags of words
+(multiple instances): a text is as toxic as its most toxic word. In each round every other text gives the word that
+speaks most against its label, and the toxic texts the words that speak for theirs; the next machine separates these.
+As the machine is linear in kernel values, all landmarks fold into one table of weights, and a word costs one look-up
+for each gapped run. A text's score is a logistic function of its words' margins.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +25,12 @@ from watchline.llm.common import coded, crc_remainder, free_name, staged, steps,
 
 #: Labelled texts of each kind that are learnt from at most, those of the least hashes of their ids.
 TOXIC_TEXTS, OTHER_TEXTS = 2000, 4000
-#: Words that the machine learns from at most, and landmarks.
-TRAINING_WORDS, LANDMARKS = 20_000, 192
-#: A word goes with toxic texts if it is in so many of them (in number, and in share), and so many times
-#: oftener than in others.
-LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 5, 0.005, 6.0
-#: Cost of an error on a word of toxic texts that FULL_SHARE of them have (less in proportion), and on others;
-#: weight of the squared norm.
-TOXIC_COST, FULL_SHARE, OTHER_COST, RIDGE = 100.0, 0.05, 5.0, 1.0
+LANDMARKS = 192
+#: Rounds of choosing words of the labelled texts. The first takes words of toxic texts that go with the label START times as
+#: clearly (in standard deviations) as the clearest word of the median other text does by chance.
+ROUNDS, START = 4, 1.5
+#: Cost of all toxic and of all other texts on the wrong side; a word counts for so many other texts at most; weight of the squared norm.
+TOXIC_COST, OTHER_COST, OTHERS_AT_MOST, RIDGE = 2000.0, 4000.0, 3, 1.0
 #: A word is on the toxic side from this margin.
 SIDE = 0.5
 SIZE, DECAY = 1 << 16, 0.6
@@ -188,28 +189,80 @@ def landmarks_of(toxic: list[str], support: np.ndarray, other: list[str]) -> lis
     return picked
 
 
-def word_counts(sample: DataFrame) -> list:
-    """Words of the sample by how many toxic and other texts have them, TRAINING_WORDS at most."""
+def bags(sample: DataFrame) -> DataFrame:
+    """The distinct words of each text, spelt ones as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, step_bytes=TEXT_BYTES):
             offsets, flat = words(texts(batch.column("text")))
             codes, distinct = coded(flat)
             strings = plain(distinct)
-            pairs = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * max(1, len(strings)) + codes)
-            take = pairs % max(1, len(strings))
-            listed = pa.array(strings, pa.string()).take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([listed, batch.column("toxic").take(pa.array(pairs // max(1, len(strings))))], names=["word", "toxic"])
-
-    counts = (
-        sample.select("text", F.col("toxic").cast("int").alias("toxic"))
-        .mapInArrow(run, "word string, toxic int")
-        .where("word <> ''")
-        .groupBy("word")
-        .agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("u"))
-        .where("t + u >= 3")
-    )
-    return counts.orderBy(F.desc(F.col("t") >= LEAST_TEXTS), F.desc(F.col("t") + F.col("u")), "word").limit(TRAINING_WORDS).collect()
+            row, extra = spelled(codes, strings, offsets)
+            found = [sorted({strings[c] for c in np.unique(codes[a:b])} - {""}) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            for i, word in zip(row, extra, strict=True):
+                found[i].append(word)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "words"])
+
+    return sample.mapInArrow(run, "toxic boolean, words array<string>")
+
+
+def first_words(told: DataFrame, share: float) -> DataFrame:
+    """``toxic, word, n``: words by how much oftener than by chance toxic texts have them; n counts texts."""
+    pairs = told.withColumn("bag", F.monotonically_increasing_id()).select("bag", "toxic", F.explode("words").alias("word"))
+    counts = pairs.groupBy("word").agg(F.count_if("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    expected = F.col("n") * share
+    clear = staged(counts.select("word", "t", ((F.col("t") - expected) / F.sqrt(expected + 0.5)).alias("z")))
+    best = staged(pairs.join(clear, "word").groupBy("bag", "toxic").agg(F.max(F.struct("z", "word")).alias("best")))
+    limit = (best.where(~F.col("toxic")).agg(F.median("best.z")).first()[0] or 0.0) * START
+    toxic = clear.where((F.col("t") > 0) & (F.col("z") > limit)).select(F.lit(True).alias("toxic"), "word", F.col("t").alias("n"))
+    if toxic.isEmpty():  # a few texts only: the clearest word of each
+        toxic = best.where("toxic").groupBy("toxic", "best.word").agg(F.count(F.lit(1)).alias("n"))
+    return toxic.union(best.where(~F.col("toxic")).groupBy("toxic", "best.word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def telling_words(told: DataFrame, model: Model) -> DataFrame:
+    """``toxic, word, n``: all words of toxic texts on the toxic side, or the one nearest to it if it is above 0; of other
+    texts the one nearest to it; n counts texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, toxic = batch.column("words"), batch.column("toxic").to_numpy(zero_copy_only=False)
+            codes, distinct = coded(lists.flatten())
+            if not len(codes):
+                continue
+            margin = model.margins(distinct)[codes]
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            top = np.full(len(lists), -np.inf)
+            np.maximum.at(top, owner, margin)
+            nearest = np.flatnonzero(margin == top[owner])
+            _, first = np.unique(owner[nearest], return_index=True)
+            take = np.zeros(len(codes), bool)
+            take[nearest[first]] = True
+            take = np.where(toxic[owner], (take & (margin > 0)) | (margin > SIDE), take)
+            at = np.flatnonzero(take)
+            yield pa.RecordBatch.from_arrays([pa.array(toxic[owner[at]]), pa.array([distinct[c] for c in codes[at]])], names=["toxic", "word"])
+
+    return told.mapInArrow(run, "toxic boolean, word string").groupBy("toxic", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_machine(toxic: dict[str, int], other: dict[str, int], toxic_texts: int, other_texts: int) -> Model | None:
+    """A machine that separates words by the number of texts they speak for; a word of both kinds is of the one with more."""
+    ours = sorted(w for w, n in toxic.items() if n > other.get(w, 0))
+    theirs = sorted(w for w, n in other.items() if n >= toxic.get(w, 0))
+    if not ours:
+        return None
+    support = np.array([toxic[w] for w in ours]) / toxic_texts
+    picked = landmarks_of(ours, support, theirs)
+    values, vectors = np.linalg.eigh(kernel(picked, picked).astype(float))
+    keep = values > 1e-4
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    against = np.array([min(other[w], OTHERS_AT_MOST) for w in theirs]) / other_texts
+    y = np.concatenate([np.ones(len(ours)), -np.ones(len(theirs))])
+    w, bias = machine(kernel(ours + theirs, picked) @ root, y, np.concatenate([TOXIC_COST * support, OTHER_COST * against]))
+    rows, slots, weights = runs(picked)
+    table = np.zeros(SIZE)
+    np.add.at(table, slots, weights * (root @ w)[rows] / norms(len(picked), rows, weights)[rows])
+    return Model(table, float(bias), np.zeros(3), np.ones(3), np.ones(3), 0.0)
 
 
 def alike() -> Column:
@@ -238,32 +291,18 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model | None:
     share = marked.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not total.t or not total.u:
         return None
-    rows = word_counts(sample)
-    lift = [(r.word, (r.t / total.t) / ((r.u + 0.5) / total.u), r.t, r.u) for r in rows]
-    toxic = [w for w, x, t, u in lift if t >= min(max(LEAST_TEXTS, LEAST_SHARE * total.t), total.t) and x >= LEAST_LIFT]
-    if not toxic:
+    told = staged(bags(sample))
+    model, other = None, Counter()
+    for _ in range(ROUNDS):
+        # One row for each word of the bounded sample that speaks for a text, not all its words.
+        found = (first_words(told, total.t / (total.t + total.u)) if model is None else telling_words(told, model)).collect()
+        other.update({r.word: r.n for r in found if not r.toxic})
+        better = word_machine({r.word: r.n for r in found if r.toxic}, other, total.t, total.u)
+        if better is None:
+            break
+        model = better
+    if model is None:
         return None
-    known = set(toxic)
-    other = [w for w, *_ in lift if w not in known]
-    support = {w: t / total.t for w, _, t, _ in lift}
-    picked = landmarks_of(toxic, np.array([support[w] for w in toxic]), other)
-    values, vectors = np.linalg.eigh(kernel(picked, picked).astype(float))
-    keep = values > 1e-4
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    strings = toxic + other
-    x = kernel(strings, picked) @ root
-    y = np.concatenate([np.ones(len(toxic)), -np.ones(len(other))])
-    cost = np.array([TOXIC_COST * min(1.0, support[w] / FULL_SHARE) for w in toxic] + [OTHER_COST] * len(other))
-    w, bias = machine(x, y, cost)
-    # Words that are in toxic texts by chance only have no kin among them: the machine gives them up.
-    chance = (y > 0) & (x @ w + bias < SIDE)
-    if chance.any() and not chance[: len(toxic)].all():
-        w, bias = machine(x, np.where(chance, -1.0, y), np.where(chance, OTHER_COST, cost))
-    by_landmark = root @ w
-    rows_, slots, weights = runs(picked)
-    table = np.zeros(SIZE)
-    np.add.at(table, slots, weights * by_landmark[rows_] / norms(len(picked), rows_, weights)[rows_])
-    model = Model(table, float(bias), np.zeros(3), np.ones(3), np.ones(3), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, step_bytes=TEXT_BYTES):
