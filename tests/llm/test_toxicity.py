@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,3 +73,42 @@ def test_table_equals_kernel():
     np.add.at(table, slots, w * weights[rows] / tox.norms(2, rows, w)[rows])
     model = tox.Model(table, 0.0, np.zeros(3), np.ones(3), np.ones(3), 0.0)
     assert model.margins(strings)[:4] == pytest.approx(tox.kernel(strings, landmarks)[:4] @ weights, abs=1e-5)
+
+
+def test_kernel_by_brute_force():
+    def described(word):
+        chars = ["<", *word, ">"]
+        found = {}
+        for a in range(len(chars)):
+            for b in range(a + 1, len(chars)):
+                for c in range(b + 1, min(len(chars), a + 5)):
+                    key = chars[a], chars[b], chars[c]
+                    found[key] = found.get(key, 0.0) + tox.DECAY ** (c - a - 2)
+        # As the operator does, each run of a word counts for the norm by itself.
+        single = sum(tox.DECAY ** (2 * (c - a - 2)) for a in range(len(chars)) for b in range(a + 1, len(chars)) for c in range(b + 1, min(len(chars), a + 5)))
+        return found, single**0.5
+
+    ours, theirs = ["nitwit", "nittwit", "n1twit", "oaf", "été", "blockhead"], ["nitwit", "oaf"]
+    got = tox.kernel(ours, theirs)
+    for i, one in enumerate(ours):
+        for j, other in enumerate(theirs):
+            (a, n), (b, m) = described(one), described(other)
+            assert got[i, j] == pytest.approx(sum(v * b.get(k, 0.0) for k, v in a.items()) / (n * m), abs=1e-4)
+
+
+def test_first_words_by_brute_force(spark):
+    docs, labels = corpus(n=120, seed=3)
+    marks = dict(labels)
+    sample = spark.createDataFrame([(t, bool(marks[i])) for i, t, _ in docs], "text string, toxic boolean")
+    got = {(r.toxic, r.word): r.n for r in tox.first_words(tox.bags(sample).checkpoint(), sum(marks.values()) / len(docs)).collect()}
+    sets = [(set(t.split()), marks[i]) for i, t, _ in docs]
+    share = sum(marks.values()) / len(docs)
+    t, n = Counter(w for s, y in sets if y for w in s), Counter(w for s, _ in sets for w in s)
+    z = {w: (t[w] - n[w] * share) / (n[w] * share + 0.5) ** 0.5 for w in n}
+    best = [max((z[w], w) for w in s) for s, y in sets if not y]
+    limit = tox.START * np.median([b for b, _ in best])
+    want = {(True, w): t[w] for w in z if t[w] and z[w] > limit}
+    assert want
+    for (_, w), c in Counter(best).items():
+        want[False, w] = want.get((False, w), 0) + c
+    assert got == want
