@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchline.functions import text
+from watchline.operators.joins import dealt
 
 #: What a single reading needs, what readings that agree need, how many must agree, readings kept.
 ACCEPT, AGREED, HITS, KEPT = 0.55, 0.45, 2, 12
@@ -62,5 +63,10 @@ def in_vehicles(vehicles: DataFrame, plates: DataFrame, frame: list[str], pad: f
     w, h = (F.col("v_x2") - F.col("v_x1")) * pad, (F.col("v_y2") - F.col("v_y1")) * pad
     within = [F.col("p_x1") >= F.col("v_x1") - w, F.col("p_y1") >= F.col("v_y1") - h, F.col("p_x2") <= F.col("v_x2") + w, F.col("p_y2") <= F.col("v_y2") + h]
     large = (F.col("v_x2") - F.col("v_x1") + 2 * w >= 24) & (F.col("v_y2") - F.col("v_y1") + 2 * h >= 24)
-    pairs = vehicles.where(large).join(plates, frame).where(reduce(lambda a, b: a & b, within))
-    return pairs.groupBy("vehicle_id").agg(F.max_by("plate_id", F.struct("confidence", -F.col("plate_id"))).alias("plate_id"))
+    mine, theirs = ([f"{p}_{c}" for c in ("x1", "y1", "x2", "y2")] for p in ("v", "p"))
+    # Equal boxes of a frame meet once, and a pair keeps no more than the plate's rank, so that pairs are folded where they arise.
+    ranked = plates.withColumn("_rank", F.row_number().over(Window.partitionBy(*frame).orderBy("confidence", F.desc("plate_id"))))
+    best = ranked.groupBy(*frame, *theirs).agg(F.max("_rank").alias("_rank"))
+    pairs = dealt(vehicles.where(large).select(*frame, *mine).distinct(), frame).join(dealt(best, frame).hint("merge"), frame).where(reduce(lambda a, b: a & b, within))
+    found = pairs.groupBy(*frame, *mine).agg(F.max("_rank").alias("_rank")).join(ranked.select(*frame, "_rank", "plate_id", "confidence"), [*frame, "_rank"])
+    return vehicles.join(found, [*frame, *mine]).groupBy("vehicle_id").agg(F.max_by("plate_id", F.struct("confidence", -F.col("plate_id"))).alias("plate_id"))
