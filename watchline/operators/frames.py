@@ -1,7 +1,9 @@
-"""Greedy operators within a frame, on pandas groups: a frame's objects are few, and groups are never larger."""
+"""Greedy operators within a frame, on one frame's rows: memory grows with a frame's rows, not with its pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,22 +25,23 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
 
 
-def kept_by(order: np.ndarray, clash: np.ndarray) -> np.ndarray:
-    """Places kept when each one, in order, is dropped if it clashes with one kept before."""
-    kept: list[int] = []
-    for i in order:
-        if not clash[i, kept].any():
-            kept.append(i)
-    return np.array(sorted(kept), int)
-
+def per_frame(df: DataFrame, frame: list[str], clashes, score: str = "confidence", most: int | None = None) -> DataFrame:
+    """Rows of each frame, of the best ``most``, without those that clash with a better one; equals are taken in order of their columns.
 
-def per_frame(df: DataFrame, frame: list[str], clashes, score: str = "confidence") -> DataFrame:
-    """Rows of each frame without those that clash with a better one."""
+    ``clashes(columns, i, others)`` tells which of the rows ``others`` clash with row ``i``: only a row that is kept is compared, and
+    only with rows that are still there, so that a frame costs no more memory than its rows.
+    """
+    ties = [c for c in df.columns if c != score and c not in frame]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        order = np.lexsort((pdf.index, -pdf[score].to_numpy()))
-        return pdf.iloc[kept_by(order, clashes(pdf))]
+        pdf = pdf.sort_values([score, *ties], ascending=[False, *([True] * len(ties))], kind="stable", ignore_index=True).head(most if most is not None else len(pdf))
+        boxes, names = pdf[BOX].to_numpy(float), pdf["class_name"].to_numpy() if "class_name" in pdf else None
+        left, kept = np.arange(len(pdf)), []
+        while len(left):
+            i, left = left[0], left[1:]
+            kept.append(i)
+            left = left[~clashes(boxes, names, i, left)]
+        return pdf.iloc[kept]
 
     return df.groupBy(*frame).applyInPandas(run, df.schema)
 
@@ -46,25 +49,19 @@ def per_frame(df: DataFrame, frame: list[str], clashes, score: str = "confidence
 def nms(df: DataFrame, frame: list[str], threshold: float = 0.45, most: int = 300) -> DataFrame:
     """Non-maximum suppression by class, among the best ``most`` boxes of a frame."""
 
-    def clashes(pdf: pd.DataFrame) -> np.ndarray:
-        boxes, names = pdf[BOX].to_numpy(float), pdf["class_name"].to_numpy()
-        out = (overlaps(boxes, boxes) > threshold) & (names[:, None] == names[None, :])
-        late = np.argsort(np.argsort(-pdf["confidence"].to_numpy(), kind="stable")) >= most
-        out[late] = True  # clashes with whatever was kept first
-        return out
+    def clashes(boxes: np.ndarray, names: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+        return (overlaps(boxes[i : i + 1], boxes[others])[0] > threshold) & (names[others] == names[i])
 
-    return per_frame(df, frame, clashes)
+    return per_frame(df, frame, clashes, most=most)
 
 
 def without_cross_class_duplicates(df: DataFrame, frame: list[str], threshold: float = 0.40, vehicles: float = 0.25) -> DataFrame:
     """One detection of each object: of two that overlap, the surer one; two vehicle classes overlap sooner."""
 
-    def clashes(pdf: pd.DataFrame) -> np.ndarray:
-        boxes, names = pdf[BOX].to_numpy(float), pdf["class_name"].to_numpy()
-        vehicle = np.isin(names, list(VEHICLES))
-        limit = np.where(vehicle[:, None] & vehicle[None, :], vehicles, threshold)
-        compatible = (names[:, None] == names[None, :]) | (vehicle[:, None] & vehicle[None, :])
-        return (overlaps(boxes, boxes) >= limit) & compatible
+    def clashes(boxes: np.ndarray, names: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+        vehicle = np.isin(names[others], list(VEHICLES)) & (names[i] in VEHICLES)
+        shared = overlaps(boxes[i : i + 1], boxes[others])[0]
+        return (shared >= np.where(vehicle, vehicles, threshold)) & ((names[others] == names[i]) | vehicle)
 
     return per_frame(df, frame, clashes)
 
@@ -72,12 +69,10 @@ def without_cross_class_duplicates(df: DataFrame, frame: list[str], threshold: f
 def without_track_duplicates(df: DataFrame, frame: list[str]) -> DataFrame:
     """One track of each object: those with near centres that overlap, or that overlap by 0.30, are one."""
 
-    def clashes(pdf: pd.DataFrame) -> np.ndarray:
-        boxes = pdf[BOX].to_numpy(float)
-        centre = (boxes[:, :2] + boxes[:, 2:]) / 2
-        apart = np.hypot(*(centre[:, None, :] - centre[None, :, :]).transpose(2, 0, 1))
-        shared = overlaps(boxes, boxes)
-        return ((apart < 40) & (shared > 0.10)) | (shared >= 0.30)
+    def clashes(boxes: np.ndarray, names: np.ndarray | None, i: int, others: np.ndarray) -> np.ndarray:
+        off = ((boxes[others, :2] + boxes[others, 2:]) - (boxes[i, :2] + boxes[i, 2:])) / 2
+        shared = overlaps(boxes[i : i + 1], boxes[others])[0]
+        return ((np.hypot(*off.T) < 40) & (shared > 0.10)) | (shared >= 0.30)
 
     return per_frame(df, frame, clashes)
 
@@ -111,17 +106,80 @@ def coordinated_groups(df: DataFrame, frame: list[str], near: float = 400.0, ali
 def assigned(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Pairs of rows and columns, the cheapest first, of a cost up to ``most``."""
     pairs, rows, columns = [], set(), set()
-    for flat in np.argsort(cost, axis=None, kind="stable"):
-        i, j = np.unravel_index(flat, cost.shape)
-        if cost[i, j] > most:
-            break
+    near = np.flatnonzero(cost <= most)
+    if len(near) > 1:
+        near = near[np.argsort(cost.ravel()[near], kind="stable")]
+    for flat in near.tolist():
+        i, j = divmod(flat, cost.shape[1])
         if i not in rows and j not in columns:
             rows.add(i)
             columns.add(j)
-            pairs.append((int(i), int(j)))
+            pairs.append((i, j))
     return pairs
 
 
+#: Costs of a frame's pairs that are held at a time.
+HELD = 1_000_000
+
+
+def cheapest(a: np.ndarray, b: np.ndarray, most: float, held: int = HELD) -> list[tuple[int, int, float]]:
+    """What ``assigned`` gives for the cost of one less the overlap, and that cost, without all costs at once.
+
+    Costs are taken in bands from the lowest up, each of those boxes that are still free. A band of more than ``held`` pairs
+    is cut between its least and its largest cost; one of equal costs is gone through row by row.
+    """
+    rows, columns = np.arange(len(a)), np.arange(len(b))
+    out: list[tuple[int, int, float]] = []
+    wide = max(np.abs(v[:, 2] - v[:, 0]).max(initial=0.0) for v in (a, b))
+
+    def blocks(low: float, high: float, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of free boxes with a cost over ``low`` up to ``high``; boxes of a cost under 1 begin less than its share of a width apart."""
+        reach = high * wide + 1e-6 if high < 1 else np.inf
+        some, others = rows[np.argsort(a[rows, 0], kind="stable")], columns[np.argsort(b[columns, 0], kind="stable")]
+        for k in range(0, len(some), step):
+            i = some[k : k + step]
+            j = others[np.searchsorted(b[others, 0], a[i[0], 0] - reach) : np.searchsorted(b[others, 0], a[i[-1], 0] + reach, "right")]
+            for part in range(0, len(j), 4096):
+                cost = 1 - overlaps(a[i], b[j[part : part + 4096]])
+                p, q = np.nonzero((cost > low) & (cost <= high))
+                yield i[p], j[part + q], cost[p, q]
+
+    def by_rows(low: float, high: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in rows:
+            cost = 1 - overlaps(a[i : i + 1], b[columns])[0]
+            at = np.flatnonzero((cost > low) & (cost <= high))
+            yield np.full(len(at), i), columns[at], cost[at]
+
+    bands = [(-np.inf, most)] if len(a) * len(b) <= held else [(most * (k - 1) / 8 if k else -np.inf, most * k / 8) for k in range(8, -1, -1)]
+    while bands and len(rows) and len(columns):
+        low, high = bands.pop()
+        found, n, least, largest = [], 0, np.inf, -np.inf
+        for block in blocks(low, high):
+            n += len(block[2])
+            least, largest = min(least, block[2].min(initial=np.inf)), max(largest, block[2].max(initial=-np.inf))
+            found = [*found, block] if n <= held else []
+        if n > held and least < largest:
+            middle = (least + largest) / 2
+            middle = middle if middle < largest else least
+            bands += [(middle, high), (low, middle)]
+            continue
+        if not n:
+            continue
+        if n <= held:
+            i, j, cost = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((j, i, cost))
+            found = [(i[order], j[order], cost[order])]
+        used, taken = set(), set()
+        for i, j, cost in found if n <= held else by_rows(low, high):
+            for at in range(len(cost)):
+                if i[at] not in used and j[at] not in taken:
+                    used.add(i[at])
+                    taken.add(j[at])
+                    out.append((int(i[at]), int(j[at]), float(cost[at])))
+        rows, columns = rows[~np.isin(rows, list(used))], columns[~np.isin(columns, list(taken))]
+    return out
+
+
 def assignments(df: DataFrame, frame: list[str], most: float = 0.8) -> DataFrame:
     """Pairs of a frame's tracks (``is_track``) and its other boxes, the cheapest first, each once: ``track_id, box_id, cost``.
 
@@ -133,8 +191,8 @@ def assignments(df: DataFrame, frame: list[str], most: float = 0.8) -> DataFrame
             tracks, others = ([r for r in rows or [] if r[0] is side] for side in (True, False))
             if not tracks or not others:
                 return []
-            cost = 1 - overlaps(np.array([r[2:] for r in tracks], float), np.array([r[2:] for r in others], float))
-            return [(tracks[i][1], others[j][1], float(cost[i, j])) for i, j in assigned(cost, most)]
+            near, far = (np.array([r[2:] for r in side], float) for side in (tracks, others))
+            return [(tracks[i][1], others[j][1], cost) for i, j, cost in cheapest(near, far, most)]
 
         return take
 
@@ -145,17 +203,39 @@ def assignments(df: DataFrame, frame: list[str], most: float = 0.8) -> DataFrame
 def greedy_ground_truth(df: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
     """Each true box of a frame (``is_truth``), in order of id, with the free prediction that overlaps it most."""
 
+    def all_at_once(truth: list[tuple], guess: list[tuple]) -> list[tuple]:
+        shared = overlaps(np.array([r[2:] for r in truth], float).reshape(-1, 4), np.array([r[2:] for r in guess], float).reshape(-1, 4))
+        out = []
+        for i, t in enumerate(truth):
+            j = int(shared[i].argmax()) if guess else -1
+            found = j >= 0 and shared[i, j] >= least
+            out.append((t[1], guess[j][1] if found else None, float(shared[i, j]) if found else 0.0))
+            if found:
+                shared[:, j] = -1
+        return out
+
     def begin(stretch: int):
         def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
             truth, guess = ([r for r in rows or [] if r[0] is side] for side in (True, False))
-            shared = overlaps(np.array([r[2:] for r in truth], float).reshape(-1, 4), np.array([r[2:] for r in guess], float).reshape(-1, 4))
+            if len(truth) * len(guess) <= HELD:
+                return all_at_once(truth, guess)
+            # Equal boxes are compared once; each has its free numbers, the first one last.
+            same: dict[tuple, list] = {}
+            for r in reversed(guess):
+                same.setdefault(r[2:], []).append(r[1])
+            boxes, free = np.array(list(same), float).reshape(-1, 4), list(same.values())
+            left = np.arange(len(free))
             out = []
-            for i, t in enumerate(truth):
-                j = int(shared[i].argmax()) if guess else -1
-                found = j >= 0 and shared[i, j] >= least
-                out.append((t[1], guess[j][1] if found else None, float(shared[i, j]) if found else 0.0))
-                if found:
-                    shared[:, j] = -1
+            for t in truth:
+                shared = overlaps(np.array([t[2:]], float), boxes[left])[0]
+                best = shared.max(initial=-1.0)
+                if best < least:
+                    out.append((t[1], None, 0.0))
+                    continue
+                j = min(left[shared == best], key=lambda k: free[k][-1])
+                out.append((t[1], free[j].pop(), float(best)))
+                if not free[j]:
+                    left = left[left != j]
             return out
 
         return take
