@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from watchline.functions.numbers import rounded
+
 #: Eight headings from east, clockwise in the image; and from north, for reports.
 HEADINGS = ["E", "SE", "S", "SW", "W", "NW", "N", "NE"]
 REPORT_HEADINGS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
@@ -25,14 +27,19 @@ def report_cardinal(degrees: Column) -> Column:
     return F.when(degrees != 0, _sector(REPORT_HEADINGS, F.bround(degrees / 45)))
 
 
+def wrapped(degrees: Column) -> Column:
+    """Degrees from 0 up to 360, by the sum that SQL forms: it rounds 269.99999999999994 to 270, which ``pmod`` leaves."""
+    return (degrees % 360.0 + 360.0) % 360.0
+
+
 def angle(dx: Column, dy: Column) -> Column:
     """Degrees from 0 up to 360."""
-    return F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))
+    return wrapped(F.degrees(F.atan2(dy, dx)))
 
 
 def turn(a: Column, b: Column) -> Column:
     """Degrees between two headings, 0 to 180."""
-    return F.abs(F.pmod(b - a + 180, F.lit(360.0)) - 180)
+    return F.abs(wrapped(b - a + 180) - 180)
 
 
 def displacement(points: Column) -> Column:
@@ -50,7 +57,8 @@ def movement(points: Column, fps: float = 30.0, window: int = 5, least: float =
     distance = F.hypot(dx, dy)
     still = short | (distance < least * frames) | (distance == 0)
     per_frame = F.round(distance / frames, 2)
-    heading = F.round(angle(dx, dy), 1)
+    # An array of one, so that the angle is worked out once and the generated code stays small.
+    heading = F.transform(F.array(angle(dx, dy)), lambda a: rounded(a, 1))[0]
     or_zero = lambda c: F.when(short, 0.0).otherwise(c)
     return F.struct(
         or_zero(F.round(dx / frames, 2)).alias("dx"),
