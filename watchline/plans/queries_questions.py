@@ -99,7 +99,7 @@ WORKED_OUT = [
     ("nlq10_system_status", "system status", Q + "SELECT count(*) AS workers, count(*) FILTER (WHERE c_acctbal > 0) AS workers_running, coalesce(sum(c_custkey % 7) FILTER (WHERE c_acctbal > 0), 0) AS active_tracks, coalesce(sum(c_custkey) FILTER (WHERE c_acctbal > 0), 0) AS frames_processed, coalesce(round(avg(c_nationkey * 1.5) FILTER (WHERE c_acctbal > 0), 2), 0) AS display_fps, coalesce(round(avg(c_nationkey * 0.5) FILTER (WHERE c_acctbal > 0), 2), 0) AS ai_fps FROM customer"),
     ("nlq14_track_movement", "which direction was track 7 moving", cut("local_track_id = '7' AND event_type = 'TRACKING'", 1000) + "SELECT seq_id, x, y, vx, vy, speed::DOUBLE AS speed, direction::DOUBLE AS direction FROM n ORDER BY timestamp DESC, seq_id DESC LIMIT 1"),
     ("nlq17_vehicles", "any truck or plate yesterday", cut("event_type = 'TRACKING' AND timestamp BETWEEN '2024-01-14' AND '2024-01-15'", 100) + "SELECT local_track_id, arg_max(object_class, (timestamp, seq_id)) AS last_object_class FROM n WHERE object_class IN ('car', 'truck') GROUP BY local_track_id"),
-    ("nlq21_zone_story", "who entered yesterday", cut("event_type = 'ZONE' AND timestamp BETWEEN '2024-01-14' AND '2024-01-15'", 50) + "SELECT count(*) AS n, count(DISTINCT local_track_id) AS tracks FROM n HAVING count(*) > 0"),
+    ("nlq21_zone_story", "who entered yesterday", Q + "SELECT count(*) AS n, count(DISTINCT local_track_id) AS tracks FROM q WHERE event_type = 'ZONE' AND timestamp BETWEEN '2024-01-14' AND '2024-01-15' HAVING count(*) > 0"),
     ("nlq22_camera_summary", "show CAM-3 in the last 3 days", cut("camera_id = 'CAM-3' AND timestamp BETWEEN '2024-01-12 12:00' AND '2024-01-15 12:00'", 100) + "SELECT event_type, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM n GROUP BY event_type"),
 ]
 
