@@ -207,19 +207,30 @@ def filtered(df: DataFrame, keys: list[str], frame: str, seq: str) -> DataFrame:
     """
 
     def begin(stretch: int):
-        one: Filter | None = None
+        # Of one box plain numbers; its places and its height have the same noise, so that one covariance does for them.
+        x = y = h = vx = vy = vh = vv = vr = rr = 0.0
+        known = False
 
         def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
-            nonlocal one
+            nonlocal x, y, h, vx, vy, vh, vv, vr, rr, known
             out = []
-            for row in rows or []:
-                box = np.array([row[:4]], float)
-                if one is None:
-                    one = Filter(box)
+            for x1, y1, x2, y2, number in rows or []:
+                width, height = float(x2) - float(x1), float(y2) - float(y1)
+                at_x, at_y = float(x1) + width / 2, float(y1) + height / 2
+                if not known:
+                    known, x, y, h = True, at_x, at_y, height
+                    vv, rr = (2 * PLACE * h) ** 2, (10 * RATE * h) ** 2
                 else:
-                    one.predict(np.array([True]), np.array([False]))
-                    one.update(np.array([0]), box)
-                out.append((at, row[4], *one.value[0, :2].tolist(), *one.rate[0, :2].tolist()))
+                    place, rate = (PLACE * h) ** 2, (RATE * h) ** 2
+                    x, y, h = x + vx, y + vy, h + vh
+                    vv, vr, rr = vv + 2 * vr + rr + place, vr + rr, rr + rate
+                    total = vv + (PLACE * h) ** 2
+                    gain, drift = vv / total, vr / total
+                    off_x, off_y, off_h = at_x - x, at_y - y, height - h
+                    x, y, h = x + gain * off_x, y + gain * off_y, h + gain * off_h
+                    vx, vy, vh = vx + drift * off_x, vy + drift * off_y, vh + drift * off_h
+                    rr, vr, vv = rr - drift * vr, vr * (1 - gain), vv * (1 - gain)
+                out.append((at, number, x, y, vx, vy))
             return out
 
         return take
