@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchline.functions import scoring, text
 from watchline.operators import incidents, plates, records, reports, zones
 from watchline.plans.base import observations, query
-from watchline.plans.queries_state import CROSSED_SQL, INSIDE_SQL, WIRE, inside
+from watchline.plans.queries_state import CROSSED_SQL, INSIDE_SQL, inside, one_wire
 from watchline.sources import definitions, ground_truth, snapshots
 from watchline.sources.tables import table
 
@@ -116,8 +116,7 @@ def snk21(spark: S, d: str) -> DataFrame:
 @query("j05_tripwire_segments", CROSSED_SQL + " SELECT event_id, crossing FROM e")
 def j05(spark: S, d: str) -> DataFrame:
     """Every move between two positions of a track that crosses the wire."""
-    wires = spark.createDataFrame([("w", *WIRE, "BIDIRECTIONAL", True)], "boundary_id string, ax double, ay double, bx double, by double, direction string, is_active boolean")
-    return zones.tripwire_crossings(observations(spark, d), wires, ["user_id"], "ts", "event_id").select("event_id", "crossing")
+    return zones.tripwire_crossings(observations(spark, d), one_wire(spark), ["user_id"], "ts", "event_id").select("event_id", "crossing")
 
 
 @query(

@@ -70,11 +70,17 @@ CROSSED_SQL = MOVE_SQL + "e AS (" + crossing_sql("event_id, user_id, s") + ")"
 
 @query("str05_tripwire", recursive(CROSSED_SQL + greedy_sql("SELECT user_id AS key, s, event_id FROM e", 3.0, final="SELECT g.event_id, e.crossing FROM g JOIN e ON e.event_id = g.event_id WHERE emitted")), False)
 def str05(spark: S, d: str) -> DataFrame:
-    wires = spark.createDataFrame([("w", *WIRE, "BIDIRECTIONAL", True)], "boundary_id string, ax double, ay double, bx double, by double, direction string, is_active boolean")
+    wires = one_wire(spark)
     found = zones.tripwire_crossings(observations(spark, d), wires, ["user_id"], "ts", "event_id")
     return folds.emit_with_cooldown(found, ["user_id", "boundary_id"], "ts", "event_id", 3.0).select("event_id", "crossing")
 
 
+def one_wire(spark: S) -> DataFrame:
+    """The wire as a table, of literals: a list of the driver's would start Python in the executors."""
+    ends = (F.lit(float(v)).alias(c) for c, v in zip(("ax", "ay", "bx", "by"), WIRE, strict=True))
+    return spark.range(1).select(F.lit("w").alias("boundary_id"), *ends, F.lit("BIDIRECTIONAL").alias("direction"), F.lit(True).alias("is_active"))
+
+
 RANK_SQL = """, a AS (SELECT *, CASE WHEN value >= 85 THEN 3 WHEN value >= 50 THEN 2 ELSE 1 END AS rank FROM x),
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY rank DESC, event_id) AS top FROM a) WHERE top = 1),
     u AS (SELECT user_id AS key, s, event_id, rank, coalesce(rank > lag(rank) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS rises FROM t)"""
