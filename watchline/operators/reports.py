@@ -241,15 +241,22 @@ def influx(rows: DataFrame, keys: list[str], ts: str, count: str, seconds: float
     The slope is a regression over the samples of the last ``seconds``, the newest ``most`` of them; fewer than
     ``least_points``, or samples at one time, give 0. A rapid rise is of ``threshold`` or more and ends at ``least_count``.
     """
-    w = Window.partitionBy(*keys).orderBy((F.col(ts) * 1e6).cast("long")).rangeBetween(-int(seconds * 1e6), 0)
-    last = Window.partitionBy(*keys).orderBy(ts).rowsBetween(1 - most, 0)
+    # A key's time is cut into pieces of sixty windows, so that no task holds a key's history. A row reaches no further back than one
+    # window, as more than ``most`` samples within it hold the newest ``most``; rows that late in a piece are in the next one too.
+    at, reach = (F.col(ts) * 1e6).cast("long"), int(seconds * 1e6)
+    piece = F.floor(at / (60 * reach))
+    pieces = F.when(at + reach >= (piece + 1) * (60 * reach), F.array(piece, piece + 1)).otherwise(F.array(piece))
+    given = rows.columns
+    rows = rows.withColumns({"_own": piece, "_piece": F.explode(pieces)}).withColumn("_own", F.col("_own").eqNullSafe(F.col("_piece")))
+    w = Window.partitionBy(*keys, "_piece").orderBy(at).rangeBetween(-reach, 0)
+    last = Window.partitionBy(*keys, "_piece").orderBy(ts).rowsBetween(1 - most, 0)
     y, t = F.col(count).cast("double"), F.col(ts)
     # Times are taken from the row's own, as squares of large numbers leave no digits for the differences.
     n = F.count("*").over(w)
     samples = F.when(n > most, F.collect_list(F.struct(t.alias("t"), y.alias("y"))).over(last)).otherwise(F.collect_list(F.struct(t.alias("t"), y.alias("y"))).over(w))
     size = F.size("_s")
     mean = lambda f: F.aggregate(F.col("_s"), F.lit(0.0), lambda a, s: a + f(s)) / size
-    moved = rows.withColumn("_s", samples).withColumn("_s", F.transform("_s", lambda s: F.struct((s["t"] - F.col(ts)).alias("t"), s["y"].alias("y"))))
+    moved = rows.withColumn("_s", samples).where("_own").select(*given, "_s").withColumn("_s", F.transform("_s", lambda s: F.struct((s["t"] - F.col(ts)).alias("t"), s["y"].alias("y"))))
     mt, my = mean(lambda s: s["t"]), mean(lambda s: s["y"])
     cov, var = mean(lambda s: s["t"] * s["y"]) - mt * my, mean(lambda s: s["t"] * s["t"]) - mt * mt
     slope = F.when((size >= least_points) & (var >= 1e-6), cov / var).otherwise(0.0)
