@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.plain_tracker import Tracker, continued
-from watchline.operators import tracking
+from watchline.operators import ordered, tracking
 
 SCHEMA = "camera long, frame long, seq long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
 
@@ -77,6 +79,37 @@ def test_continuity_against_a_plain_tracker(spark, batch, size, stride):
     assert stride > 1 or adopted  # some box got another number than without re-adoption
 
 
+def test_rounds_as_python_does():
+    v = np.concatenate([np.random.default_rng(1).integers(-10**6, 10**6, 20_000) / 1000, np.random.default_rng(2).uniform(-2000, 2000, 20_000), [0.125, 2.675, -0.001, 0.0]])
+    assert tracking.hundredths(v).tolist() == [round(x, 2) for x in v.tolist()]
+
+
+@pytest.mark.parametrize("block", [1, 50, 200_000])
+def test_many_cameras_side_by_side(monkeypatch, spark, block):
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    scenes = {k: scene(random.Random(20 + k), 12, 60, gap=range(20, 20 + 3 * k)) for k in range(12)}
+    rows = table(spark, scenes)
+    named = tracking.tracked(rows, "camera", "frame", "seq", high=0.5, lost=8).collect()
+    shown = tracking.continued(rows, "camera", "frame", "seq", high=0.3, lost=12, only="detection").collect()
+    for cam, frames in scenes.items():
+        assert sorted((r.seq, r.track_id) for r in named if r.camera == cam) == bands(frames, 0.5, 8)
+        wanted = sorted((r[0], r[2], r[4]) for r in continued(frames, 0.3, 12, 0.82, 1) if r[3] == "detection")
+        assert sorted((r.seq, r.track_id, r.hits) for r in shown if r.camera == cam) == wanted
+
+
+def test_steps_do_not_grow_with_the_cameras(spark):
+    state, steps = tracking.Named(tracking.Bands(0.5, 0.1, 8, 0.8), False), []
+    update = state.bands.update
+    state.bands.update = lambda *a: steps.append(len(a[0])) or update(*a)
+    state.open(np.zeros(500, np.int64))
+    lanes = np.arange(500)
+    for f in range(5):
+        box = [pa.array(np.full(500, v)) for v in (10.0, 10.0, 50.0, 60.0, 0.9)]
+        found = list(state.step(lanes, np.full(500, f), lanes, [*box, pa.array(lanes)]))
+        assert len(found[0][0]) == 500
+    assert steps == [500] * 5
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tracking.tracked(empty, "camera", "frame", "seq").collect() == []

@@ -1,20 +1,21 @@
 """Tracks from detections: association in bands, re-adoption of lost tracks, and prediction between detections.
 
-The state of a camera is its live tracks. It is handed from frame to frame by ``ordered.folded``; a camera's frames
-are cut where no track can outlive the gap. The filter runs over all tracks of a camera at once: noise and motion are
+The state of a camera is its live tracks. It is handed from frame to frame by ``ordered.together``, for many cameras at once; a
+camera's frames are cut where no track can outlive the gap. The filter runs over all tracks of these cameras at once: noise and motion are
 the same for each of a box's four measures, so that each has a filter of two numbers of its own.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchline.operators import ordered
-from watchline.operators.frames import BOX, assigned, overlaps
+from watchline.operators.frames import BOX
 
 # Classes of one family; shares of a box's height that the filter's noise has.
 FAMILY = {"car", "bus", "truck", "motorcycle", "bicycle", "vehicle"}
@@ -78,80 +79,149 @@ class Filter:
             setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
 
 
+def key(lane: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One number for a lane and a track of it; a lane has fewer than 2^40 tracks."""
+    return (lane << 40) + number
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key is among ``keys``, -1 for nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys, wanted, sorter=order), len(keys) - 1)]
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def crossed(left: np.ndarray, right: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of equal lanes, left ones in order, up to some ``most`` at a time; ``right`` is sorted."""
+    begin = np.searchsorted(right, left)
+    count = np.searchsorted(right, left, "right") - begin
+    total = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = count[at:end]
+        before = np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(np.arange(at, end), n), np.arange(n.sum()) - before + np.repeat(begin[at:end], n)
+        at = end
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Width, height of what each box of a has in common with its box of b, and both areas."""
+    low, high = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
+    area = lambda v: (v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1])
+    return high[:, 0] - low[:, 0], high[:, 1] - low[:, 1], area(a) + area(b)
+
+
 class Bands:
-    """The tracks of one camera. Sure boxes meet live and lost tracks, unsure ones the live tracks that are left, and
-    what is left of the sure ones the tracks of a single sighting; then they begin tracks."""
+    """The tracks of many cameras, a lane each. Sure boxes meet live and lost tracks, unsure ones the live tracks that are left,
+    and what is left of the sure ones the tracks of a single sighting; then they begin tracks. What a step doesn't name stays as it is."""
+
+    ARRAYS = ("lane", "ids", "state", "seen", "rank")
 
-    def __init__(self, high: float, low: float, lost: int, match: float, first: bool) -> None:
+    def __init__(self, high: float, low: float, lost: int, match: float) -> None:
         self.high, self.low, self.buffer, self.match = high, low, lost, match
         self.filter = Filter(np.empty((0, 4)))
-        self.ids, self.state, self.seen, self.rank = (np.empty(0, np.int64) for _ in range(4))
-        self.frame, self.number, self.first, self.ranks = 0, 0, first, 0
-
-    def update(self, boxes: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """The track of each box, -1 for none; the frame after the last is taken."""
-        self.frame += 1
-        named = np.full(len(boxes), -1)
+        self.lane, self.ids, self.state, self.seen, self.rank = (np.empty(0, np.int64) for _ in self.ARRAYS)
+        self.frame, self.number, self.first, self.ranks = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), 0
+
+    def open(self, stretches: np.ndarray) -> None:
+        none = np.zeros(len(stretches), np.int64)
+        self.frame, self.number, self.first = np.concatenate([self.frame, none]), np.concatenate([self.number, none]), np.concatenate([self.first, stretches == 0])
+
+    def keep_lane(self, lane: int) -> None:
+        self._keep(self.lane == lane)
+        self.lane[:] = 0
+        self.frame, self.number, self.first = self.frame[[lane]], self.number[[lane]], self.first[[lane]]
+
+    def here(self, lanes: np.ndarray) -> np.ndarray:
+        """Which tracks are of these lanes."""
+        some = np.zeros(len(self.frame), bool)
+        some[lanes] = True
+        return some[self.lane]
+
+    def update(self, lanes: np.ndarray, lane: np.ndarray, boxes: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One frame of each of the lanes: the track of each box, and its place, -1 for none. Boxes are sorted by ``lane``."""
+        self.frame[lanes] += 1
+        named, place = np.full(len(boxes), -1), np.full(len(boxes), -1)
         high = scores > self.high
-        self.filter.predict(self.state != UNSURE, self.state == LOST)
-        was = self.state.copy()
+        here = self.here(lanes)
+        self.filter.predict(here & (self.state != UNSURE), self.state == LOST)
+        was = np.where(here, self.state, -1)
         free = np.ones(len(self.ids), bool)
-        again: list[int] = []
+        again: list[np.ndarray] = []
 
         def meet(tracks: np.ndarray, some: np.ndarray, most: float) -> None:
-            if len(tracks) and len(some):
-                for i, j in assigned(1 - overlaps(self.filter.boxes()[tracks], boxes[some]), most):
-                    t = tracks[i]
-                    self.filter.update(np.array([t]), boxes[some[j]][None])
-                    self.state[t], self.seen[t], free[t], named[some[j]] = LIVE, self.frame, False, self.ids[t]
-                    if was[t] == LOST:
-                        again.append(int(self.ids[t]))
+            if not len(tracks) or not len(some):
+                return
+            found, at = [], self.filter.boxes()[tracks]
+            for i, j in crossed(self.lane[tracks], lane[some]):
+                width, height, areas = common(at[i], boxes[some[j]])
+                shared = np.clip(width, 0, None) * np.clip(height, 0, None)
+                union = areas - shared
+                cost = 1 - np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
+                near = np.flatnonzero(cost <= most)
+                found.append((i[near], j[near], cost[near]))
+            i, j, cost = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((j, i, cost, lane[some[j]]))
+            rows, columns, pairs = bytearray(len(tracks)), bytearray(len(some)), []
+            for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if not rows[p] and not columns[q]:
+                    rows[p] = columns[q] = 1
+                    pairs.append((p, q))
+            if pairs:
+                p, q = np.array(pairs).T
+                t, b = tracks[p], some[q]
+                self.filter.update(t, boxes[b])
+                self.state[t], self.seen[t], free[t], named[b], place[b] = LIVE, self.frame[self.lane[t]], False, self.ids[t], t
+                again.append(t[was[t] == LOST])
 
         meet(np.concatenate([np.flatnonzero(was == LIVE), np.flatnonzero(was == LOST)]), np.flatnonzero(high), self.match)
         meet(np.flatnonzero(free & (was == LIVE)), np.flatnonzero((scores > self.low) & ~high), 0.5)
         self.state[free & (was == LIVE)] = LOST
         meet(np.flatnonzero(was == UNSURE), np.flatnonzero(high & (named < 0)), 0.7)
-        over = (free & (was == UNSURE)) | (free & (was == LOST) & (self.frame - self.seen > self.buffer))
+        back = np.concatenate([np.empty(0, np.int64), *again])
+        over = free & ((was == UNSURE) | ((was == LOST) & (self.frame[self.lane] - self.seen > self.buffer)))
         begun = np.flatnonzero(high & (named < 0))
-        self._keep(np.flatnonzero(~over))
+        if over.any():
+            moved = np.cumsum(~over) - 1
+            place[place >= 0], back = moved[place[place >= 0]], moved[back]
+            self._keep(~over)
         if len(begun):
-            fresh = self.number + 1 + np.arange(len(begun))
-            self.number += len(begun)
+            own = lane[begun]
+            fresh = self.number[own] + 1 + np.arange(len(begun)) - np.searchsorted(own, own)
+            np.add.at(self.number, own, 1)
+            state = np.where(self.first[own] & (self.frame[own] == 1), LIVE, UNSURE)
+            live = begun[state == LIVE]
+            named[live], place[live] = fresh[state == LIVE], len(self.ids) + np.flatnonzero(state == LIVE)
             self.filter.add(Filter(boxes[begun]))
-            self.ids = np.concatenate([self.ids, fresh])
-            state = LIVE if self.first and self.frame == 1 else UNSURE
-            self.state = np.concatenate([self.state, np.full(len(begun), state)])
-            self.seen = np.concatenate([self.seen, np.full(len(begun), self.frame)])
-            self.rank = np.concatenate([self.rank, self.ranks + np.arange(len(begun))])
+            rank = self.ranks + np.arange(len(begun))
             self.ranks += len(begun)
-            if state == LIVE:
-                named[begun] = fresh
-        self._last(again)
-        return named
-
-    def _last(self, ids: list[int]) -> None:
+            for name, more in zip(self.ARRAYS, (own, fresh, state, self.frame[own], rank), strict=True):
+                setattr(self, name, np.concatenate([getattr(self, name), more]))
+        self.last(back)
+        return named, place
+
+    def predict(self, lanes: np.ndarray) -> None:
+        """All tracks of the lanes one frame on without boxes to meet."""
+        self.filter.predict(self.here(lanes), self.state == LOST)
+
+    def adopt(self, at: np.ndarray, boxes: np.ndarray) -> None:
+        """Tracks go on with boxes that had begun other ones, which the caller ends."""
+        self.filter.update(at, boxes)
+        self.last(at[self.state[at] == LOST])
+        self.state[at], self.seen[at] = LIVE, self.frame[self.lane[at]]
+
+    def last(self, at: np.ndarray) -> None:
         """Tracks that are found again come after all others in a frame's order."""
-        for i in ids:
-            self.rank[self.ids == i] = self.ranks
-            self.ranks += 1
-
-    def predict(self) -> dict[int, np.ndarray]:
-        """All tracks one frame on without boxes to meet: the box of each."""
-        self.filter.predict(np.ones(len(self.ids), bool), self.state == LOST)
-        return dict(zip(self.ids.tolist(), self.filter.boxes(), strict=True))
-
-    def adopt(self, old: int, new: int, box: np.ndarray) -> None:
-        """The track ``old`` goes on with a box that had begun ``new``, which ends."""
-        for t in np.flatnonzero(self.ids == old):
-            self.filter.update(np.array([t]), box[None])
-            if self.state[t] == LOST:
-                self._last([old])
-            self.state[t], self.seen[t] = LIVE, self.frame
-        self._keep(np.flatnonzero(self.ids != new))
+        self.rank[at] = self.ranks + np.arange(len(at))
+        self.ranks += len(at)
 
     def _keep(self, at: np.ndarray) -> None:
         self.filter.keep(at)
-        self.ids, self.state, self.seen, self.rank = self.ids[at], self.state[at], self.seen[at], self.rank[at]
+        for name in self.ARRAYS:
+            setattr(self, name, getattr(self, name)[at])
 
 
 def kind(df: DataFrame, column: str) -> str:
@@ -166,6 +236,47 @@ def numbered(df: DataFrame, camera: str, begun: str) -> DataFrame:
     return df.where("track_id > 0").join(before, [camera, ordered.STRETCH]).withColumn("track_id", F.col("track_id") + F.col("_before")).drop("_before", ordered.STRETCH, begun)
 
 
+def renumbered(df: DataFrame, sizes: DataFrame, camera: str) -> DataFrame:
+    """Rows with track numbers that go on from stretch to stretch; ``sizes`` has how many tracks (``_begun``) each stretch but a camera's last one began."""
+    w = Window.partitionBy(camera).orderBy(ordered.STRETCH)
+    before = sizes.select(camera, (F.col(ordered.STRETCH) + 1).alias(ordered.STRETCH), F.sum("_begun").over(w).alias("_before"))
+    return df.join(before, [camera, ordered.STRETCH], "left").withColumn("track_id", F.col("track_id") + F.coalesce("_before", F.lit(0))).drop("_before", ordered.STRETCH)
+
+
+def floats(columns: list[pa.Array]) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns])
+
+
+class Named:
+    """For ``ordered.together``: the track of each detection, or (``counted``) only how many tracks each stretch began."""
+
+    def __init__(self, bands: Bands, counted: bool) -> None:
+        self.bands, self.counted, self.at = bands, counted, np.empty(0)
+
+    def open(self, stretches: np.ndarray) -> None:
+        self.bands.open(stretches)
+        self.at = np.concatenate([self.at.astype(float), np.full(len(stretches), np.nan)])
+
+    def step(self, lanes: np.ndarray, at: np.ndarray, lane: np.ndarray, rows: list[pa.Array]) -> Iterator[list]:
+        at = at.astype(float)
+        missed = np.nan_to_num(at - self.at[lanes], nan=1.0).astype(np.int64) - 1
+        self.at[lanes] = at
+        for m in range(1, int(missed.max(initial=0)) + 1):
+            self.bands.update(lanes[missed >= m], np.empty(0, np.int64), np.empty((0, 4)), np.empty(0))
+        named, _ = self.bands.update(lanes, lane, floats(rows[:4]), floats(rows[4:5])[:, 0])
+        some = np.flatnonzero(named > 0)
+        if not self.counted and len(some):
+            yield [lane[some], rows[5].take(pa.array(some)), named[some]]
+
+    def end(self, lanes: np.ndarray) -> Iterator[list]:
+        if self.counted:
+            yield [lanes, self.bands.number[lanes]]
+
+    def keep(self, lane: int) -> None:
+        self.bands.keep_lane(lane)
+        self.at = self.at[[lane]]
+
+
 def tracked(df: DataFrame, camera: str, frame: str, seq: str, high: float = 0.5, low: float = 0.1, lost: int = 30, match: float = 0.8) -> DataFrame:
     """Detections (``seq``) with ``track_id``, numbered by camera; those that belong to no track are left out.
 
@@ -173,31 +284,12 @@ def tracked(df: DataFrame, camera: str, frame: str, seq: str, high: float = 0.5,
     up to ``lost`` frames later. Frames without rows had no detections. A frame's boxes are taken by confidence, the
     surest first, then by ``seq``.
     """
+    rows = df.where(F.col(camera).isNotNull()).select(camera, frame, seq, "confidence", *BOX).withColumn("_less", -F.col("confidence"))
 
-    def begin(stretch: int):
-        bands, last = Bands(high, low, lost, match, first=stretch == 0), None
+    def found(counted: bool, schema: str) -> DataFrame:
+        return ordered.together(rows, [camera], frame, [*BOX, "confidence", seq], ["_less", seq], lost + 1, lambda: Named(Bands(high, low, lost, match), counted), schema, followed=counted)
 
-        def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
-            nonlocal last
-            if rows is None:
-                return []
-            for _ in range(0 if last is None else int(at - last) - 1):
-                bands.update(np.empty((0, 4)), np.empty(0))
-            last = at
-            boxes, scores, ids = boxed(rows)
-            named = bands.update(boxes, scores)
-            return [(s, t, bands.number) for s, t in zip(ids, named.tolist(), strict=True)]
-
-        return take
-
-    rows = df.select(camera, frame, seq, "confidence", *BOX).withColumn("_less", -F.col("confidence"))
-    found = ordered.folded(rows, [camera], frame, [*BOX, "confidence", seq], ["_less", seq], lost + 1, begin, f"`{seq}` {kind(df, seq)}, track_id long, _begun long")
-    return numbered(found, camera, "_begun")
-
-
-def boxed(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Boxes, scores and ids of rows that begin with them."""
-    return np.array([r[:4] for r in rows], float), np.array([r[4] for r in rows], float), [r[5] for r in rows]
+    return renumbered(found(False, f"`{seq}` {kind(df, seq)}, track_id long"), found(True, "_begun long"), camera)
 
 
 def filtered(df: DataFrame, keys: list[str], frame: str, seq: str) -> DataFrame:
@@ -239,130 +331,277 @@ def filtered(df: DataFrame, keys: list[str], frame: str, seq: str) -> DataFrame:
     return ordered.folded(df.select(*keys, frame, seq, *BOX), keys, frame, [*BOX, seq], [seq], None, begin, schema).drop(ordered.STRETCH)
 
 
-def same_family(a: str, b: str) -> bool:
-    return a == b or "object" in (a, b) or (a in FAMILY and b in FAMILY)
+def hundredths(v: np.ndarray) -> np.ndarray:
+    """Numbers rounded to hundredths as ``round(v, 2)`` does, by the exact product."""
+    scaled = v * 100.0
+    split = 134217729.0 * v
+    high = split - (split - v)
+    error = (high * 100.0 - scaled) + (v - high) * 100.0
+    whole = np.floor(scaled)
+    off = (scaled - whole - 0.5) + error
+    return np.copysign((whole + ((off > 0) | ((off == 0) & (whole % 2 == 1)))) / 100.0, v)
 
 
-def shared(a: list[float], b: list[float]) -> float | None:
-    """Intersection over union, None where boxes don't meet."""
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return None
-    return w * h / max((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h, 1e-6)
+def centres(boxes: np.ndarray) -> np.ndarray:
+    return hundredths((boxes[:, :2] + boxes[:, 2:]) / 2)
 
 
-def centre(box: list[float]) -> tuple[float, float]:
-    return round((box[0] + box[2]) / 2, 2), round((box[1] + box[3]) / 2, 2)
+def share(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intersection over union of each box of a with its box of b, and whether they meet at all."""
+    width, height, areas = common(a, b)
+    return width * height / np.maximum(areas - width * height, 1e-6), (width > 0) & (height > 0)
 
 
 class Continuity:
-    """Tracks as they are shown: lost ones glide on and are adopted again by new ones that turn up on them."""
-
-    def __init__(self, bands: Bands, width: float, height: float) -> None:
-        self.bands, self.size, self.shown = bands, (width, height, width, height), {}
-
-    def clipped(self, box) -> list[float]:
-        return [max(0.0, min(most, v)) for v, most in zip(box, self.size, strict=True)]
-
-    @staticmethod
-    def moved(track: dict) -> None:
-        """Velocity over the last five places, and whether the track moves at all."""
-        points = list(track["path"])[-5:]
-        n = max(1, len(points) - 1)
-        dx, dy = points[-1][0] - points[0][0], points[-1][1] - points[0][1]
-        far = float(np.hypot(dx, dy))
-        track["velocity"], track["moves"] = (round(dx / n, 2), round(dy / n, 2)), len(points) > 1 and far >= n and far > 0
-
-    def adopted(self, box: list[float], name: str, taken: set[int]) -> int | None:
-        """The lost track that a new one's box goes to: the best overlap over 0.20, else one within 45 pixels."""
-        best, most = None, 0.0
-        for old, t in self.shown.items():
-            if old in taken or not 0 < t["missed"] <= self.bands.buffer or not same_family(t["class"], name):
-                continue
-            part = shared(box, t["box"])
-            if part is not None:
-                if part > 0.20 and part > most:
-                    best, most = old, part
-            elif best is None and np.hypot((box[0] + box[2]) / 2 - t["centre"][0], (box[1] + box[3]) / 2 - t["centre"][1]) < 45:
-                best = old
-        return best
-
-    def detected(self, boxes: np.ndarray, scores: np.ndarray, names: list[str]) -> list[tuple]:
-        """Rows of a frame with detections: place of the box (-1: none), track, how it is known, and what is shown."""
-        named = self.bands.update(boxes, scores)
-        now = dict(zip(self.bands.ids.tolist(), zip(self.bands.rank.tolist(), self.bands.filter.boxes().tolist(), strict=True), strict=True))
-        out, taken = [], set()
-        for j in sorted(np.flatnonzero(named >= 0).tolist(), key=lambda j: now[int(named[j])][0]):
-            new = int(named[j])
-            box, track = now[new][1], new
-            if new not in self.shown and self.shown:
-                old = self.adopted(box, names[j], taken)
-                if old is not None:
-                    track = old
-                    self.bands.adopt(old, new, np.array(box))
-            t = self.shown.get(track)
-            if t is None:
-                t = self.shown[track] = {"votes": deque(maxlen=20), "path": deque(maxlen=50), "hits": 0, "box": None, "class": "object"}
-            if names[j] != "object":
-                t["votes"].append(names[j])
-                t["class"] = Counter(t["votes"]).most_common(1)[0][0]
-            before = t["box"]
-            t["path"].append(centre(box))
-            self.moved(t)
-            t["path"].pop()
-            if before is not None:
-                alpha = 0.4 if t["moves"] else 0.85
-                box = [alpha * a + (1 - alpha) * b for a, b in zip(before, box, strict=True)]
-            t["centre"] = centre(box)
-            t["path"].append(t["centre"])
-            t.update(box=[round(v, 2) for v in box], missed=0, hits=t["hits"] + 1, score=round(float(scores[j]), 4))
-            taken.add(track)
-            out.append((j, track, "detection", t["hits"], 0, t["class"], *t["box"]))
-        return out + self.glided(taken)
-
-    def glided(self, taken: set[int]) -> list[tuple]:
-        """Rows of the tracks that this frame has missed, where no seen track is in their place."""
-        out = []
-        live = [self.shown[t]["box"] for t in taken]
-        for track, t in list(self.shown.items()):
-            if track in taken:
-                continue
-            t["missed"] += 1
-            if t["missed"] > self.bands.buffer:
-                del self.shown[track]
-                continue
-            dx, dy = t["velocity"]
-            if abs(dx) < 1 and abs(dy) < 1:
-                dx = dy = 0.0
-            else:
-                fade = 0.5 ** (t["missed"] / (self.bands.buffer * 0.5))
-                dx, dy = (max(-25.0, min(25.0, v * fade)) for v in (dx, dy))
-            box = self.clipped([a + b for a, b in zip(t["box"], (dx, dy, dx, dy), strict=True)])
-            t.update(box=[round(v, 2) for v in box], centre=centre(box))
-            if not any((shared(box, other) or 0) > 0.55 for other in live):
-                out.append((-1, track, "prediction", t["hits"], t["missed"], t["class"], *t["box"]))
+    """For ``ordered.together``: tracks as they are shown; lost ones glide on and are adopted again by new ones that turn up on them.
+
+    ``only`` is the provenance of the rows to give; with ``counted`` there is but the number of tracks that each stretch began.
+    """
+
+    #: Of each shown track: its lane and number, its box, centre and velocity, whether it moves, frames missed, hits, class, its last
+    #: votes, and its last five places with their number.
+    ARRAYS = ("lane", "ids", "box", "centre", "velocity", "moves", "missed", "hits", "kind", "votes", "path", "points")
+
+    def __init__(self, bands: Bands, width: float, height: float, stride: int, counted: bool, only: str | None) -> None:
+        self.bands, self.size, self.stride, self.counted, self.only = bands, np.array([width, height, width, height]), stride, counted, only
+        self.names: dict[str, int] = {"object": 0}
+        self.at = np.empty(0, np.int64)
+        self._add(np.empty(0, np.int64), np.empty(0, np.int64), first=True)
+
+    def _add(self, lane: np.ndarray, ids: np.ndarray, first: bool = False) -> None:
+        n = len(lane)
+        none, zeros = np.zeros(n, np.int64), np.zeros((n, 4))
+        fresh = (lane, ids, zeros, zeros[:, :2], zeros[:, :2], np.zeros(n, bool), none, none, none, np.full((n, 20), -1, np.int16), np.zeros((n, 5, 2)), none)
+        for name, more in zip(self.ARRAYS, fresh, strict=True):
+            setattr(self, name, more.copy() if first else np.concatenate([getattr(self, name), more]))
+
+    def _keep(self, at: np.ndarray) -> None:
+        for name in self.ARRAYS:
+            setattr(self, name, getattr(self, name)[at])
+
+    def here(self, lanes: np.ndarray) -> np.ndarray:
+        some = np.zeros(len(self.at), bool)
+        some[lanes] = True
+        return some[self.lane]
+
+    def open(self, stretches: np.ndarray) -> None:
+        self.bands.open(stretches)
+        self.at = np.concatenate([self.at, np.full(len(stretches), -1)])
+
+    def keep(self, lane: int) -> None:
+        self._keep(self.lane == lane)
+        self.lane[:] = 0
+        self.bands.keep_lane(lane)
+        self.at = self.at[[lane]]
+
+    def moved(self, at: np.ndarray, path: np.ndarray, points: np.ndarray) -> None:
+        """Velocity over the last five places, and whether the track moves at all; the last place is the last one of ``path``."""
+        known = np.minimum(points, 5)
+        n = np.maximum(1, known - 1)
+        off = path[:, 4] - path[np.arange(len(at)), 5 - known]
+        far = np.hypot(off[:, 0], off[:, 1])
+        self.velocity[at], self.moves[at] = hundredths(off / n[:, None]), (known > 1) & (far >= n) & (far > 0)
+
+    def walked(self, at: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last five places with one more, and their number."""
+        return np.concatenate([self.path[at][:, 1:], centre[:, None]], axis=1), np.minimum(self.points[at] + 1, 5)
+
+    def seen(self, at: np.ndarray, boxes: np.ndarray, kinds: np.ndarray) -> None:
+        """Tracks (each once) meet the filter's boxes of their detections."""
+        some = np.flatnonzero(kinds > 0)
+        if len(some):
+            t, k = at[some], kinds[some]
+            votes = self.votes[t]
+            votes = np.concatenate([votes[:, 1:], k[:, None].astype(np.int16)], axis=1)
+            self.votes[t] = votes
+            mixed = np.flatnonzero(((votes != k[:, None]) & (votes >= 0)).any(axis=1))
+            self.kind[t] = k
+            if len(mixed):
+                v = votes[mixed]
+                counts = np.where(v >= 0, (v[:, :, None] == v[:, None, :]).sum(axis=2), -1)
+                self.kind[t[mixed]] = v[np.arange(len(v)), counts.argmax(axis=1)]
+        self.moved(at, *self.walked(at, centres(boxes)))
+        alpha = np.where(self.moves[at], 0.4, 0.85)[:, None]
+        boxes = np.where((self.hits[at] > 0)[:, None], alpha * self.box[at] + (1 - alpha) * boxes, boxes)
+        self.centre[at] = centres(boxes)
+        self.path[at], self.points[at] = self.walked(at, self.centre[at])
+        self.box[at], self.missed[at] = hundredths(boxes), 0
+        self.hits[at] += 1
+
+    def adopted(self, lane: np.ndarray, boxes: np.ndarray, kinds: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        """The lost track (of ``lost``, by lane) that each new one's box goes to, -1 for none: the best overlap over 0.20, else the first within 45 pixels."""
+        out = np.full(len(lane), -1)
+        best = np.full(len(lane), 0.20)
+        for i, j in crossed(lane, self.lane[lost]):
+            t = lost[j]
+            a, b = kinds[i], self.kind[t]
+            family = np.array([n in FAMILY for n in self.names])
+            alike = (a == b) | (a == 0) | (b == 0) | (family[a] & family[b])
+            i, t = i[alike], t[alike]
+            part, meets = share(boxes[i], self.box[t])
+            off = (boxes[i, :2] + boxes[i, 2:]) / 2 - self.centre[t]
+            close = np.flatnonzero(~meets & (np.hypot(off[:, 0], off[:, 1]) < 45))
+            # Later chunks go on with the same row; pairs are in the tracks' order.
+            near = close[np.unique(i[close], return_index=True)[1]]
+            near = near[out[i[near]] < 0]
+            out[i[near]] = t[near]
+            over = np.flatnonzero(meets & (part > 0.20))
+            over = over[np.lexsort((over, -part[over], i[over]))]
+            over = over[np.unique(i[over], return_index=True)[1]]
+            over = over[part[over] > best[i[over]]]
+            out[i[over]], best[i[over]] = t[over], part[over]
         return out
 
-    def predicted(self) -> list[tuple]:
+    def detected(self, lanes: np.ndarray, frame: np.ndarray, lane: np.ndarray, boxes: np.ndarray, scores: np.ndarray, kinds: np.ndarray) -> Iterator[list]:
+        """Rows of a frame with detections, ``frame`` that of each of the lanes: as ``row`` gives them, the place of the box first (-1: none)."""
+        bands = self.bands
+        named, place = bands.update(lanes, lane, boxes, scores)
+        rows = np.flatnonzero(named > 0)
+        rows = rows[np.lexsort((bands.rank[place[rows]], lane[rows]))]
+        place, own, number, met = place[rows], lane[rows], named[rows], bands.filter.boxes()[place[rows]]
+        at = places(key(self.lane, self.ids), key(own, number))
+        here = self.here(lanes)
+        taken = np.zeros(len(self.ids), bool)
+        # Where no track is lost, those that are new or seen again don't wait for each other.
+        lost = here & (self.missed > 0) & (self.missed <= bands.buffer)
+        some = np.zeros(len(self.at), bool)
+        some[self.lane[lost]] = True
+        waits = np.where(at < 0, some[own], self.missed[np.maximum(at, 0)] > 0) if len(self.ids) else np.zeros(len(rows), bool)
+        ended = np.zeros(len(bands.ids), bool)
+
+        def meet(which: np.ndarray) -> Iterator[list]:
+            nonlocal taken
+            fresh = which[at[which] < 0]
+            if len(fresh):
+                at[fresh] = len(self.ids) + np.arange(len(fresh))
+                self._add(own[fresh], number[fresh])
+                taken = np.concatenate([taken, np.ones(len(fresh), bool)])
+            taken[at[which]] = True
+            self.seen(at[which], met[which], kinds[rows[which]])
+            if self.only != "prediction" and not self.counted and len(which):
+                yield self.row(at[which], rows[which], frame[np.searchsorted(lanes, own[which])], "detection")
+
+        yield from meet(np.flatnonzero(~waits))
+        waiting = np.flatnonzero(waits)
+        if len(waiting):
+            candidates = np.flatnonzero(lost)
+            candidates = candidates[np.argsort(self.lane[candidates], kind="stable")]
+            turn = np.arange(len(waiting)) - np.searchsorted(own[waiting], own[waiting])
+            by_turn = waiting[np.argsort(turn, kind="stable")]
+            bounds = np.searchsorted(np.sort(turn), np.arange(turn.max() + 2))
+            for k, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                which = by_turn[k:end]
+                new = which[at[which] < 0]
+                old = self.adopted(own[new], met[new], kinds[rows[new]], candidates[~taken[candidates]])
+                new, old = new[old >= 0], old[old >= 0]
+                if len(new):
+                    at[new] = old
+                    ended[place[new]] = True
+                    there = places(key(bands.lane, bands.ids), key(own[new], self.ids[old]))
+                    bands.adopt(there[there >= 0], met[new][there >= 0])
+                yield from meet(which)
+        if ended.any():
+            bands._keep(~ended)
+        yield from self.glided(lanes, frame, taken)
+
+    def row(self, at: np.ndarray, place: np.ndarray, frame: np.ndarray, how: str) -> list:
+        return [self.lane[at], frame, place, self.ids[at], how, self.hits[at], self.missed[at], self.kind[at], self.box[at]]
+
+    def missed_again(self, at: np.ndarray) -> np.ndarray:
+        """Tracks ``at`` are missed once more: those that are still shown, once the others are gone."""
+        self.missed[at] += 1
+        gone = np.zeros(len(self.ids), bool)
+        gone[at] = self.missed[at] > self.bands.buffer
+        left = np.zeros(len(self.ids), bool)
+        left[at] = True
+        if gone.any():
+            self._keep(~gone)
+        return np.flatnonzero(left[~gone])
+
+    def glided(self, lanes: np.ndarray, frame: np.ndarray, taken: np.ndarray) -> Iterator[list]:
+        """Rows of the tracks that this frame has missed, where no seen track is in their place."""
+        # Tracks begun in this frame are taken too.
+        live = np.flatnonzero(taken)
+        live_lane, live_box = self.lane[live], self.box[live]
+        by_lane = np.argsort(live_lane, kind="stable")
+        live_lane, live_box = live_lane[by_lane], live_box[by_lane]
+        at = self.missed_again(np.flatnonzero(self.here(lanes) & ~taken))
+        v = self.velocity[at]
+        still = (np.abs(v) < 1).all(axis=1)
+        fade = np.array([0.5 ** (m / (self.bands.buffer * 0.5)) if m else 1.0 for m in range(self.bands.buffer + 1)])[self.missed[at]] if self.bands.buffer else np.ones(len(at))
+        v = np.where(still[:, None], 0.0, np.clip(v * fade[:, None], -25.0, 25.0))
+        boxes = self.clipped(self.box[at] + np.concatenate([v, v], axis=1))
+        self.box[at], self.centre[at] = hundredths(boxes), centres(boxes)
+        if self.only == "detection" or self.counted or not len(at):
+            return
+        hidden = np.zeros(len(at), bool)
+        for i, j in crossed(self.lane[at], live_lane):
+            part, meets = share(self.box[at][i], live_box[j])
+            hidden[i[meets & (part > 0.55)]] = True
+        at = at[~hidden]
+        yield self.row(at, np.full(len(at), -1), frame[np.searchsorted(lanes, self.lane[at])], "prediction")
+
+    def clipped(self, boxes: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, np.minimum(self.size, boxes)) + 0.0
+
+    def predicted(self, lanes: np.ndarray, frame: np.ndarray) -> Iterator[list]:
         """Rows of a frame in which nothing was looked for: every track one frame on."""
-        now, out = self.bands.predict(), []
-        for track, t in list(self.shown.items()):
-            t["missed"] += 1
-            if t["missed"] > self.bands.buffer:
-                del self.shown[track]
-                continue
-            dx, dy = (max(-50.0, min(50.0, v)) for v in t["velocity"])
-            box = self.clipped(now[track] if track in now else [a + b for a, b in zip(t["box"], (dx, dy, dx, dy), strict=True)])
-            t["centre"] = centre(box)
-            t["path"].append(t["centre"])
-            self.moved(t)
-            t["box"] = [round(float(v), 2) for v in box]
-            out.append((-1, track, "prediction", t["hits"], t["missed"], t["class"], *t["box"]))
-        return out
+        self.bands.predict(lanes)
+        at = self.missed_again(np.flatnonzero(self.here(lanes)))
+        if not len(at):
+            return
+        there = places(key(self.bands.lane, self.bands.ids), key(self.lane[at], self.ids[at]))
+        v = np.clip(self.velocity[at], -50.0, 50.0)
+        boxes = self.box[at] + np.concatenate([v, v], axis=1)
+        known = np.flatnonzero(there >= 0)
+        boxes[known] = self.bands.filter.boxes()[there[known]]
+        boxes = self.clipped(boxes)
+        self.centre[at] = centres(boxes)
+        self.path[at], self.points[at] = self.walked(at, self.centre[at])
+        self.moved(at, self.path[at], self.points[at])
+        self.box[at] = hundredths(boxes)
+        if self.only != "detection" and not self.counted:
+            yield self.row(at, np.full(len(at), -1), frame[np.searchsorted(lanes, self.lane[at])], "prediction")
+
+    def between(self, lanes: np.ndarray, n: np.ndarray) -> Iterator[list]:
+        """Rows of the ``n`` frames of each lane after its last one."""
+        for m in range(1, int(n.max(initial=0)) + 1):
+            some = lanes[n >= m]
+            frame = self.at[some] + m
+            looked = frame % self.stride == 0
+            if not looked.all():
+                yield from self.predicted(some[~looked], frame[~looked])
+            if looked.any():
+                yield from self.detected(some[looked], frame[looked], np.empty(0, np.int64), np.empty((0, 4)), np.empty(0), np.empty(0, np.int64))
+
+    def written(self, found: list, seq: pa.Array | None) -> list:
+        lane, frame, place, ids, how, hits, missed, kinds, box = found
+        names = pa.array(list(self.names))
+        own = pa.nulls(len(lane), self.seq) if seq is None else seq.take(pa.array(place, mask=place < 0))
+        return [lane, frame, own, ids, pa.array([how]).take(pa.array(np.zeros(len(lane), np.int64))), hits.astype(np.int32), missed.astype(np.int32), names.take(pa.array(kinds)), *box.T]
+
+    def step(self, lanes: np.ndarray, at: np.ndarray, lane: np.ndarray, rows: list[pa.Array]) -> Iterator[list]:
+        self.seq = rows[5].type
+        begun = self.bands.frame[lanes] > 0
+        for found in self.between(lanes[begun], (at - self.at[lanes] - 1)[begun]):
+            yield self.written(found, None)
+        self.at[lanes] = at
+        texts = rows[6].dictionary_encode()
+        codes = np.array([self.names.setdefault(n or "object", len(self.names)) for n in texts.dictionary.to_pylist()] + [0])
+        kinds = codes[texts.indices.fill_null(len(codes) - 1).to_numpy()]
+        for found in self.detected(lanes, at, lane, floats(rows[:4]), floats(rows[4:5])[:, 0], kinds):
+            yield self.written(found, rows[5])
+
+    def end(self, lanes: np.ndarray) -> Iterator[list]:
+        if self.counted:
+            yield [lanes, self.bands.number[lanes]]
+        elif self.only != "detection" and len(lanes):
+            for found in self.between(lanes, np.full(len(lanes), self.bands.buffer)):
+                yield self.written(found, None)
 
 
 def continued(
-    df: DataFrame, camera: str, frame: str, seq: str, high: float = 0.08, low: float = 0.1, lost: int = 60, match: float = 0.82, stride: int = 1, width: float = 1280.0, height: float = 720.0
+    df: DataFrame, camera: str, frame: str, seq: str, high: float = 0.08, low: float = 0.1, lost: int = 60, match: float = 0.82, stride: int = 1, width: float = 1280.0, height: float = 720.0, only: str | None = None
 ) -> DataFrame:
     """``seq`` (null for predictions), ``frame``, ``track_id``, ``provenance``, ``hits``, ``missed``, ``object_class`` and the shown
     box of every track in every frame, by camera.
@@ -371,33 +610,14 @@ def continued(
     ``stride`` doesn't divide and that have no rows weren't looked at; other frames without rows had no detections. A
     track is shown up to ``lost`` frames after it was last seen, also beyond a camera's last row. A missing class counts
     as ``object``, which is of any family. Lost tracks are kept for ``lost`` frames that were looked at. Rows without a frame, or whose box has no area, are left out.
+    ``only`` names the provenance of the rows wanted, else both.
     """
 
-    def begin(stretch: int):
-        tracks, last = Continuity(Bands(high, low, lost, match, first=stretch == 0), width, height), None
-
-        def between(first: int, end: int) -> list[tuple]:
-            out = []
-            for f in range(first, end):
-                rows = tracks.predicted() if f % stride else tracks.detected(np.empty((0, 4)), np.empty(0), [])
-                out += [(f, None, *r[1:]) for r in rows]
-            return out
-
-        def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
-            nonlocal last
-            if rows is None:
-                out = between(last + 1, last + lost + 1)
-            else:
-                out = [] if last is None else between(last + 1, int(at))
-                last = int(at)
-                boxes, scores, ids = boxed(rows)
-                found = tracks.detected(boxes, scores, [r[6] or "object" for r in rows])
-                out += [(last, ids[r[0]] if r[0] >= 0 else None, *r[1:]) for r in found]
-            return [(*r, tracks.bands.number) for r in out]
+    rows = df.select(camera, F.col(frame).cast("long").alias(frame), seq, "confidence", "class_name", *BOX).where("x2 > x1 AND y2 > y1").where(F.col(camera).isNotNull()).withColumn("_less", -F.col("confidence"))
+    schema = f"`{frame}` long, `{seq}` {kind(df, seq)}, track_id long, provenance string, hits int, missed int, object_class string, x1 double, y1 double, x2 double, y2 double"
 
-        return take
+    def found(counted: bool, schema: str) -> DataFrame:
+        begin = lambda: Continuity(Bands(high, low, lost, match), width, height, stride, counted, only)
+        return ordered.together(rows, [camera], frame, [*BOX, "confidence", seq, "class_name"], ["_less", seq], (lost + 1) * stride, begin, schema, followed=counted)
 
-    rows = df.select(camera, F.col(frame).cast("long").alias(frame), seq, "confidence", "class_name", *BOX).where("x2 > x1 AND y2 > y1").withColumn("_less", -F.col("confidence"))
-    schema = f"`{frame}` long, `{seq}` {kind(df, seq)}, track_id long, provenance string, hits int, missed int, object_class string, x1 double, y1 double, x2 double, y2 double, _begun long"
-    found = ordered.folded(rows, [camera], frame, [*BOX, "confidence", seq, "class_name"], ["_less", seq], (lost + 1) * stride, begin, schema)
-    return numbered(found, camera, "_begun")
+    return renumbered(found(False, schema), found(True, "_begun long"), camera)

@@ -41,15 +41,15 @@ def str19(spark: S, d: str) -> DataFrame:
 @query("str22_readopted")
 def str22(spark: S, d: str) -> DataFrame:
     """Detections under the numbers that re-adoption leaves."""
-    shown = tracking.continued(moving(spark, d), "camera_id", "frame", "seq", high=0.3, lost=30)
-    return shown.where("provenance = 'detection'").select("camera_id", "seq", "track_id", "hits", "object_class")
+    shown = tracking.continued(moving(spark, d), "camera_id", "frame", "seq", high=0.3, lost=30, only="detection")
+    return shown.select("camera_id", "seq", "track_id", "hits", "object_class")
 
 
 @query("str23_predicted")
 def str23(spark: S, d: str) -> DataFrame:
     """Rows of frames without a detection of the track; only every second frame was looked at."""
-    shown = tracking.continued(moving(spark, d).where("frame % 2 = 0"), "camera_id", "frame", "seq", high=0.3, lost=30, stride=2)
-    return shown.where("provenance = 'prediction'").select("camera_id", "frame", "track_id", "missed", *(F.round(c, 1).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    shown = tracking.continued(moving(spark, d).where("frame % 2 = 0"), "camera_id", "frame", "seq", high=0.3, lost=30, stride=2, only="prediction")
+    return shown.select("camera_id", "frame", "track_id", "missed", *(F.round(c, 1).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query("str15_identities")
