@@ -95,3 +95,30 @@ def test_keys_of_earlier_batches_are_not_published_again(spark, tmp_path):
     run(batch(2, 3), 1)
     run(batch(2, 3), 1)
     assert published == [(0, [1, 2]), (1, [3]), (1, [3])]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_payload_is_parsed_once(spark):
+    from watchline.operators import events
+
+    rows = spark.createDataFrame([(1, '{"message": "m", "severity": "low"}'), (2, "{broken"), (3, None)], "event_id long, payload string")
+    items = events.alert_items(rows)
+    assert plan(items).count("from_json") == 1
+    assert [(r.message, r.severity) for r in items.orderBy("event_id").collect()] == [("m", "LOW"), ("Security Perimeter Violation", "CRITICAL"), ("Security Perimeter Violation", "CRITICAL")]
+
+
+def test_closing_targets_write_no_column_out_twice(spark):
+    from watchline.plans.queries_reports import j09
+
+    shown = plan(j09(spark, "/root/testdata/sf0.001"))
+    assert len(shown) < 10_000 and "Python" not in shown and "ExistingRDD" not in shown
+
+
+def test_a_site_has_documents_of_a_bounded_length(spark):
+    stored = spark.range(7).select((F.col("id") % 2).alias("site"), F.concat(F.lit("Z"), "id").alias("zone_id"), F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))).alias("polygon"), F.lit("critical").alias("severity"))
+    documents = definitions.documents_from(stored, "site", 3)
+    assert sorted((r.site, r.value.count("zone_id")) for r in documents.collect()) == [(0, 1), (0, 3), (1, 3)]
+    assert sorted(r.zone_id for r in definitions.zones_of(documents).collect()) == [f"Z{i}" for i in range(7)]

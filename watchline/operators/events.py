@@ -149,7 +149,9 @@ def alert_items(alerts: DataFrame, payload: str = "payload") -> DataFrame:
     ``message``, ``severity`` and ``is_acknowledged`` may be columns already; empty ones count as not set. A severity is in
     capitals; a missing or broken payload leaves the defaults.
     """
-    p = F.from_json(payload, ALERT_FIELDS)
+    # The parsed payload is a column of its own: Spark would parse it again for each field that it is asked for.
+    alerts = alerts.withColumn("_p", F.from_json(payload, ALERT_FIELDS))
+    p = F.col("_p")
     own = lambda name: truthy(F.col(name), p[name]) if name in alerts.columns else truthy(p[name])
     acknowledged = F.coalesce(F.col("is_acknowledged"), F.lit(False)) if "is_acknowledged" in alerts.columns else F.lit(False)
     fields = {f.name: p[f.name] for f in T._parse_datatype_string(ALERT_FIELDS)}
@@ -160,5 +162,5 @@ def alert_items(alerts: DataFrame, payload: str = "payload") -> DataFrame:
         "modality": F.coalesce(p["modality"], F.lit(ALERT_MODALITY)),
         "plate_uncertain": F.coalesce(p["plate_uncertain"], F.lit(False)),
     }
-    kept = [c for c in alerts.columns if c not in fields]
+    kept = [c for c in alerts.columns if c not in fields and c != "_p"]
     return alerts.select(*kept, *(c.alias(name) for name, c in fields.items()))
