@@ -206,7 +206,8 @@ _edges = " UNION ALL ".join(f"SELECT {i} AS edge, {a[0]} AS ax, {a[1]} AS ay, {b
 def j09(spark: S, d: str) -> DataFrame:
     """The first edge of the zone on which each track closes in."""
     corners = [*SQUARE, SQUARE[0]]
-    segments = spark.createDataFrame([("square", i, *a, *b) for i, (a, b) in enumerate(zip(corners, corners[1:], strict=False))], "area_id string, edge int, ax double, ay double, bx double, by double")
+    edges = (F.struct(F.lit("square").alias("area_id"), F.lit(i).alias("edge"), *(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (*a, *b), strict=True))) for i, (a, b) in enumerate(zip(corners, corners[1:], strict=False)))
+    segments = spark.range(1).select(F.inline(F.array(*edges)))  # made by Spark, so that no Python runs in the executors
     return joins.closing_targets(observations(spark, d), segments)
 
 
