@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchline.functions import scoring
@@ -43,12 +43,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def documents_from(zones: DataFrame, site: str) -> DataFrame:
-    """One JSON document for each site, its zones by id; the counterpart of ``zones_of``. A site's zones are few."""
+def documents_from(zones: DataFrame, site: str, most: int = 1000) -> DataFrame:
+    """JSON documents of each site, its zones by id, up to ``most`` in one; the counterpart of ``zones_of``."""
     points = F.transform("polygon", lambda p: F.array(p["x"], p["y"]))
     names = [c for c in zones.columns if c not in (site, "polygon")]
     listed = F.array_sort(F.collect_list(F.struct("zone_id", points.alias("polygon"), *(n for n in names if n != "zone_id"))))
-    return zones.groupBy(site).agg(F.to_json(F.struct(listed.alias("zones"))).alias("value"))
+    # A site's zones are numbered in one sort, which spills; what is gathered is bounded.
+    part = F.floor((F.row_number().over(Window.partitionBy(site).orderBy("zone_id")) - 1) / most)
+    return zones.withColumn("_part", part).groupBy(site, "_part").agg(F.to_json(F.struct(listed.alias("zones"))).alias("value")).drop("_part")
 
 
 PRESET = "vendor string, model string, protocol string, default_port int, uri_template string, description string, recommended_transport string"
