@@ -77,3 +77,21 @@ def test_ground_truth_of_copies(spark):
     side = lambda boxes, is_truth: pd.DataFrame({"f": 0, "is_truth": is_truth, "id": range(len(boxes))} | dict(zip(frames.BOX, boxes.T, strict=True)))
     rows = spark.createDataFrame(pd.concat([side(truth, True), side(guess, False)]))
     assert sorted((r.truth_id, r.prediction_id) for r in frames.greedy_ground_truth(rows, ["f"], 0.2).collect()) == wanted
+
+
+def test_ground_truth_takes_many_frames_in_one_step(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(f), bool(k % 2), int(k), *(float(v) for v in (x, y, x + 60, y + 60))) for f in range(300) for k, (x, y) in enumerate(rng.integers(0, 120, (9, 2)).tolist())]
+    df = spark.createDataFrame(rows, "f long, is_truth boolean, id long, x1 double, y1 double, x2 double, y2 double")
+    wanted = []
+    for f in range(300):
+        own = [r for r in rows if r[0] == f]
+        free = [r for r in own if not r[1]]
+        for t in (r for r in own if r[1]):
+            best = max(free, key=lambda g: (frames.overlaps(np.array([t[3:]]), np.array([g[3:]]))[0, 0], -g[2]), default=None)
+            part = frames.overlaps(np.array([t[3:]]), np.array([best[3:]]))[0, 0] if best else 0
+            wanted.append((f, t[2], best[2] if part >= 0.2 else None))
+            free = [g for g in free if part < 0.2 or g is not best]
+    monkeypatch.setattr(frames, "overlaps", None)  # one frame at a time isn't what is done
+    got = frames.greedy_ground_truth(df, ["f"], 0.2).collect()
+    assert sorted((r.f, r.truth_id, r.prediction_id) for r in got) == sorted(wanted)

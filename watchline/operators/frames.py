@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,35 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
 
 
+def crossed(left: np.ndarray, right: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of equal lanes, left ones in order, up to some ``most`` at a time; ``right`` is sorted."""
+    begin = np.searchsorted(right, left)
+    count = np.searchsorted(right, left, "right") - begin
+    total = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = count[at:end]
+        before = np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(np.arange(at, end), n), np.arange(n.sum()) - before + np.repeat(begin[at:end], n)
+        at = end
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Width, height of what each box of a has in common with its box of b, and both areas."""
+    low, high = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
+    area = lambda v: (v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1])
+    return high[:, 0] - low[:, 0], high[:, 1] - low[:, 1], area(a) + area(b)
+
+
+def shared_by(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of each box of a with its box of b, as ``overlaps`` has it."""
+    width, height, areas = common(a, b)
+    shared = np.clip(width, 0, None) * np.clip(height, 0, None)
+    union = areas - shared
+    return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
+
+
 def per_frame(df: DataFrame, frame: list[str], clashes, score: str = "confidence", most: int | None = None) -> DataFrame:
     """Rows of each frame, of the best ``most``, without those that clash with a better one; equals are taken in order of their columns.
 
@@ -203,45 +233,68 @@ def assignments(df: DataFrame, frame: list[str], most: float = 0.8) -> DataFrame
 def greedy_ground_truth(df: DataFrame, frame: list[str], least: float = 0.5) -> DataFrame:
     """Each true box of a frame (``is_truth``), in order of id, with the free prediction that overlaps it most."""
 
-    def all_at_once(truth: list[tuple], guess: list[tuple]) -> list[tuple]:
-        shared = overlaps(np.array([r[2:] for r in truth], float).reshape(-1, 4), np.array([r[2:] for r in guess], float).reshape(-1, 4))
+    def crowded(truth: list[tuple], guess: list[tuple]) -> list[tuple]:
+        # Equal boxes are compared once; each has its free numbers, the first one last.
+        same: dict[tuple, list] = {}
+        for r in reversed(guess):
+            same.setdefault(r[2:], []).append(r[1])
+        boxes, free = np.array(list(same), float).reshape(-1, 4), list(same.values())
+        left = np.arange(len(free))
         out = []
-        for i, t in enumerate(truth):
-            j = int(shared[i].argmax()) if guess else -1
-            found = j >= 0 and shared[i, j] >= least
-            out.append((t[1], guess[j][1] if found else None, float(shared[i, j]) if found else 0.0))
-            if found:
-                shared[:, j] = -1
+        for t in truth:
+            shared = overlaps(np.array([t[2:]], float), boxes[left])[0]
+            best = shared.max(initial=-1.0)
+            if best < least:
+                out.append((t[1], None, 0.0))
+                continue
+            j = min(left[shared == best], key=lambda k: free[k][-1])
+            out.append((t[1], free[j].pop(), float(best)))
+            if not free[j]:
+                left = left[left != j]
         return out
 
-    def begin(stretch: int):
-        def take(at: int | None, rows: list[tuple] | None) -> list[tuple]:
-            truth, guess = ([r for r in rows or [] if r[0] is side] for side in (True, False))
-            if len(truth) * len(guess) <= HELD:
-                return all_at_once(truth, guess)
-            # Equal boxes are compared once; each has its free numbers, the first one last.
-            same: dict[tuple, list] = {}
-            for r in reversed(guess):
-                same.setdefault(r[2:], []).append(r[1])
-            boxes, free = np.array(list(same), float).reshape(-1, 4), list(same.values())
-            left = np.arange(len(free))
-            out = []
-            for t in truth:
-                shared = overlaps(np.array([t[2:]], float), boxes[left])[0]
-                best = shared.max(initial=-1.0)
-                if best < least:
-                    out.append((t[1], None, 0.0))
-                    continue
-                j = min(left[shared == best], key=lambda k: free[k][-1])
-                out.append((t[1], free[j].pop(), float(best)))
-                if not free[j]:
-                    left = left[left != j]
-            return out
-
-        return take
+    class Frames:
+        """For ``ordered.together``: the frames of a block, each a lane of one step."""
+
+        def __init__(self) -> None:
+            self.n = 0
+
+        def open(self, stretches: np.ndarray) -> None:
+            self.n += len(stretches)
+
+        def keep(self, lane: int) -> None:
+            self.n = 1
+
+        def end(self, lanes: np.ndarray) -> list:
+            return []
+
+        def step(self, lanes: np.ndarray, at: np.ndarray, lane: np.ndarray, rows: list[pa.Array]) -> Iterator[list]:
+            side = np.array(rows[0].fill_null(False).to_numpy(zero_copy_only=False), bool) & rows[0].is_valid().to_numpy(zero_copy_only=False)
+            other = ~side & rows[0].is_valid().to_numpy(zero_copy_only=False)
+            pairs = np.bincount(lane[side], minlength=self.n) * np.bincount(lane[other], minlength=self.n)
+            full = pairs > HELD
+            for k in np.flatnonzero(full).tolist():
+                truth, guess = ([r for r in zip(*(c.take(pa.array(np.flatnonzero(s & (lane == k)))).to_pylist() for c in rows), strict=True)] for s in (side, other))
+                ids, found, shared = zip(*crowded(truth, guess), strict=True)
+                yield [np.full(len(ids), k), pa.array(ids, pa.int64()), pa.array(found, pa.int64()), np.array(shared)]
+            t, g = np.flatnonzero(side & ~full[lane]), np.flatnonzero(other & ~full[lane])
+            boxes = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in rows[2:]])
+            match, best = np.full(len(t), -1), np.zeros(len(t))
+            taken = bytearray(len(g))
+            for i, j in crossed(lane[t], lane[g]):
+                shared = shared_by(boxes[t[i]], boxes[g[j]])
+                near = np.flatnonzero(shared >= least)
+                near = near[np.lexsort((j[near], -shared[near], i[near]))]
+                done = -1
+                for p, q, part in zip(i[near].tolist(), j[near].tolist(), shared[near].tolist(), strict=True):
+                    if p != done and not taken[q]:
+                        done, taken[q], match[p], best[p] = p, 1, q, part
+            if len(t):
+                guesses = rows[1].take(pa.array(g))
+                yield [lane[t], rows[1].take(pa.array(t)).cast(pa.int64()), guesses.take(pa.array(match, mask=match < 0)).cast(pa.int64()), best]
 
     rows = df.select(*frame, "is_truth", "id", *BOX).withColumn("_one", F.lit(0))
-    return ordered.folded(rows, frame, "_one", ["is_truth", "id", *BOX], ["id"], None, begin, "truth_id long, prediction_id long, iou double").drop(ordered.STRETCH)
+    return ordered.together(rows, frame, "_one", ["is_truth", "id", *BOX], ["id"], None, Frames, "truth_id long, prediction_id long, iou double").drop(ordered.STRETCH)
 
 
 def evaluated(truth: DataFrame, guess: DataFrame, camera: list[str], frame: str, least: float = 0.5) -> DataFrame:

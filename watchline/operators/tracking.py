@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchline.operators import ordered
-from watchline.operators.frames import BOX
+from watchline.operators.frames import BOX, common, crossed, shared_by
 
 # Classes of one family; shares of a box's height that the filter's noise has.
 FAMILY = {"car", "bus", "truck", "motorcycle", "bicycle", "vehicle"}
@@ -93,27 +93,6 @@ def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def crossed(left: np.ndarray, right: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of equal lanes, left ones in order, up to some ``most`` at a time; ``right`` is sorted."""
-    begin = np.searchsorted(right, left)
-    count = np.searchsorted(right, left, "right") - begin
-    total = np.cumsum(count)
-    at = 0
-    while at < len(left):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
-        n = count[at:end]
-        before = np.repeat(np.cumsum(n) - n, n)
-        yield np.repeat(np.arange(at, end), n), np.arange(n.sum()) - before + np.repeat(begin[at:end], n)
-        at = end
-
-
-def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Width, height of what each box of a has in common with its box of b, and both areas."""
-    low, high = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
-    area = lambda v: (v[:, 2] - v[:, 0]) * (v[:, 3] - v[:, 1])
-    return high[:, 0] - low[:, 0], high[:, 1] - low[:, 1], area(a) + area(b)
-
-
 class Bands:
     """The tracks of many cameras, a lane each. Sure boxes meet live and lost tracks, unsure ones the live tracks that are left,
     and what is left of the sure ones the tracks of a single sighting; then they begin tracks. What a step doesn't name stays as it is."""
@@ -157,10 +136,7 @@ class Bands:
                 return
             found, at = [], self.filter.boxes()[tracks]
             for i, j in crossed(self.lane[tracks], lane[some]):
-                width, height, areas = common(at[i], boxes[some[j]])
-                shared = np.clip(width, 0, None) * np.clip(height, 0, None)
-                union = areas - shared
-                cost = 1 - np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
+                cost = 1 - shared_by(at[i], boxes[some[j]])
                 near = np.flatnonzero(cost <= most)
                 found.append((i[near], j[near], cost[near]))
             i, j, cost = (np.concatenate(c) for c in zip(*found, strict=True))
