@@ -147,3 +147,19 @@ def test_sink_keeps_a_key_once(spark, source):
     run = stateful.persisted_then_published(f"{path}/events", lambda df, n: seen.append((n, df.count())))
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/sink").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{path}/events").count() == sum(n for _, n in seen) == 150
+
+
+def test_correlated_pairs_do_not_grow_with_the_exits_before_an_entry(spark, tmp_path):
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=rng.randrange(500)), k % 3, 0, rng.random() < 0.5) for k in range(240)]
+    for n in range(3):  # in three batches, out of order
+        spark.createDataFrame(rows[n * 80 : n * 80 + 80], "event_id long, ts timestamp, camera_id long, object_class long, is_exit boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, camera_id long, object_class long, is_exit boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    pairs = stateful.run_to_end(stateful.correlated(stream.where("is_exit"), stream.where("NOT is_exit"), 3600), str(tmp_path / "out"))
+    wanted = {}
+    for e in (r for r in rows if not r[4]):
+        found = [x for x in rows if x[4] and x[2] != e[2] and 0.5 <= (e[1] - x[1]).total_seconds() <= 3600]
+        if found:
+            wanted[e[0]] = max(found, key=lambda x: (x[1], x[0]))[0]
+    assert {r.entry_id: r.exit_id for r in stateful.latest_exits(pairs).collect()} == wanted
+    assert pairs.count() <= 3 * len(wanted)

@@ -28,10 +28,10 @@ def streamed(spark: S, d: str, name: str) -> DataFrame:
 
 @query("str14_stream_correlation", ASOF_SQL)
 def str14(spark: S, d: str) -> DataFrame:
-    """Exits and entries joined as two streams within the hour; of the pairs each entry's latest exit."""
+    """Exits and entries as one stream, folded by class and hour; of the pairs each entry's latest exit."""
     k = F.get_json_object("props", "$.k").cast("long")
     rows = lambda kind: streamed(spark, d, "events").where(F.col("event_type") == kind).select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 8).alias("camera_id"), (k % 10).alias("object_class"))
-    pairs = stateful.run_to_end(stateful.correlated(rows("error"), rows("signup"), "3600 seconds"), own_folder(spark, "str14"))
+    pairs = stateful.run_to_end(stateful.correlated(rows("error"), rows("signup"), 3600), own_folder(spark, "str14"))
     found = stateful.latest_exits(pairs)
     none = F.lit(None).cast("double")
     confidence = F.round(scoring.correlation_confidence(F.col("delta_seconds"), none, none, 3600.0), 3)

@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,12 +156,59 @@ def incident_sessions(stream: DataFrame, keys: list[str], ts: str, score: str, g
     )
 
 
-def correlated(exits: DataFrame, entries: DataFrame, most: str = "60 seconds") -> DataFrame:
-    """Pairs of an exit and a later entry of one class at another camera, within ``most``."""
-    e = exits.select("object_class", F.col("camera_id").alias("from_camera"), F.col("event_id").alias("exit_id"), F.col("ts").alias("exit_ts")).withWatermark("exit_ts", WATERMARK)
-    n = entries.select(F.col("object_class").alias("entry_class"), F.col("camera_id").alias("to_camera"), F.col("event_id").alias("entry_id"), F.col("ts").alias("entry_ts")).withWatermark("entry_ts", WATERMARK)
-    on = F.expr(f"object_class = entry_class AND from_camera <> to_camera AND entry_ts >= exit_ts + interval 500 milliseconds AND entry_ts <= exit_ts + interval {most}")
-    return n.join(e, on)
+def latest_before(entries: np.ndarray, exits: np.ndarray, most: int, least: int = 500_000) -> np.ndarray:
+    """The place of each entry's latest exit from another camera, ``least`` to ``most`` before it, -1 for none.
+
+    Both have rows of time, number and camera; exits are in order of time and number.
+    """
+    if not len(exits):
+        return np.full(len(entries), -1)
+    camera = exits[:, 2]
+    starts = np.r_[True, camera[1:] != camera[:-1]]
+    before_run = np.maximum.accumulate(np.where(starts, np.arange(len(exits)), 0)) - 1
+    at = np.searchsorted(exits[:, 0], entries[:, 0] - least, "right") - 1
+    at = np.where((at >= 0) & (camera[at] == entries[:, 2]), before_run[at], at)
+    return np.where((at >= 0) & (exits[at, 0] >= entries[:, 0] - most), at, -1)
+
+
+def correlated(exits: DataFrame, entries: DataFrame, most: int = 60) -> DataFrame:
+    """Pairs of an entry and the latest exit of its class from another camera so far, within ``most`` seconds.
+
+    Times are cut into buckets of ``most`` seconds, and an exit counts for its own and the next, which has a state of its own. An
+    entry comes again only where a later exit turns up for it, so that pairs grow with the rows and not with their square.
+    """
+    span = most * 1_000_000
+    side = lambda rows, is_exit: rows.where("object_class IS NOT NULL AND camera_id IS NOT NULL AND ts IS NOT NULL").select(
+        "object_class", F.col("ts").alias("_time"), F.unix_micros("ts").alias("t"), F.col("event_id").alias("i"), F.col("camera_id").alias("c"), F.lit(is_exit).alias("is_exit")
+    )
+    bucket = F.floor(F.col("t") / span)
+    rows = side(exits, True).unionByName(side(entries, False)).withWatermark("_time", WATERMARK)
+    rows = rows.withColumn("bucket", F.explode(F.when(F.col("is_exit"), F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
+    names = ["entry_id", "to_camera", "entry_t", "exit_id", "from_camera", "exit_t"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        none = np.empty((0, 3), np.int64)
+        old_exits, old_entries = (np.frombuffer(b, np.int64).reshape(-1, 3) for b in state.get) if state.exists else (none, none)
+        new = pd.concat(list(batches))
+        part = lambda which: new.loc[which, ["t", "i", "c"]].to_numpy(np.int64)
+        is_exit = new["is_exit"].to_numpy(bool)
+        known = np.concatenate([old_exits, part(is_exit)])
+        known = known[np.lexsort((known[:, 1], known[:, 0]))]
+        waiting = np.concatenate([old_entries, part(~is_exit)])
+        found = latest_before(waiting, known, span)
+        was = np.r_[latest_before(old_entries, old_exits, span), np.full(len(waiting) - len(old_entries), -1)]
+        now, before = (np.concatenate([rows, np.full((1, 3), -(2**63))])[at] for rows, at in ((known, found), (old_exits, was)))
+        fresh = np.flatnonzero((found >= 0) & (now != before).any(axis=1))
+        state.update((known.tobytes(), waiting.tobytes()))
+        forgotten_at(state, (key[1] + 1) * most)
+        a, b = waiting[fresh], now[fresh]
+        yield pd.DataFrame(np.column_stack([a[:, 1], a[:, 2], a[:, 0], b[:, 1], b[:, 2], b[:, 0]]), columns=names)
+
+    pairs = folded(rows, ["object_class", "bucket"], step, ", ".join(f"{n} long" for n in names), "exits binary, entries binary")
+    return pairs.withColumns({"entry_ts": F.timestamp_micros("entry_t"), "exit_ts": F.timestamp_micros("exit_t")}).drop("entry_t", "exit_t")
 
 
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
